@@ -108,7 +108,23 @@ SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY payload_id ORDER BY ts DESC, seq DESC) AS rn
   FROM job_events) WHERE rn = 1"""
 
-DEPENDS = {"jobs_current": ["job_events"]}
+TERMINAL_SQL = "('job-completed','job-failed','job-deduped','job-offline','job-revoked')"
+
+# live status: the guarded current state (A2) per job
+ADAPTERS["live"] = f"""
+SELECT uuid, status AS live_status FROM (
+  SELECT *, row_number() OVER (PARTITION BY payload_id ORDER BY
+      (status IN {TERMINAL_SQL}) DESC, (status IN {TERMINAL_SQL} AND NOT supervisory) DESC,
+      ts DESC, seq DESC) AS rn FROM job_events) WHERE rn = 1"""
+ADAPTERS["task_latest"] = """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY ts DESC, seq DESC) AS rn FROM task_events) WHERE rn = 1"""
+ADAPTERS["worker_latest"] = """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY celery_hostname ORDER BY ts DESC, seq DESC) AS rn FROM worker_events) WHERE rn = 1"""
+
+DEPENDS = {"jobs_current": ["job_events"], "live": ["job_events"], "task_latest": ["task_events"],
+           "worker_latest": ["worker_events"]}
 
 EV_AS_OF = f"TIMESTAMP {q(EVENTS_AS_OF)}"
 ORD_AS_OF = f"TIMESTAMP {q(ORDERS_AS_OF)}"
