@@ -228,7 +228,8 @@ def match_job_rules(jobs: DataFrame, rules, id_col: str = "payload_id", name_pre
 
 
 def rule_summary(docs: DataFrame, matches: DataFrame, compiled: CompiledRules, id_col: str = "id") -> DataFrame:
-    """A4: per document: rules evaluated, matched rule names, errored rule names.
+    """A4: per document: enabled rules evaluated (errored ones included),
+    matched rule names, errored rule names.
 
     ``matched`` is collected per document; its size is bounded by the number
     of rules, never by data volume.
@@ -241,7 +242,7 @@ def rule_summary(docs: DataFrame, matches: DataFrame, compiled: CompiledRules, i
         .join(per_doc, id_col, "left")
         .select(
             id_col,
-            F.lit(len(compiled.good)).cast("bigint").alias("candidates"),
+            F.lit(len(compiled.good) + len(compiled.bad)).cast("bigint").alias("candidates"),
             F.coalesce(F.col("matched"), F.array().cast("array<string>")).alias("matched"),
             err_col.alias("errored"),
         )

@@ -1 +1,131 @@
-"""Registered queries (family placeholder)."""
+"""Registered queries: rule matching (J1, J2, A4, F1) and duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from jobscope.operators import dedup, rules as R
+from jobscope.plans.oracle import with_adapters
+from jobscope.plans.registry import register
+from jobscope.sources import adapters as A
+
+# Standing dataset rules used by the registered queries.  Two are broken on
+# purpose (a parse error and an unknown column) and one is disabled.
+DATASET_RULES = [
+    dict(rule_name="en_long", query_string="system_version = 'en' AND n_chars > 5000", enabled=True,
+         job_type="io-reprocess", priority=3, query_all=False),
+    dict(rule_name="src_pick", query_string="dataset IN ('src1', 'src7') AND text LIKE '%the%'", enabled=True,
+         job_type="io-index", priority=1, query_all=False),
+    dict(rule_name="license", query_string="lower(text) LIKE '%license%'", enabled=True,
+         job_type="io-audit", priority=5, query_all=False),
+    dict(rule_name="bad_parse", query_string="n_chars >", enabled=True, job_type="io-x", priority=0, query_all=False),
+    dict(rule_name="bad_column", query_string="no_such_field = 1", enabled=True, job_type="io-x", priority=0,
+         query_all=False),
+    dict(rule_name="disabled", query_string="n_chars > 0", enabled=False, job_type="io-x", priority=0,
+         query_all=False),
+    dict(rule_name="huge_any", query_string="n_chars > 15000", enabled=True, job_type="io-alert", priority=9,
+         query_all=True),
+]
+PREFIX = "io-"
+
+
+def _dataset_matches(spark, sf):
+    docs = A.catalog_docs(spark, sf).select("id", "system_version", "dataset", "text", "n_chars")
+    compiled = R.compile_rules(docs, R.rules_frame(spark, DATASET_RULES))
+    return docs, compiled, R.match_dataset_rules(docs, None, name_prefix=PREFIX, compiled=compiled)
+
+
+J1_SQL = """
+SELECT id, system_version, 'en_long' AS rule_name, 'io-reprocess' AS job_type, 3 AS priority,
+       'reprocess-' || id AS job_name, id AS hit_id
+FROM catalog_docs WHERE system_version = 'en' AND n_chars > 5000
+UNION ALL
+SELECT id, system_version, 'src_pick', 'io-index', 1, 'index-' || id, id
+FROM catalog_docs WHERE dataset IN ('src1', 'src7') AND text LIKE '%the%'
+UNION ALL
+SELECT id, system_version, 'license', 'io-audit', 5, 'audit-' || id, id
+FROM catalog_docs WHERE lower(text) LIKE '%license%'
+UNION ALL
+SELECT d.id, d.system_version, 'huge_any', 'io-alert', 9, 'alert-' || d.id, h.hit_id
+FROM catalog_docs d JOIN (SELECT system_version, min(id) AS hit_id FROM catalog_docs
+                          WHERE n_chars > 15000 GROUP BY system_version) h USING (system_version)"""
+
+
+@register("j1_match_dataset_rules", with_adapters(J1_SQL), bench=True)
+def j1_match_dataset_rules(spark, sf):
+    """Every enabled rule against every dataset in one scan."""
+    return _dataset_matches(spark, sf)[2]
+
+
+@register(
+    "a4_rule_summary",
+    with_adapters(f"""
+WITH m AS ({J1_SQL})
+SELECT d.id, CAST(6 AS BIGINT) AS candidates,
+       CAST(to_json(coalesce(list_sort(list(m.rule_name) FILTER (WHERE m.rule_name IS NOT NULL)), CAST([] AS VARCHAR[]))) AS VARCHAR) AS matched,
+       '["bad_column","bad_parse"]' AS errored
+FROM catalog_docs d LEFT JOIN m ON m.id = d.id GROUP BY d.id"""),
+)
+def a4_rule_summary(spark, sf):
+    """A4: per dataset, rules evaluated, matched and errored."""
+    docs, compiled, matches = _dataset_matches(spark, sf)
+    return R.rule_summary(docs, matches, compiled, "id")
+
+
+JOB_RULES = [
+    dict(rule_name="urgent_done", query_string="status = 'job-completed' AND job_type = '1-URGENT'", enabled=True,
+         job_type="io-notify", priority=2, query_all=False, job_name_path="_source.job_queue"),
+    dict(rule_name="big_limit", query_string="time_limit > 450000", enabled=True, job_type="io-audit", priority=1,
+         query_all=False, job_name_path=None),
+    dict(rule_name="any_low", query_string="job_type = '5-LOW' AND time_limit > 500000", enabled=True,
+         job_type="retry", priority=0, query_all=True, job_name_path="_source.celery_hostname"),
+    dict(rule_name="broken", query_string="status = = 'x'", enabled=True, job_type="io-x", priority=0,
+         query_all=False, job_name_path=None),
+]
+
+
+@register(
+    "j2_match_job_rules",
+    with_adapters("""
+SELECT payload_id, 'urgent_done' AS rule_name, 'io-notify' AS job_type, 2 AS priority,
+       'notify-' || CASE WHEN coalesce(job_queue, '') <> '' THEN job_queue ELSE payload_id END AS job_name,
+       payload_id AS hit_id
+FROM jobs WHERE status = 'job-completed' AND job_type = '1-URGENT'
+UNION ALL
+SELECT payload_id, 'big_limit', 'io-audit', 1, 'audit-' || payload_id, payload_id
+FROM jobs WHERE time_limit > 450000
+UNION ALL
+SELECT j.payload_id, 'any_low', 'retry', 0,
+       'retry-' || CASE WHEN coalesce(h.celery_hostname, '') <> '' THEN h.celery_hostname ELSE j.payload_id END,
+       h.payload_id
+FROM jobs j, (SELECT * FROM jobs WHERE payload_id = (
+      SELECT min(payload_id) FROM jobs WHERE job_type = '5-LOW' AND time_limit > 500000)) h"""),
+)
+def j2_match_job_rules(spark, sf):
+    """Rules against finished jobs; trigger names from the hit's path."""
+    jobs = A.jobs(spark, sf).select("payload_id", "status", "job_type", "job_queue", "celery_hostname", "time_limit")
+    return R.match_job_rules(jobs, R.rules_frame(spark, JOB_RULES), name_prefix=PREFIX)
+
+
+@register(
+    "j7_find_duplicates",
+    with_adapters("""
+WITH r AS (
+  SELECT payload_hash, payload_id, status,
+         row_number() OVER (PARTITION BY payload_hash ORDER BY time_queued, payload_id) AS rk
+  FROM jobs WHERE status IN ('job-queued', 'job-started', 'job-completed')),
+h AS (
+  SELECT payload_hash,
+         max(CASE WHEN rk = 1 THEN payload_id END) AS id1, max(CASE WHEN rk = 1 THEN status END) AS st1,
+         max(CASE WHEN rk = 2 THEN payload_id END) AS id2, max(CASE WHEN rk = 2 THEN status END) AS st2
+  FROM r WHERE rk <= 2 GROUP BY payload_hash)
+SELECT j.payload_id, j.payload_hash, j.status, j.time_queued,
+       CASE WHEN h.id1 = j.payload_id THEN h.id2 ELSE h.id1 END AS dedup_job,
+       CASE WHEN h.id1 = j.payload_id THEN h.st2 ELSE h.st1 END AS dedup_status
+FROM jobs j LEFT JOIN h USING (payload_hash)"""),
+    bench=True,
+)
+def j7_find_duplicates(spark, sf):
+    """Earliest other job with the same payload hash, for every job."""
+    jobs = A.jobs(spark, sf).select("payload_id", "payload_hash", "status", "time_queued")
+    return dedup.find_duplicates(jobs)

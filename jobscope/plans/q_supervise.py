@@ -70,8 +70,8 @@ e AS (
   FROM d)
 SELECT payload_id, uuid, status, celery_hostname, action,
        CASE WHEN action = 'update' THEN ns END AS new_status,
-       CASE WHEN (action = 'update' AND duration > lim AND untagged) OR action = 'tag'
-            THEN list_append(tags, 'timedout') ELSE tags END AS new_tags,
+       CAST(to_json(CASE WHEN (action = 'update' AND duration > lim AND untagged) OR action = 'tag'
+            THEN list_append(tags, 'timedout') ELSE tags END) AS VARCHAR) AS new_tags,
        CASE WHEN action = 'update' AND status = 'job-started' AND task_status = 'task-failed'
             THEN coalesce(exception, 'undetermined by watchdog') END AS error,
        CASE WHEN action = 'update' AND status = 'job-started' AND task_status = 'task-failed'
@@ -363,7 +363,7 @@ def w6_lease_staleness(spark, sf):
 @register(
     "r3_tag_timed_out",
     with_adapters(f"""
-SELECT payload_id, status, ts, list_append(tags, 'timedout') AS tags FROM jobs_current
+SELECT payload_id, status, ts, CAST(to_json(list_append(tags, 'timedout')) AS VARCHAR) AS tags FROM jobs_current
 WHERE status IN ('job-started', 'job-offline') AND ts < {EV_AS_OF} - INTERVAL 86400 SECOND
   AND NOT list_contains(tags, 'timedout')"""),
 )

@@ -40,9 +40,14 @@ def _ntz(dt: T.DataType):
 
 
 def finalize(df: DataFrame) -> DataFrame:
-    """Zone-free output: TIMESTAMP columns become TIMESTAMP_NTZ (UTC wall clock)."""
+    """Comparable output: TIMESTAMP columns become TIMESTAMP_NTZ (UTC wall
+    clock, independent of any session or process zone) and arrays become
+    their JSON text (engine-neutral values for the oracle's hash)."""
     casts = {}
     for f in df.schema.fields:
+        if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            casts[f.name] = F.to_json(F.col(f.name))
+            continue
         nt = _ntz(f.dataType)
         if nt is not None:
             casts[f.name] = F.col(f.name).cast(nt)
