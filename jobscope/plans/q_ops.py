@@ -1 +1,217 @@
-"""Registered queries (family placeholder)."""
+"""Registered queries: operations (queues, scaling, I/O, cleanup, alerts,
+purge, failed partition, eviction)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from jobscope.operators import ops as O
+from jobscope.plans.oracle import ORD_AS_OF, with_adapters
+from jobscope.plans.registry import register
+from jobscope.sources import adapters as A
+
+
+@register(
+    "a5_queue_depth",
+    with_adapters("""
+SELECT job_queue, count(*) FILTER (WHERE status = 'job-queued') AS waiting,
+       count(*) FILTER (WHERE status IN ('job-queued', 'job-started')) AS total
+FROM jobs GROUP BY job_queue"""),
+)
+def a5_queue_depth(spark, sf):
+    """A5: waiting and total jobs per queue."""
+    return O.queue_depth(A.jobs(spark, sf).select("job_queue", "status"))
+
+
+@register(
+    "a6_jobs_per_instance",
+    with_adapters("""
+WITH q AS (SELECT c.c_nationkey AS "group", count(*) AS jobs FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+           WHERE o.o_orderstatus = 'P' GROUP BY c.c_nationkey),
+g AS (SELECT s_nationkey AS "group", count(*) AS desired, 10 AS max_size FROM supplier GROUP BY s_nationkey),
+e AS (SELECT q."group", q.jobs,
+             CASE WHEN coalesce(CAST(g.desired AS DOUBLE), 0) = 0
+                  THEN CASE WHEN q.jobs > 0 THEN least(CAST(q.jobs AS DOUBLE), CAST(g.max_size AS DOUBLE)) ELSE 1.0 END
+                  ELSE CAST(g.desired AS DOUBLE) END AS desired_capacity
+      FROM q LEFT JOIN g USING ("group"))
+SELECT "group", jobs, desired_capacity, jobs / desired_capacity AS metric FROM e"""),
+)
+def a6_jobs_per_instance(spark, sf):
+    """Waiting jobs per nation queue over its instance group's capacity."""
+    o = A.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P")
+    c = A.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    queues = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("group")).agg(
+        F.count(F.lit(1)).alias("jobs"))
+    groups = A.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("group")).agg(
+        F.count(F.lit(1)).alias("desired"), F.lit(10).alias("max_size"))
+    return O.jobs_per_instance(queues, groups)
+
+
+@register(
+    "a7_job_io",
+    with_adapters("""
+SELECT job_id, count(*) AS n_items, sum(bytes) AS total_bytes, sum(seconds) AS total_seconds,
+       sum(bytes) / nullif(sum(seconds), 0.0) AS rate
+FROM products GROUP BY job_id"""),
+    bench=True,
+)
+def a7_job_io(spark, sf):
+    """Per job, staged product count, bytes, seconds and rate."""
+    return O.job_io(A.products(spark, sf).select("job_id", "bytes", "seconds"))
+
+
+@register(
+    "a8_orphan_object_counts",
+    with_adapters("SELECT bucket, count(*) AS n_objects FROM paths GROUP BY bucket"),
+)
+def a8_orphan_object_counts(spark, sf):
+    """Objects per bucket."""
+    return O.orphan_object_counts(A.paths(spark, sf).select("bucket"))
+
+
+@register(
+    "a9_delete_batches",
+    with_adapters("""
+WITH k AS (SELECT job_id AS bucket, url AS key FROM products),
+n AS (SELECT bucket, key, floor((row_number() OVER (PARTITION BY bucket ORDER BY key) - 1) / 3) AS batch FROM k)
+SELECT bucket, CAST(batch AS BIGINT) AS batch, count(*) AS n_keys, CAST(to_json(list_sort(list(key))) AS VARCHAR) AS keys
+FROM n GROUP BY bucket, batch"""),
+)
+def a9_delete_batches(spark, sf):
+    """Each job's staged objects cut into delete requests of 3 keys."""
+    objs = A.products(spark, sf).select(F.col("job_id").alias("bucket"), F.col("url").alias("key"))
+    return O.delete_batches(objs, size=3).withColumn("batch", F.col("batch").cast("bigint"))
+
+
+@register(
+    "a10_count_matching",
+    with_adapters("SELECT count(*) FILTER (WHERE n_chars > 1000 AND system_version = 'en') AS count FROM catalog_docs"),
+)
+def a10_count_matching(spark, sf):
+    """A10: number of catalog documents matching a condition."""
+    d = A.catalog_docs(spark, sf)
+    return O.count_matching(d, (F.col("n_chars") > 1000) & (F.col("system_version") == "en"))
+
+
+@register(
+    "a13_dir_usage",
+    with_adapters("""
+WITH f AS (SELECT '/' || bucket || regexp_extract(path, '^[a-z]+://[^/?#]+(/[^?#]*)?', 1) AS p, length(html) AS len FROM paths),
+parts AS (SELECT len, string_split(p, '/') AS s FROM f),
+anc AS (SELECT len, array_to_string(s[1:i], '/') AS root FROM parts, range(1, len(s)) AS t(i)),
+roots AS (SELECT DISTINCT '/' || bucket AS root FROM paths),
+a2 AS (SELECT CASE WHEN root = '' THEN '/' ELSE root END AS root, len FROM anc)
+SELECT r.root, CAST(coalesce(sum(a2.len), 0) AS BIGINT) AS bytes FROM roots r LEFT JOIN a2 USING (root) GROUP BY r.root"""),
+)
+def a13_dir_usage(spark, sf):
+    """Bytes of page bodies below each host directory."""
+    p = A.paths(spark, sf)
+    files = p.select(
+        F.concat(F.lit("/"), F.col("bucket"), F.regexp_extract("path", r"^[a-z]+://[^/?#]+(/[^?#]*)?", 1)).alias("path"),
+        F.length("html").cast("bigint").alias("length"),
+    )
+    roots = p.select(F.concat(F.lit("/"), F.col("bucket")).alias("root")).distinct()
+    return O.dir_usage(files, roots)
+
+
+@register(
+    "r1_overdue_job_types",
+    with_adapters(f"""
+WITH d AS (SELECT job_type, payload_id, time_end, time_limit,
+                  row_number() OVER (PARTITION BY job_type ORDER BY time_end DESC, payload_id DESC) AS rn
+           FROM jobs WHERE status = 'job-completed'),
+t AS (SELECT DISTINCT job_type FROM jobs),
+x AS (SELECT t.job_type, d.payload_id AS last_success_id, d.time_end AS last_success_end,
+             (epoch_us({ORD_AS_OF}) - epoch_us(d.time_end)) / 1e6 AS age_secs,
+             CAST(NULL AS VARCHAR) AS last_failed_id, CAST(NULL AS TIMESTAMP) AS last_failed_end,
+             CASE WHEN d.payload_id IS NULL THEN 'no_success'
+                  WHEN (epoch_us({ORD_AS_OF}) - epoch_us(d.time_end)) / 1e6 > coalesce(CAST(d.time_limit AS DOUBLE), 0.0) THEN 'overdue' END AS reason
+      FROM t LEFT JOIN (SELECT * FROM d WHERE rn = 1) d USING (job_type))
+SELECT * FROM x WHERE reason IS NOT NULL"""),
+)
+def r1_overdue_job_types(spark, sf):
+    """Job types with no recent enough success."""
+    j = A.jobs(spark, sf).select("job_type", "payload_id", "status", "time_end", "time_limit")
+    return O.overdue_job_types(j, A.ORDERS_AS_OF, periodicity=0.0)
+
+
+@register(
+    "r2_stuck_queues",
+    with_adapters(f"""
+WITH qs AS (SELECT job_queue AS queue, count(*) FILTER (WHERE status IN ('job-queued', 'job-started')) AS messages,
+                   count(*) FILTER (WHERE status = 'job-queued') AS messages_ready,
+                   count(*) FILTER (WHERE status = 'job-started' AND celery_hostname = 'w7') AS messages_unacknowledged
+            FROM jobs GROUP BY job_queue),
+q AS (SELECT * FROM qs WHERE NOT starts_with(queue, 'celery') AND queue <> 'Recommended Queues' AND messages_ready > 0),
+n AS (SELECT job_queue AS queue, payload_id, time_start, time_limit,
+             row_number() OVER (PARTITION BY job_queue ORDER BY time_start DESC, payload_id DESC) AS rn
+      FROM jobs WHERE time_start IS NOT NULL),
+x AS (SELECT q.*, n.payload_id AS last_job_id, (epoch_us({ORD_AS_OF}) - epoch_us(n.time_start)) / 1e6 AS age_secs,
+             CASE WHEN q.messages_ready > 0 AND q.messages_unacknowledged = 0 THEN 'no_job_running'
+                  WHEN n.payload_id IS NULL THEN 'no_job_found'
+                  WHEN (epoch_us({ORD_AS_OF}) - epoch_us(n.time_start)) / 1e6 > coalesce(CAST(n.time_limit AS DOUBLE), 0.0) THEN 'job_hanging' END AS reason
+      FROM q LEFT JOIN (SELECT * FROM n WHERE rn = 1) n USING (queue))
+SELECT queue, messages, messages_ready, messages_unacknowledged, last_job_id, age_secs, reason FROM x WHERE reason IS NOT NULL"""),
+)
+def r2_stuck_queues(spark, sf):
+    """R2: stuck queues from queue statistics and the newest job per queue."""
+    j = A.jobs(spark, sf)
+    st = F.col("status")
+    stats = j.groupBy(F.col("job_queue").alias("queue")).agg(
+        F.count_if(st.isin("job-queued", "job-started")).alias("messages"),
+        F.count_if(st == "job-queued").alias("messages_ready"),
+        F.count_if((st == "job-started") & (F.col("celery_hostname") == "w7")).alias("messages_unacknowledged"),
+    )
+    return O.stuck_queues(stats, j.select("job_queue", "payload_id", "time_start", "time_limit"), A.ORDERS_AS_OF)
+
+
+@register(
+    "r4_purge",
+    with_adapters("""
+SELECT payload_id, status, time_start FROM jobs
+WHERE status = 'job-started' AND time_start < TIMESTAMP '1998-01-01 00:00:00'"""),
+)
+def r4_purge(spark, sf):
+    """Started jobs older than a cut-off, selected for removal."""
+    j = A.jobs(spark, sf).select("payload_id", "status", "time_start")
+    kept, removed = O.purge(j, ["job-started"], "1998-01-01 00:00:00", ts="time_start")
+    return removed
+
+
+@register(
+    "r5_move_failed",
+    with_adapters("""
+SELECT payload_id, seq, status,
+       CASE WHEN status = 'job-failed' THEN 'job_failed' ELSE 'job_status-' || strftime(ts, '%Y.%m.%d') END AS "index",
+       CASE WHEN status = 'job-failed' THEN 'job_status-' || strftime(ts, '%Y.%m.%d') END AS orig_index
+FROM job_events"""),
+)
+def r5_move_failed(spark, sf):
+    """Target partition of every job write; failed jobs move to the
+    failed partition and remember their day."""
+    ev = A.job_events(spark, sf).select("payload_id", "seq", "status", "ts")
+    return O.move_failed(ev).select("payload_id", "seq", "status", "index", "orig_index")
+
+
+@register(
+    "w7_eviction_plan",
+    with_adapters("""
+WITH i AS (SELECT 'w' || CAST(suppkey % 20 AS VARCHAR) AS host, url AS path, bytes, time_end AS ts,
+                  CASE WHEN flag = 'R' THEN 'task' WHEN flag = 'A' THEN 'job_ok'
+                       WHEN line_status = 'O' THEN 'job_other' ELSE 'cache' END AS class
+           FROM products),
+r AS (SELECT *, CASE class WHEN 'task' THEN 1 WHEN 'job_ok' THEN 2 WHEN 'job_other' THEN 3 ELSE 4 END AS rk,
+             CASE WHEN class = 'cache' THEN -epoch_us(ts) END AS ck FROM i)
+SELECT host, path, class, bytes,
+       coalesce(sum(bytes) OVER (PARTITION BY host ORDER BY rk, ck NULLS FIRST, path, bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS freed_before,
+       coalesce(sum(bytes) OVER (PARTITION BY host ORDER BY rk, ck NULLS FIRST, path, bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) < 5000000.0 AS "delete"
+FROM r"""),
+)
+def w7_eviction_plan(spark, sf):
+    """Per host, the finished items to delete to free 5 MB."""
+    p = A.products(spark, sf)
+    cls = (F.when(F.col("flag") == "R", "task").when(F.col("flag") == "A", "job_ok")
+           .when(F.col("line_status") == "O", "job_other").otherwise("cache"))
+    items = p.select(F.concat(F.lit("w"), (F.col("suppkey") % 20).cast("string")).alias("host"), F.col("url").alias("path"),
+                     "bytes", F.col("time_end").alias("ts"), cls.alias("class"))
+    return O.eviction_plan(items, 5_000_000, order=["path", "bytes"]).select("host", "path", "class", "bytes", "freed_before", "delete")
