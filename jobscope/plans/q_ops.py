@@ -215,3 +215,81 @@ def w7_eviction_plan(spark, sf):
     items = p.select(F.concat(F.lit("w"), (F.col("suppkey") % 20).cast("string")).alias("host"), F.col("url").alias("path"),
                      "bytes", F.col("time_end").alias("ts"), cls.alias("class"))
     return O.eviction_plan(items, 5_000_000, order=["path", "bytes"]).select("host", "path", "class", "bytes", "freed_before", "delete")
+
+
+# ------------------------------------------------------ orchestration ----
+
+from jobscope.operators import orchestrate as ORC  # noqa: E402
+
+# Orchestrator configuration used by the registered fan-out: two types are
+# configured (one with two creators), the others fall to the catch-all.
+ORCH_CONFIG = [
+    ("job:1-URGENT", "urgent_a", "creators.urgent_a", ["q-urgent", "q-fast"]),
+    ("job:1-URGENT", "urgent_b", "creators.urgent_b", []),
+    ("job:2-HIGH", "high", "creators.high", ["q-high"]),
+]
+
+
+def _specs(spark, sf):
+    o = A.table(spark, sf, "orders")
+    jt = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit("job:"), F.col("o_orderpriority")))
+    payload = F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("string")).otherwise(F.col("o_custkey").cast("string"))
+    return o.select(F.col("o_orderkey").cast("string").alias("spec_id"), jt.alias("job_type"),
+                    F.when(F.col("o_totalprice") > 300000, F.lit("q-big")).alias("job_queue"), payload.alias("payload"))
+
+
+@register(
+    "j16_fan_out_jobs",
+    with_adapters("""
+WITH s AS (SELECT CAST(o_orderkey AS VARCHAR) AS spec_id,
+                  CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE 'job:' || o_orderpriority END AS job_type,
+                  CASE WHEN o_totalprice > 300000 THEN 'q-big' END AS job_queue,
+                  CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS payload FROM orders),
+cfg AS (SELECT * FROM (VALUES ('job:1-URGENT', 'urgent_a', 'creators.urgent_a', 'q-urgent'),
+                              ('job:1-URGENT', 'urgent_a', 'creators.urgent_a', 'q-fast'),
+                              ('job:1-URGENT', 'urgent_b', 'creators.urgent_b', NULL),
+                              ('job:2-HIGH', 'high', 'creators.high', 'q-high')) t(job_type, job_name, function, q)),
+ok AS (SELECT * FROM s WHERE job_type IS NOT NULL AND payload IS NOT NULL)
+SELECT ok.spec_id, ok.job_type, cfg.job_name, cfg.function, coalesce(cfg.q, ok.job_queue, 'default') AS job_queue,
+       'job-queued' AS status, CAST(NULL AS VARCHAR) AS error
+FROM ok JOIN cfg USING (job_type)
+UNION ALL
+SELECT spec_id, job_type, regexp_extract(job_type, '^\\w+?:(.*)$', 1), 'catch_all', coalesce(job_queue, 'default'), 'job-queued', NULL
+FROM ok WHERE job_type NOT IN (SELECT job_type FROM cfg)
+UNION ALL
+SELECT spec_id, job_type, NULL, NULL, NULL, 'job-failed',
+       'Error queueing job from orchestrator: Invalid job spec. No ''' || CASE WHEN job_type IS NULL THEN 'job_type' ELSE 'payload' END || ''' specified.'
+FROM s WHERE job_type IS NULL OR payload IS NULL"""),
+)
+def j16_fan_out_jobs(spark, sf):
+    """Job specs fanned out by the orchestrator configuration."""
+    cfg = spark.createDataFrame(ORCH_CONFIG, "job_type string, job_name string, function string, job_queues array<string>")
+    return ORC.fan_out_jobs(_specs(spark, sf), cfg)
+
+
+@register(
+    "j17_worker_config_for",
+    with_adapters("""
+SELECT payload_id, job_type AS type, CASE WHEN job_type IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'cfg-' || job_type END AS work_dir,
+       CASE WHEN job_type IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN NULL ELSE 'job-failed' END AS status,
+       CASE WHEN job_type IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN NULL ELSE 'No work configuration for type ''' || job_type || '''.' END AS error
+FROM jobs"""),
+)
+def j17_worker_config_for(spark, sf):
+    """Every job's work configuration; unknown types fail."""
+    cfg = spark.createDataFrame([(t, f"cfg-{t}") for t in ("1-URGENT", "2-HIGH", "3-MEDIUM")], "type string, work_dir string")
+    j = A.jobs(spark, sf).select("payload_id", F.col("job_type").alias("type"))
+    return ORC.worker_config_for(j, cfg).select("payload_id", "type", "work_dir", "status", "error")
+
+
+@register(
+    "j21_lookup_status",
+    with_adapters("""
+SELECT CAST(l.l_orderkey AS VARCHAR) AS payload_id, l.l_linenumber, j.status, j.status IS NOT NULL AS found
+FROM lineitem l LEFT JOIN jobs j ON j.payload_id = CAST(l.l_orderkey AS VARCHAR)"""),
+)
+def j21_lookup_status(spark, sf):
+    """Stored status of the job behind every line item id."""
+    ids = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("payload_id"), "l_linenumber")
+    return ORC.lookup_status(ids, A.jobs(spark, sf).select("payload_id", "status"))
