@@ -1 +1,105 @@
-"""Registered queries (family placeholder)."""
+"""Registered queries: streaming operators, run over the driver tables read
+as file streams (``availableNow``: every available file, then stop).
+
+Each run checkpoints under ``spark.checkpoint.dir`` in a fresh folder, so a
+rerun reprocesses the input instead of resuming a finished stream.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from jobscope.plans.oracle import with_adapters
+from jobscope.plans.q_state import STATE_COLS
+from jobscope.plans.registry import register
+from jobscope.sources import adapters as A
+from jobscope.streaming import ops as T
+
+
+def _run(df, tag: str, mode: str = "append"):
+    name = f"{tag}_{uuid.uuid4().hex[:8]}"
+    return T.run_available(df, name, mode=mode)
+
+
+@register(
+    "t1_stream_current_state",
+    with_adapters("""
+SELECT payload_id, status, ts, seq, celery_hostname, type FROM (
+  SELECT *, row_number() OVER (
+      PARTITION BY payload_id
+      ORDER BY (status IN ('job-completed','job-failed','job-deduped','job-offline','job-revoked')) DESC,
+               (status IN ('job-completed','job-failed','job-deduped','job-offline','job-revoked') AND NOT supervisory) DESC,
+               ts DESC, seq DESC) AS rn
+  FROM job_events) WHERE rn = 1"""),
+)
+def t1_stream_current_state(spark, sf):
+    """Guarded current state maintained by a streaming aggregation."""
+    ev = A.job_events(spark, sf, streaming=True).select(*STATE_COLS, "supervisory")
+    out = _run(T.stream_current_state(ev, "payload_id"), "t1", mode="complete")
+    return out.select(*STATE_COLS)
+
+
+@register("t2_stream_first_by_hash", with_adapters("SELECT DISTINCT payload_hash FROM job_events"))
+def t2_stream_first_by_hash(spark, sf):
+    """First submission per payload hash within a day (one micro-batch)."""
+    ev = A.job_events(spark, sf, streaming=True).select("payload_hash", "payload_id", "ts")
+    return _run(T.stream_first_by_hash(ev), "t2").select("payload_hash")
+
+
+@register(
+    "t3_worker_alive_batch",
+    with_adapters("""
+SELECT celery_hostname, seq, status, next_ts,
+       status <> 'worker-offline' AND (next_ts IS NULL OR (epoch_us(next_ts) - epoch_us(ts)) / 1e6 > 3600) AS expires
+FROM (SELECT *, lead(ts) OVER (PARTITION BY celery_hostname ORDER BY ts, seq) AS next_ts FROM worker_events)"""),
+)
+def t3_worker_alive_batch(spark, sf):
+    """T3 (batch form): heartbeats followed by more than an hour of silence."""
+    w = A.worker_events(spark, sf).select("celery_hostname", "seq", "status", "ts")
+    return T.worker_alive_batch(w, ttl_secs=3600).select("celery_hostname", "seq", "status", "next_ts", "expires")
+
+
+@register("t3_stream_worker_alive")
+def t3_stream_worker_alive(spark, sf):
+    """Worker liveness by event-time timers (rows-only check)."""
+    w = A.worker_events(spark, sf, streaming=True)
+    return _run(T.stream_worker_alive(w, ttl_secs=3600), "t3")
+
+
+@register("t4_stream_timeouts")
+def t4_stream_timeouts(spark, sf):
+    """T4: jobs silent for a day, by event-time timers (rows-only check)."""
+    ev = A.job_events(spark, sf, streaming=True).select("payload_id", "status", "ts")
+    return _run(T.stream_timeouts(ev, 86400), "t4")
+
+
+@register("t5_stream_failed_tasks")
+def t5_stream_failed_tasks(spark, sf):
+    """T5: supervisory failures applied after the grace period unless a
+    terminal status came first (rows-only check)."""
+    t = A.task_events(spark, sf, streaming=True)
+    j = A.job_events(spark, sf, streaming=True).select("uuid", "status", "ts")
+    return _run(T.stream_failed_tasks(t, j, grace_secs=300), "t5")
+
+
+@register("t8_stream_job_drain")
+def t8_stream_job_drain(spark, sf):
+    """Drain detection with running per-worker state (rows-only check)."""
+    ev = A.job_events(spark, sf, streaming=True).select("celery_hostname", "status", "ts", "seq")
+    return _run(T.stream_job_drain(ev, threshold=3, window_secs=3600.0), "t8")
+
+
+@register(
+    "t9_log_chunks",
+    with_adapters("""
+SELECT id, type, time_bucket(INTERVAL '1 second', ts) AS window_start,
+       time_bucket(INTERVAL '1 second', ts) + INTERVAL '1 second' AS window_end,
+       string_agg(chunk, '' ORDER BY seq) AS chunk, CAST(count(*) AS INTEGER) AS n_lines
+FROM log_lines GROUP BY id, type, time_bucket(INTERVAL '1 second', ts)"""),
+    bench=True,
+)
+def t9_log_chunks(spark, sf):
+    """Job output concatenated per stream and 1-second send interval."""
+    return T.log_chunks(A.log_lines(spark, sf), "1 second")

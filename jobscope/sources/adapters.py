@@ -34,9 +34,15 @@ EXC_SOFT_LIMIT = "SoftTimeLimitExceeded()"
 EXC_OTHER = "RuntimeError('command exited with status 1')"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:
+    """A driver table; with ``streaming=True`` the same file as a file-stream
+    source (schema taken from the file, one micro-batch per new file)."""
     ensure_utc(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if streaming:
+        return (spark.readStream.schema(spark.read.parquet(path).schema)
+                .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir.rstrip("/")))
+    return spark.read.parquet(path)
 
 
 def _ts(c: str) -> Column:
@@ -65,9 +71,9 @@ def _worker_host(col: str, mod: int) -> Column:
     return F.concat(F.lit("w"), (F.col(col) % mod).cast("string"))
 
 
-def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def job_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """events -> job status log (one row per status write)."""
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", streaming)
     status = (
         F.when(F.col("event_type") == "signup", "job-queued")
         .when(F.col("event_type") == "view", "job-started")
@@ -129,9 +135,9 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def task_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """events -> task event log."""
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", streaming)
     status = (
         F.when(F.col("event_type") == "view", "task-started")
         .when(F.col("event_type") == "purchase", "task-succeeded")
@@ -155,9 +161,9 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def worker_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def worker_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """events -> worker event log."""
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", streaming)
     status = (
         F.when(F.col("event_type") == "signup", "worker-online")
         .when(F.col("event_type") == "error", "worker-offline")
@@ -247,9 +253,9 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOG_EPOCH = "2024-01-01 00:00:00"
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_lines(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """conversations -> stdout/stderr chunks of a job."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", streaming)
     return c.select(
         F.col("conv_id").cast("string").alias("id"),
         F.col("role").alias("type"),
