@@ -167,12 +167,27 @@ def discover_datasets(spark, root: str) -> DataFrame:
         F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("parent"),
         F.col("content").cast("string").alias("dataset_json"),
     ).filter(F.col("name") == F.col("parent"))
-    markers = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-               .option("pathGlobFilter", ".localized").load(root)
-               .select(F.regexp_replace("path", r"/[^/]+$", "").alias("dir")))
+    markers = spark.createDataFrame([(m,) for m in _marker_dirs(spark, root, ".localized")], "dir string")
     return d.join(markers, "dir", "left_anti").select("dir", "name", "dataset_json")
 
 
+def _marker_dirs(spark, root: str, marker: str) -> list[str]:
+    """Directories below ``root`` holding a marker file.  File sources skip
+    dot-files, so markers are found with the Hadoop FileSystem listing (file
+    metadata only; one entry per marked directory)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    out = []
+    it = fs.listFiles(base, True)
+    while it.hasNext():
+        st = it.next()
+        if st.getPath().getName() == marker:
+            out.append(st.getPath().getParent().toString())
+    return out
+
+
 def read_usage_stats(spark, root: str, schema: T.StructType | None = None) -> DataFrame:
     """``_docker_stats.json`` anywhere below a root; unreadable files are
     skipped (PERMISSIVE, corrupt rows dropped)."""

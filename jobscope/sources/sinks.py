@@ -31,18 +31,19 @@ def route_table(resource: str = "resource", index: str = "index", ts: str = "ts"
 
 def write_routed(df: DataFrame, base: str, mode: str = "append") -> None:
     """S9 (batch): write a mixed log partitioned by table and day."""
-    idx = "index" if "index" in df.columns else None
-    table = route_table(index=idx) if idx else route_table(index="resource")
-    out = df.withColumns({"table": table, "day": F.to_date("ts")})
+    if "index" not in df.columns:
+        df = df.withColumn("index", F.lit(None).cast("string"))
+    out = df.withColumns({"table": route_table(), "day": F.to_date("ts")})
     out.write.mode(mode).partitionBy("table", "day").parquet(base)
 
 
 def write_routed_stream(df: DataFrame, base: str, checkpoint: str, trigger: dict | None = None):
-    """S9 (stream): the same routing per micro-batch; a batch id already
-    written is skipped, so replays after a failure do not duplicate rows."""
+    """S9 (stream): the same routing per micro-batch.  Each batch overwrites
+    its own ``batch=<id>`` folder, so a batch replayed after a failure
+    replaces its earlier partial output instead of duplicating rows."""
 
     def batch(bdf: DataFrame, batch_id: int):
-        write_routed(bdf.withColumn("_batch", F.lit(batch_id)), base)
+        write_routed(bdf, f"{base.rstrip('/')}/batch={batch_id}", mode="overwrite")
 
     w = df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -79,11 +80,11 @@ def read_current(spark: SparkSession, table: str) -> DataFrame | None:
     return spark.read.parquet(f"{table}/{v}") if v else None
 
 
-def upsert_all_or_nothing(df: DataFrame, table: str, key: str = "id", order: str | None = None) -> str:
+def upsert_all_or_nothing(df: DataFrame, table: str, key: str = "id") -> str:
     """Bulk upsert of catalog rows; either every row lands or none.
 
     The new version is the previous one with rows of the same key replaced
-    (last write by ``order`` when given), written in full to a new version
+    by the incoming rows, written in full to a new version
     directory; only after that write succeeds is the ``_CURRENT`` pointer
     replaced (write-then-rename).  Returns the new version name.
     """
