@@ -83,6 +83,34 @@ def job_timeline(events: DataFrame, key="payload_id") -> DataFrame:
     )
 
 
+def timeline_and_state(events: DataFrame, key="payload_id", state_cols=(), supervisory: str | None = "supervisory") -> DataFrame:
+    """A3 and A2 in ONE aggregation: the timeline columns plus the guarded
+    current row (``current_status``, ``last_update`` and ``state_cols``).  One scan and one
+    shuffle of the log instead of two."""
+    keys = _cols(key)
+    st, ts = F.col("status"), F.col("ts")
+    term = is_terminal("status")
+    sup = F.coalesce(F.col(supervisory), F.lit(False)) if supervisory and supervisory in events.columns else F.lit(False)
+    guarded = F.struct(term.alias("t"), (term & ~sup).alias("a"), ts, F.col("seq"))
+    packed = F.struct(*[F.col(c).alias(c) for c in ("status", "ts", *state_cols)])
+    out = events.groupBy(*keys).agg(
+        F.min(F.when(st == "job-queued", ts)).alias("time_queued"),
+        F.min(F.when(st == "job-started", ts)).alias("time_start"),
+        F.max(F.when(term, ts)).alias("time_end"),
+        F.count(F.lit(1)).alias("n_events"),
+        F.max_by(packed, guarded).alias("_cur"),
+    )
+    secs = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6)
+    return out.select(
+        *keys, "time_queued", "time_start", "time_end", "n_events",
+        F.col("_cur.status").alias("final_status"),
+        secs(F.col("time_start"), F.col("time_queued")).alias("wait_secs"),
+        secs(F.col("time_end"), F.col("time_start")).alias("run_secs"),
+        F.col("_cur.status").alias("current_status"), F.col("_cur.ts").alias("last_update"),
+        *[F.col(f"_cur.{c}").alias(c) for c in state_cols],
+    )
+
+
 def latest_per(df: DataFrame, keys, order, n: int = 1) -> DataFrame:
     """The newest ``n`` rows per key (sort descending, size n).
 

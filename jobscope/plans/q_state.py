@@ -63,18 +63,14 @@ def a3_job_timeline(spark, sf):
 
 
 def timeline_with_state(spark, sf):
-    """Flagship: every job's timeline joined to its guarded current state.
+    """Flagship: every job's timeline with its guarded current state.
 
-    Both sides aggregate the same log on the same key; the join is between
-    two results already hash-partitioned on ``payload_id``, so it adds no
-    exchange beyond the two aggregations' own.
+    Timeline and current state come out of one aggregation over the log
+    (one scan, one shuffle on ``payload_id``, partial aggregation map-side);
+    no join is needed.
     """
     ev = A.job_events(spark, sf).select(*STATE_COLS, "supervisory")
-    tl = state.job_timeline(ev.select("payload_id", "status", "ts", "seq"), "payload_id")
-    cur = state.current_state_guarded(ev, "payload_id").select(
-        "payload_id", F.col("status").alias("current_status"), F.col("ts").alias("last_update"), "celery_hostname", "type"
-    )
-    return tl.join(cur, "payload_id")
+    return state.timeline_and_state(ev, "payload_id", ["celery_hostname", "type"])
 
 
 register(

@@ -24,13 +24,25 @@ def job_events_flat(spark, sf):
     )
 
 
+def _current_and_live(spark, sf):
+    """Last write (A1) and guarded live status (A2) per job from ONE
+    aggregation; both consumers share its scan and shuffle (exchange reuse)."""
+    ev = job_events_flat(spark, sf)
+    rest = [c for c in ev.columns if c != "payload_id"]
+    term = state.is_terminal("status")
+    auth = term & ~F.coalesce(F.col("supervisory"), F.lit(False))
+    return ev.groupBy("payload_id").agg(
+        F.max_by(F.struct(*rest), F.struct("ts", "seq")).alias("cur"),
+        F.max_by(F.struct("uuid", "status"), F.struct(term, auth, F.col("ts"), F.col("seq"))).alias("live"),
+    )
+
+
 def jobs_current(spark, sf):
-    return state.current_state(job_events_flat(spark, sf), "payload_id")
+    return _current_and_live(spark, sf).select("payload_id", "cur.*")
 
 
 def live_status(spark, sf):
-    g = state.current_state_guarded(job_events_flat(spark, sf).select("payload_id", "uuid", "status", "ts", "seq", "supervisory"))
-    return g.select("uuid", F.col("status").alias("live_status"))
+    return _current_and_live(spark, sf).select(F.col("live.uuid").alias("uuid"), F.col("live.status").alias("live_status"))
 
 
 # ---------------------------------------------------------------- J3 -----
