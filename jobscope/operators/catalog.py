@@ -86,12 +86,26 @@ def ancestors(col, sep: str = "/") -> Column:
 
 def objects_under(objects: DataFrame, prefixes: DataFrame, key: str = "key", prefix: str = "prefix") -> DataFrame:
     """Objects whose key lies under one of the prefixes (directory
-    prefixes ending in ``/``).  Each key emits its ancestor directories,
-    which are equi-joined with the prefixes."""
+    prefixes; a missing trailing ``/`` is added).
+
+    Prefixes have few distinct depths (number of ``/``); those depths are
+    read on the driver (a handful of integers) and every key emits only its
+    ancestor at each such depth with ``substring_index`` (codegen'd, no
+    lambda).  The candidates are equi-joined with the prefixes: no theta join.
+    """
     p = prefixes.select(F.when(F.col(prefix).endswith("/"), F.col(prefix)).otherwise(
         F.concat(F.col(prefix), F.lit("/"))).alias(prefix)).distinct()
-    cols = [c for c in objects.columns]
-    exploded = objects.select(*cols, F.explode(ancestors(key)).alias(prefix))
+    nslash = lambda c: F.length(c) - F.length(F.regexp_replace(c, "/", ""))
+    depths = sorted(r.d for r in p.select(nslash(F.col(prefix)).alias("d")).distinct().collect())
+    cols = list(objects.columns)
+    if not depths:
+        return objects.limit(0).withColumn(prefix, F.lit(None).cast("string"))
+    k = F.col(key)
+    n = nslash(k)
+    cands = F.array(*[F.when(n > d - 1, F.concat(F.substring_index(k, "/", d), F.lit("/"))) for d in depths])
+    # a key equal to the directory itself (no character after the last '/') is not under it
+    exploded = objects.select(*cols, F.explode(cands).alias(prefix)).filter(
+        F.col(prefix).isNotNull() & (F.length(k) > F.length(F.col(prefix))))
     return exploded.join(p, prefix).select(*cols, prefix)
 
 
