@@ -60,10 +60,20 @@ def get_spark(master: str | None = None, app_name: str = "jobscope", **conf) ->
     return spark
 
 
+# Runtime SQL settings the operators' semantics depend on (not tuning):
+# UTC is the engine's only zone; metadata merges let the later map win.
+REQUIRED_RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+}
+
+
 def ensure_utc(spark: SparkSession) -> None:
-    """Pin the session zone to UTC (the engine's only time zone)."""
-    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Pin the runtime settings the engine's semantics need (UTC zone, last
+    map key wins) on whatever session the caller passes in."""
+    for k, v in REQUIRED_RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
