@@ -18,12 +18,14 @@ from pyspark.sql import SparkSession
 
 U64 = np.uint64
 #: Text bytes handled at once (a longer document is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Rows of an Arrow batch sent to a worker.
 BATCH_ROWS = 500
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: For words without signs: all ASCII but letters and digits.
+IS_SIGN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -94,13 +96,13 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterat
         lo = hi
 
 
-def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and the number of the first word of each row (one more at the end)."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    word = ~IS_SPACE[buf]
+    word = ~gap[buf]
     first = np.empty(n, bool)
     first[0] = True
     np.logical_not(word[:-1], out=first[1:])
@@ -125,11 +127,11 @@ def hasher(seed: int = 0) -> Hasher:
     return _HASHERS[seed]
 
 
-def words(buf: np.ndarray, off: np.ndarray, lower: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, off: np.ndarray, lower: bool, seed: int = 0, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and the number of the first word of each row."""
     if lower:
         buf = LOWER[buf]
-    starts, ends, first = spans(buf, off)
+    starts, ends, first = spans(buf, off, gap)
     return hasher(seed).ranges(buf, starts, ends), first
 
 
