@@ -1,6 +1,17 @@
 """Loads every operator module, so that its query is registered."""
 
-from . import near_dedup  # noqa: F401
+from . import (  # noqa: F401
+    decontaminate,
+    id_files,
+    imatch,
+    kneser_ney,
+    language_id,
+    license_scan,
+    near_dedup,
+    sampled_pieces,
+    site_style_tree,
+    substring_dedup,
+)
 from .common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
