@@ -44,7 +44,7 @@ SELECT {PID_SQL} AS payload_id,
        CASE WHEN event_type = 'error' THEN {EXC_SQL} END AS error,
        'w' || CAST(user_id % 10 AS VARCHAR) AS celery_hostname,
        'job-t' || CAST(user_id % 4 AS VARCHAR) AS type,
-       ts, event_id AS seq, false AS supervisory,
+       ts, event_id AS seq, event_type = 'click' AND user_id % 5 = 0 AS supervisory,
        'queue-' || CAST(user_id % 3 AS VARCHAR) AS job_queue,
        CASE WHEN event_type = 'signup' THEN ts END AS time_queued,
        CASE WHEN event_type = 'view' THEN ts END AS time_start,
@@ -147,6 +147,8 @@ def with_adapters(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({ADAPTERS[n]})" for n in wanted)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

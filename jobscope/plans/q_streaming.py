@@ -37,15 +37,22 @@ SELECT payload_id, status, ts, seq, celery_hostname, type FROM (
 def t1_stream_current_state(spark, sf):
     """Guarded current state maintained by a streaming aggregation."""
     ev = A.job_events(spark, sf, streaming=True).select(*STATE_COLS, "supervisory")
-    out = _run(T.stream_current_state(ev, "payload_id"), "t1", mode="complete")
-    return out.select(*STATE_COLS)
-
-
-@register("t2_stream_first_by_hash", with_adapters("SELECT DISTINCT payload_hash FROM job_events"))
+    out = _run(T.stream_current_state(ev, "payload_id"), "t1", mode="update")
+    return T.latest_output(out, "payload_id").select(*STATE_COLS)
+
+
+@register("t2_stream_first_by_hash", with_adapters("""
+WITH RECURSIVE r AS (
+  SELECT payload_hash, min(ts) AS ts FROM job_events GROUP BY payload_hash
+  UNION ALL
+  SELECT r.payload_hash, min(j.ts) FROM r JOIN job_events j
+    ON j.payload_hash = r.payload_hash AND j.ts >= r.ts + INTERVAL 86400 SECOND GROUP BY r.payload_hash, r.ts)
+SELECT r.payload_hash, r.ts, arg_min(j.payload_id, j.seq) AS payload_id
+FROM r JOIN job_events j ON j.payload_hash = r.payload_hash AND j.ts = r.ts GROUP BY r.payload_hash, r.ts"""))
 def t2_stream_first_by_hash(spark, sf):
-    """First submission per payload hash within a day (one micro-batch)."""
-    ev = A.job_events(spark, sf, streaming=True).select("payload_hash", "payload_id", "ts")
-    return _run(T.stream_first_by_hash(ev), "t2").select("payload_hash")
+    """First submission per payload hash and day from it."""
+    ev = A.job_events(spark, sf, streaming=True).select("payload_hash", "payload_id", "ts", "seq")
+    return _run(T.stream_first_by_hash(ev), "t2").select("payload_hash", "payload_id", "ts")
 
 
 @register(
@@ -61,34 +68,82 @@ def t3_worker_alive_batch(spark, sf):
     return T.worker_alive_batch(w, ttl_secs=3600).select("celery_hostname", "seq", "status", "next_ts", "expires")
 
 
-@register("t3_stream_worker_alive")
+@register("t3_stream_worker_alive", with_adapters("""
+WITH w AS (
+  SELECT celery_hostname, status = 'worker-offline' AS off, ts, lag(ts) OVER x AS p,
+         lag(status = 'worker-offline') OVER x AS p_off, lead(ts) OVER x AS n
+  FROM worker_events WINDOW x AS (PARTITION BY celery_hostname ORDER BY ts, seq)),
+f AS (SELECT *, p IS NOT NULL AND NOT p_off AND epoch_us(ts) - epoch_us(p) <= 3600000000 AS alive FROM w),
+m AS (SELECT max(epoch_us(ts) // 1000) - 3600000 AS mark FROM worker_events)
+SELECT celery_hostname, 'alive' AS status, ts FROM f WHERE NOT off AND NOT alive
+UNION ALL SELECT celery_hostname, 'offline', ts FROM f WHERE off AND alive
+UNION ALL SELECT celery_hostname, 'expired', ts + INTERVAL 3600 SECOND FROM f, m
+WHERE NOT off AND (epoch_us(n) - epoch_us(ts) > 3600000000 OR n IS NULL AND epoch_us(ts) // 1000 + 3600000 < mark)"""))
 def t3_stream_worker_alive(spark, sf):
-    """Worker liveness by event-time timers (rows-only check)."""
+    """Worker liveness changes by gaps and event-time timers."""
     w = A.worker_events(spark, sf, streaming=True)
-    return _run(T.stream_worker_alive(w, ttl_secs=3600), "t3")
-
-
-@register("t4_stream_timeouts")
+    return _run(T.stream_worker_alive(w, ttl_secs=3600), "t3").drop("batch")
+
+
+@register("t4_stream_timeouts", with_adapters("""
+WITH e AS (
+  SELECT payload_id, status, ts, seq,
+         status IN ('job-completed','job-failed','job-deduped','job-offline','job-revoked') AS term,
+         max(CASE WHEN status IN ('job-completed','job-failed','job-deduped','job-offline','job-revoked') THEN ts END)
+           OVER (PARTITION BY payload_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended
+  FROM job_events),
+a AS (SELECT * FROM e WHERE term OR ended IS NULL OR epoch_us(ts) - epoch_us(ended) > 7200000000),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY payload_id ORDER BY ts, seq) AS nxt FROM a),
+m AS (SELECT max(epoch_us(ts) // 1000) - 7200000 AS mark FROM job_events)
+SELECT payload_id AS "key", status AS last_status, ts AS last_ts, ts + INTERVAL 7200 SECOND AS timed_out_at
+FROM n, m WHERE NOT term AND (epoch_us(nxt) - epoch_us(ts) > 7200000000 OR nxt IS NULL AND epoch_us(ts) // 1000 + 7200000 < mark)"""))
 def t4_stream_timeouts(spark, sf):
-    """T4: jobs silent for a day, by event-time timers (rows-only check)."""
-    ev = A.job_events(spark, sf, streaming=True).select("payload_id", "status", "ts")
-    return _run(T.stream_timeouts(ev, 86400), "t4")
-
-
-@register("t5_stream_failed_tasks")
+    """T4: jobs silent for two hours, by gaps and event-time timers."""
+    ev = A.job_events(spark, sf, streaming=True).select("payload_id", "status", "ts", "seq")
+    return _run(T.stream_timeouts(ev, 7200), "t4").drop("batch")
+
+
+@register("t5_stream_failed_tasks", with_adapters("""
+WITH f AS (
+  SELECT uuid, ts, exception, CASE WHEN exception LIKE 'WorkerLostError%' THEN 'WorkerLostError'
+         WHEN exception LIKE 'TimeLimitExceeded%' THEN 'TimeLimitExceeded' END AS cls
+  FROM task_events WHERE status = 'task-failed' AND (exception LIKE 'WorkerLostError%' OR exception LIKE 'TimeLimitExceeded%')),
+j AS (SELECT uuid, ts FROM job_events WHERE status IN ('job-completed','job-deduped','job-offline','job-revoked')),
+u AS (SELECT uuid, ts FROM f UNION ALL SELECT uuid, ts FROM j),
+l AS (SELECT uuid, max(ts) AS last FROM u GROUP BY uuid),
+m AS (SELECT max(epoch_us(ts) // 1000) - 300000 AS mark FROM u)
+SELECT f.uuid, f.exception AS error, f.cls AS short_error, f.ts AS failed_at
+FROM f JOIN l USING (uuid), m
+WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.uuid = f.uuid AND j.ts >= f.ts - INTERVAL 86400 SECOND AND j.ts <= f.ts + INTERVAL 300 SECOND)
+  AND (l.last > f.ts + INTERVAL 300 SECOND OR epoch_us(f.ts) // 1000 + 300000 < mark)"""))
 def t5_stream_failed_tasks(spark, sf):
     """T5: supervisory failures applied after the grace period unless a
-    terminal status came first (rows-only check)."""
+    terminal status came first.  The job log is taken without its own failure
+    rows, which the adapted data has at the instant of every task failure."""
     t = A.task_events(spark, sf, streaming=True)
-    j = A.job_events(spark, sf, streaming=True).select("uuid", "status", "ts")
-    return _run(T.stream_failed_tasks(t, j, grace_secs=300), "t5")
-
-
-@register("t8_stream_job_drain")
+    j = A.job_events(spark, sf, streaming=True).where("status <> 'job-failed'").select("uuid", "status", "ts")
+    return _run(T.stream_failed_tasks(t, j, grace_secs=300), "t5").drop("batch")
+
+
+@register("t8_stream_job_drain", with_adapters("""
+WITH RECURSIVE ev AS (
+  SELECT celery_hostname AS host, status = 'job-failed' AS failed, ts,
+         row_number() OVER (PARTITION BY celery_hostname ORDER BY ts, seq) AS rn
+  FROM job_events WHERE status IN ('job-failed', 'job-completed', 'job-deduped')),
+r AS (
+  SELECT host, ts, rn, failed, CAST(failed AS BIGINT) AS c, ts AS start, false AS drain FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT host, ts, rn, failed, c, start,
+         c > 3 AND (ts = start OR c / ((epoch_us(ts) - epoch_us(start)) / 1e6) >= 3 / 3600.0)
+  FROM (SELECT e.host, e.ts, e.rn, e.failed,
+               CASE WHEN NOT e.failed THEN 0 WHEN r.drain THEN 1 ELSE r.c + 1 END AS c,
+               CASE WHEN r.drain OR r.c = 0 THEN e.ts ELSE r.start END AS start
+        FROM r JOIN ev e ON e.host = r.host AND e.rn = r.rn + 1))
+SELECT host, ts, c AS "count", drain FROM r WHERE failed"""))
 def t8_stream_job_drain(spark, sf):
-    """Drain detection with running per-worker state (rows-only check)."""
+    """Drain detection with running per-worker state."""
     ev = A.job_events(spark, sf, streaming=True).select("celery_hostname", "status", "ts", "seq")
-    return _run(T.stream_job_drain(ev, threshold=3, window_secs=3600.0), "t8")
+    return _run(T.stream_job_drain(ev, threshold=3, window_secs=3600.0), "t8").drop("batch")
 
 
 @register(

@@ -9,15 +9,20 @@ the reference has none (it applies records in arrival order); here late
 records beyond the watermark are dropped by Spark, which is stated per
 operator.
 
-Keyed state is per job or per worker; custom state machines use
+Keyed state is per job, hash or worker; custom state machines use
 ``applyInPandasWithState`` with event-time timeouts (Arrow batches per key
-group, only the keys present in the micro-batch).
+group, only the keys present in the micro-batch).  Each sorts a batch's rows
+of a key by time and goes on from the state, so a log that arrives in time
+order gives the same rows however it is cut into batches; gaps inside a batch
+are seen as well as those that a timer ends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +35,53 @@ from jobscope.session import checkpoint_dir
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a streaming query over everything available now into a memory
-    table and return that table (for tests and registered checks)."""
+    """Run a streaming query over everything available now into Parquet in the
+    shared folder, and read that (for tests and registered checks).
+
+    Each micro-batch overwrites its own ``batch=<id>`` folder, so a replayed
+    one replaces its earlier output.  The result has the column ``batch``.
+    """
     spark = df.sparkSession
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    out, schema = f"{base}/out", df.schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+    def batch(bdf: DataFrame, batch_id: int):
+        bdf.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = (df.writeStream.foreachBatch(batch).outputMode(mode)
+         .option("checkpointLocation", checkpoint or f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(schema.add("batch", "long")).parquet(out)
+
+
+def latest_output(out: DataFrame, key: str) -> DataFrame:
+    """The newest row per key of an update-mode query's output."""
+    rest = [c for c in out.columns if c not in (key, "batch")]
+    return out.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(key, "_row.*")
+
+
+def _micros(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy("datetime64[us]").astype("int64")
+
+
+def _stamps(us) -> pd.Series:
+    return pd.Series(np.asarray(us, "int64").astype("datetime64[us]").astype("datetime64[ns]"))
+
+
+def _ordered(pdfs, by: Sequence[str]) -> pd.DataFrame:
+    pdf = pd.concat(list(pdfs), ignore_index=True)
+    return pdf.sort_values([c for c in by if c in pdf.columns], kind="stable", ignore_index=True)
+
+
+def _arm(state, at_ms: int) -> None:
+    """Set the timer, which may not lie before the watermark."""
+    state.setTimeoutTimestamp(max(int(at_ms), state.getCurrentWatermarkMs() + 1))
+
+
+def _keyed(events: DataFrame, key: str, name: str, *cols: str) -> DataFrame:
+    seq = ["seq"] if "seq" in events.columns else []
+    return events.select(F.col(key).alias(name), *cols, *seq)
 
 
 # ---------------------------------------------------------------- T1 -----
@@ -47,7 +91,10 @@ def stream_current_state(events: DataFrame, key: str = "payload_id", guarded: bo
                          watermark: str | None = None) -> DataFrame:
     """A1/A2 continuously: a streaming aggregation keeping, per key, the
     write with the highest precedence ((terminal, authoritative,) ts, seq).
-    Emit in ``update`` mode (changed keys per batch) or ``complete``."""
+    Emit in ``update`` mode: each batch gives the keys it changed, and
+    ``latest_output`` of them is the current state.  State is one row per key,
+    as the current state is; give ``watermark`` and a time window as part of
+    the key to let it expire."""
     cols = [c for c in events.columns if c != key]
     term = F.col("status").isin(*TERMINAL_JOB_STATUSES)
     if guarded:
@@ -63,11 +110,38 @@ def stream_current_state(events: DataFrame, key: str = "payload_id", guarded: bo
 # ---------------------------------------------------------------- T2 -----
 
 
-def stream_first_by_hash(specs: DataFrame, ttl: str = "86400 seconds", hash_col: str = "payload_hash",
-                         ts: str = "ts") -> DataFrame:
-    """The first submission per payload hash within the TTL (the TTL runs
-    from the first one); later duplicates inside it are dropped."""
-    return specs.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([hash_col])
+FIRST_SCHEMA = "payload_hash string, payload_id string, ts timestamp"
+
+
+def stream_first_by_hash(specs: DataFrame, ttl_secs: int = 86400, hash_col: str = "payload_hash",
+                         id_col: str = "payload_id") -> DataFrame:
+    """The first submission per payload hash; later ones are dropped until
+    the TTL, which runs from the first one, is over.  State: the time of the
+    hash's current first submission, removed when the watermark passes its TTL."""
+    ev = specs.withWatermark("ts", f"{ttl_secs} seconds")
+    ev = _keyed(ev, hash_col, "payload_hash", F.col(id_col).alias("payload_id"), "ts")
+    ttl = ttl_secs * 1_000_000
+
+    def step(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = _ordered(pdfs, ["ts", "seq", "payload_id"])
+        us = _micros(pdf["ts"])
+        first = state.get[0] if state.exists else None
+        at = 0 if first is None else int(np.searchsorted(us, first + ttl, "left"))
+        chosen = []
+        while at < len(us):  # one step per row that is kept
+            first = int(us[at])
+            chosen.append(at)
+            at = int(np.searchsorted(us, first + ttl, "left"))
+        state.update((first,))
+        _arm(state, first // 1000 + ttl_secs * 1000)
+        if chosen:
+            yield pd.DataFrame({"payload_hash": key[0], "payload_id": pdf["payload_id"].iloc[chosen].to_numpy(), "ts": _stamps(us[chosen])})
+
+    return ev.groupBy("payload_hash").applyInPandasWithState(
+        step, FIRST_SCHEMA, "first_us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ------------------------------------------------------------ T3, T4 -----
@@ -76,30 +150,37 @@ ALIVE_SCHEMA = "celery_hostname string, status string, ts timestamp"
 
 
 def stream_worker_alive(events: DataFrame, ttl_secs: int = 60, host: str = "celery_hostname") -> DataFrame:
-    """A worker is alive while heartbeats are less than ``ttl`` apart;
-    ``worker-offline`` clears it at once; a missed heartbeat expires it when
-    the event-time watermark passes last heartbeat + ttl."""
-    ev = events.withWatermark("ts", f"{ttl_secs} seconds").select(F.col(host).alias("celery_hostname"), "status", "ts")
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state):
-        h = key[0]
+    """A worker is alive while heartbeats are at most ``ttl`` apart;
+    ``worker-offline`` clears it at once; without a further event it expires
+    when the watermark passes the last heartbeat + ttl.  A row per change:
+    alive, offline, expired."""
+    ev = _keyed(events.withWatermark("ts", f"{ttl_secs} seconds"), host, "celery_hostname", "status", "ts")
+    ttl = ttl_secs * 1_000_000
+
+    def step(key, pdfs, state):
         if state.hasTimedOut:
             (last,) = state.get
             state.remove()
-            yield pd.DataFrame({"celery_hostname": [h], "status": ["expired"],
-                                "ts": [pd.Timestamp(last, unit="us") + pd.Timedelta(seconds=ttl_secs)]})
+            yield pd.DataFrame({"celery_hostname": [key[0]], "status": ["expired"], "ts": _stamps([last + ttl])})
             return
-        pdf = pd.concat(list(pdfs)).sort_values("ts")
-        last_row = pdf.iloc[-1]
-        if last_row["status"] == "worker-offline":
+        pdf = _ordered(pdfs, ["ts", "seq"])
+        us, off = _micros(pdf["ts"]), (pdf["status"] == "worker-offline").to_numpy()
+        before = np.concatenate([[state.get[0] if state.exists else 0], us[:-1]])
+        was = np.concatenate([[state.exists], ~off[:-1]])
+        lapsed = was & (us - before > ttl)
+        alive = was & ~lapsed
+        out = [(before[i] + ttl, "expired") for i in np.flatnonzero(lapsed)]
+        out += [(us[i], "alive") for i in np.flatnonzero(~off & ~alive)]
+        out += [(us[i], "offline") for i in np.flatnonzero(off & alive)]
+        if off[-1]:
             if state.exists:
                 state.remove()
-            yield pd.DataFrame({"celery_hostname": [h], "status": ["offline"], "ts": [last_row["ts"]]})
-            return
-        last_us = int(pd.Timestamp(last_row["ts"]).value // 1000)
-        state.update((last_us,))
-        state.setTimeoutTimestamp(last_us // 1000 + ttl_secs * 1000)
-        yield pd.DataFrame({"celery_hostname": [h], "status": ["alive"], "ts": [last_row["ts"]]})
+        else:
+            state.update((int(us[-1]),))
+            _arm(state, int(us[-1]) // 1000 + ttl_secs * 1000)
+        if out:
+            out.sort()
+            yield pd.DataFrame({"celery_hostname": key[0], "status": [x for _, x in out], "ts": _stamps([t for t, _ in out])})
 
     return ev.groupBy("celery_hostname").applyInPandasWithState(
         step, ALIVE_SCHEMA, "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -121,30 +202,39 @@ TIMEOUT_SCHEMA = "key string, last_status string, last_ts timestamp, timed_out_a
 
 
 def stream_timeouts(events: DataFrame, timeout_secs: int, key: str = "payload_id") -> DataFrame:
-    """T4: a key with no update for ``timeout`` seconds (event time) yields a
-    row; terminal statuses stop watching the key."""
-    ev = events.withWatermark("ts", f"{timeout_secs} seconds").select(F.col(key).alias("key"), "status", "ts")
+    """T4: a key with no update for longer than ``timeout`` seconds (event
+    time) yields a row.  A terminal status stops watching the key, and what
+    comes within ``timeout`` of it does not start it again (A2)."""
+    ev = _keyed(events.withWatermark("ts", f"{timeout_secs} seconds"), key, "key", "status", "ts")
+    limit = timeout_secs * 1_000_000
+
+    def rows(k, status, us):
+        return pd.DataFrame({"key": k, "last_status": status, "last_ts": _stamps(us), "timed_out_at": _stamps(np.asarray(us) + limit)})
 
     def step(k, pdfs, state):
         if state.hasTimedOut:
-            status, last = state.get
+            status, last, done = state.get
             state.remove()
-            t = pd.Timestamp(last, unit="us")
-            yield pd.DataFrame({"key": [k[0]], "last_status": [status], "last_ts": [t],
-                                "timed_out_at": [t + pd.Timedelta(seconds=timeout_secs)]})
-            return
-        pdf = pd.concat(list(pdfs)).sort_values("ts")
-        last = pdf.iloc[-1]
-        if last["status"] in TERMINAL_JOB_STATUSES:
-            if state.exists:
-                state.remove()
+            if not done:
+                yield rows(k[0], [status], [last])
             return
-        us = int(pd.Timestamp(last["ts"]).value // 1000)
-        state.update((last["status"], us))
-        state.setTimeoutTimestamp(us // 1000 + timeout_secs * 1000)
-        yield from ()
-
-    return ev.groupBy("key").applyInPandasWithState(step, TIMEOUT_SCHEMA, "status string, last_us long", "append",
+        pdf = _ordered(pdfs, ["ts", "seq"])
+        us, status = _micros(pdf["ts"]), pdf["status"].to_numpy()
+        if state.exists:  # what was seen last stands before the new rows
+            s0, u0, d0 = state.get
+            us, status = np.concatenate([[u0], us]), np.concatenate([[s0], status])
+        done = np.isin(status, TERMINAL_JOB_STATUSES)
+        never = np.iinfo("int64").min // 2
+        ended = np.concatenate([[never], np.maximum.accumulate(np.where(done, us, never))[:-1]])
+        watched = np.flatnonzero(done | (us - ended > limit))
+        us, status, done = us[watched], status[watched], done[watched]
+        late = np.flatnonzero(~done[:-1] & (np.diff(us) > limit))
+        state.update((str(status[-1]), int(us[-1]), bool(done[-1])))
+        _arm(state, int(us[-1]) // 1000 + timeout_secs * 1000)
+        if len(late):
+            yield rows(k[0], status[late], us[late])
+
+    return ev.groupBy("key").applyInPandasWithState(step, TIMEOUT_SCHEMA, "status string, last_us long, done boolean", "append",
                                                    GroupStateTimeout.EventTimeTimeout)
 
 
@@ -153,35 +243,57 @@ def stream_timeouts(events: DataFrame, timeout_secs: int, key: str = "payload_id
 FAIL_SCHEMA = "uuid string, error string, short_error string, failed_at timestamp"
 
 
-def stream_failed_tasks(task_events: DataFrame, job_events: DataFrame, grace_secs: int = 300) -> DataFrame:
+def stream_failed_tasks(task_events: DataFrame, job_events: DataFrame, grace_secs: int = 300,
+                        keep_secs: int = 86400) -> DataFrame:
     """T5: a supervisory task failure fails the job once the grace period has
-    passed, unless a terminal job status arrived first."""
+    passed, unless the job has a terminal status up to then, or has had one
+    within ``keep_secs`` before.  State: the failures that wait, and the time
+    of the last terminal status until the watermark is ``keep_secs`` past it."""
     t = task_events.select("uuid", "status", "ts", F.col("event.exception").alias("exception"))
     t = t.withColumn("cls", F.when(F.col("status") == "task-failed", failure_class(F.col("exception"))))
-    t = t.filter(F.col("cls").isNotNull()).select("uuid", F.lit("fail").alias("kind"), "ts", "exception", "cls")
+    t = t.filter(F.col("cls").isNotNull()).select("uuid", F.lit(False).alias("terminal"), "ts", "exception", "cls")
     j = job_events.filter(F.col("status").isin(*TERMINAL_JOB_STATUSES)).select(
-        "uuid", F.lit("terminal").alias("kind"), "ts", F.lit(None).cast("string").alias("exception"),
+        "uuid", F.lit(True).alias("terminal"), "ts", F.lit(None).cast("string").alias("exception"),
         F.lit(None).cast("string").alias("cls"))
     ev = t.unionByName(j).withWatermark("ts", f"{grace_secs} seconds")
+    grace, keep = grace_secs * 1_000_000, keep_secs * 1_000_000
 
-    def step(k, pdfs, state):
-        if state.hasTimedOut:
-            exc, cls, at = state.get
-            state.remove()
-            yield pd.DataFrame({"uuid": [k[0]], "error": [exc], "short_error": [cls], "failed_at": [pd.Timestamp(at, unit="us")]})
-            return
-        pdf = pd.concat(list(pdfs)).sort_values("ts")
-        if (pdf["kind"] == "terminal").any():
+    def keep_on(state, waiting, mark):
+        """Keep what still waits, and a mark, with a timer for the next of them."""
+        if not waiting and mark is None:
             if state.exists:
                 state.remove()
             return
-        f = pdf.iloc[-1]
-        us = int(pd.Timestamp(f["ts"]).value // 1000)
-        state.update((f["exception"], f["cls"], us))
-        state.setTimeoutTimestamp(us // 1000 + grace_secs * 1000)
-        yield from ()
+        state.update((json.dumps(waiting), mark))
+        ends = [w[0] // 1000 + grace_secs * 1000 for w in waiting] + ([mark // 1000 + keep_secs * 1000] if mark is not None else [])
+        _arm(state, min(ends))
 
-    return ev.groupBy("uuid").applyInPandasWithState(step, FAIL_SCHEMA, "exc string, cls string, at_us long", "append",
+    def rows(k, failed):
+        return pd.DataFrame({"uuid": k, "error": [f[1] for f in failed], "short_error": [f[2] for f in failed], "failed_at": _stamps([f[0] for f in failed])})
+
+    def step(k, pdfs, state):
+        waiting, mark = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], None)
+        if state.hasTimedOut:
+            now = state.getCurrentWatermarkMs()
+            failed = [w for w in waiting if w[0] // 1000 + grace_secs * 1000 < now]
+            mark = None if mark is not None and mark // 1000 + keep_secs * 1000 < now else mark
+            keep_on(state, [w for w in waiting if w not in failed], mark)
+            if failed:
+                yield rows(k[0], failed)
+            return
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        us, terminal = _micros(pdf["ts"]), pdf["terminal"].to_numpy(bool)
+        ends = np.sort(np.concatenate([us[terminal], [] if mark is None else [mark]]).astype("int64"))
+        waiting += sorted(zip(us[~terminal].tolist(), pdf["exception"][~terminal], pdf["cls"][~terminal], strict=True))
+        at = np.array([w[0] for w in waiting], "int64")
+        cleared = np.searchsorted(ends, at - keep, "left") < np.searchsorted(ends, at + grace, "right")
+        waiting = [w for w, gone in zip(waiting, cleared, strict=True) if not gone]
+        failed = [w for w in waiting if us.max() > w[0] + grace]
+        keep_on(state, [list(w) for w in waiting if us.max() <= w[0] + grace], int(ends[-1]) if len(ends) else None)
+        if failed:
+            yield rows(k[0], failed)
+
+    return ev.groupBy("uuid").applyInPandasWithState(step, FAIL_SCHEMA, "waiting string, mark_us long", "append",
                                                     GroupStateTimeout.EventTimeTimeout)
 
 
