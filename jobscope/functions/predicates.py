@@ -2,8 +2,9 @@
 
 Predicates are ``Column`` expressions, so Catalyst pushes the simple ones
 (``==``, ``isin``, ranges, ``startswith``) into the Parquet scan.  Rule text
-is Spark SQL: it is checked against a small allow-list and analysed against
-the target schema on the driver before it reaches a plan.
+is Spark SQL: it is parsed, every node and function of the expression tree is
+checked against an allow-list, and it is analysed against the target schema on
+the driver before it reaches a plan.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobscope.functions.columns import failure_class  # noqa: F401  (re-export)
@@ -37,28 +38,45 @@ class RuleError(ValueError):
 # rejected before the text reaches the analyser.
 RULE_FUNCTIONS = frozenset(
     """
-    and or not in is null like ilike rlike regexp between cast try_cast coalesce nvl if case when
-    lower upper length trim ltrim rtrim substr substring concat contains startswith endswith
-    instr locate split size array_contains element_at get_json_object abs round floor ceil
-    greatest least date timestamp to_date to_timestamp date_format year month day hour
-    datediff current_date isnull isnotnull exists filter array map struct named_struct
+    coalesce nvl if lower upper length trim ltrim rtrim substr substring concat contains startswith endswith
+    regexp rlike like ilike between cast try_cast instr locate split size array_contains element_at
+    get_json_object abs round floor ceil greatest least date timestamp to_date to_timestamp date_format
+    year month day hour datediff current_date isnull isnotnull exists filter array map struct named_struct
+    and or not in when
+    """.split()
+)
+# Kinds of expression a parsed condition may be made of.
+RULE_NODES = frozenset(
+    """
+    Literal UnresolvedAttribute UnresolvedFunction UnresolvedExtractValue UnresolvedNamedLambdaVariable LambdaFunction
+    And Or Not EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual In Between
+    IsNull IsNotNull Like ILike RLike LikeAll LikeAny NotLikeAll NotLikeAny Cast CaseWhen If
+    Add Subtract Multiply Divide Remainder UnaryMinus UnaryPositive Concat Coalesce
     """.split()
 )
-_CALL = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\s*\(")
-_FORBIDDEN = re.compile(r"\b(select|from|insert|update|delete|drop|create|reflect|java_method)\b|;", re.I)
 
 
-def check_rule_text(rule_name: str, text: str | None) -> str:
-    """Reject empty text, subqueries and calls outside the allow-list."""
+def check_rule_expression(spark: SparkSession, rule_name: str, text: str | None) -> str:
+    """Reject empty text, and any parsed node or function outside the allow-lists."""
     if text is None or not str(text).strip():
         raise RuleError(rule_name, "empty condition")
-    # string literals may contain anything; blank them before scanning
-    scan = re.sub(r"'(?:[^'\\]|\\.)*'", "''", text)
-    if _FORBIDDEN.search(scan):
-        raise RuleError(rule_name, "statement keywords are not allowed in a condition")
-    for name in _CALL.findall(scan):
-        if name.lower() not in RULE_FUNCTIONS:
-            raise RuleError(rule_name, f"function {name} is not allowed")
+    try:
+        root = spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
+    except Exception as e:  # ParseException
+        raise RuleError(rule_name, f"{type(e).__name__}: {e}") from None
+    nodes = [root]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind not in RULE_NODES:
+            raise RuleError(rule_name, f"{kind} is not allowed in a condition")
+        if kind == "UnresolvedFunction":
+            parts = node.nameParts()
+            name = parts.mkString(".")
+            if name.lower() not in RULE_FUNCTIONS:
+                raise RuleError(rule_name, f"function {name} is not allowed")
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
     return text
 
 
@@ -68,12 +86,12 @@ def compile_rule(df: DataFrame, rule_name: str, text: str) -> Column:
     Analysis only (``limit(0)``): no data is read.  Parse and analysis errors
     become a ``RuleError`` so one bad rule never stops the others.
     """
-    check_rule_text(rule_name, text)
+    check_rule_expression(df.sparkSession, rule_name, text)
     try:
         cond = F.expr(text)
         df.limit(0).filter(cond).schema  # noqa: B018  (forces analysis)
     except Exception as e:  # ParseException / AnalysisException
-        raise RuleError(rule_name, f"{type(e).__name__}: {str(e).splitlines()[0][:200]}") from None
+        raise RuleError(rule_name, f"{type(e).__name__}: {e}") from None
     return cond
 
 

@@ -53,8 +53,21 @@ def find_duplicates(jobs: DataFrame, states: Sequence[str] = DEDUP_STATES, exclu
     return df.select(*jobs.columns, dup.alias("dedup_job"), st.alias("dedup_status"))
 
 
-def mark_deduped(jobs: DataFrame, **kw) -> DataFrame:
+def mark_deduped(jobs: DataFrame, states: Sequence[str] = DEDUP_STATES, id_col: str = "payload_id",
+                 hash_col: str = "payload_hash", order: Sequence[str] = ("time_queued",)) -> DataFrame:
     """Jobs that would be deduplicated on submission: status ``job-deduped``
-    with ``dedup_job`` pointing at the job they repeat."""
-    d = find_duplicates(jobs, **kw)
-    return d.filter(F.col("dedup_job").isNotNull()).withColumn("status", F.lit("job-deduped"))
+    with ``dedup_job`` pointing at the earliest job in ``states`` with their
+    hash.  Only an earlier job counts (by ``order``, then id), so the first of
+    a hash always runs.  One row per hash crosses the join's small side."""
+    place = F.struct(*order, id_col)
+    first = (
+        jobs.filter(F.col("status").isin(list(states)) & F.col(hash_col).isNotNull())
+        .groupBy(hash_col)
+        .agg(F.min_by(F.struct(F.col(id_col).alias("id"), "status", place.alias("place")), place).alias("_first"))
+    )
+    return (
+        jobs.join(first, hash_col)
+        .filter(F.col("_first.place") < place)
+        .withColumns({"status": F.lit("job-deduped"), "dedup_job": F.col("_first.id"), "dedup_status": F.col("_first.status")})
+        .select(*jobs.columns, "dedup_job", "dedup_status")
+    )

@@ -15,6 +15,7 @@ version.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -46,11 +47,32 @@ def _rule_dicts(rules) -> list[dict]:
     return [dict(x) for x in rules if x.get("enabled", True)]
 
 
-def compile_rules(docs: DataFrame, rules) -> CompiledRules:
+def valid_index_pattern(pattern: str | None) -> bool:
+    """A pattern that restricts: not empty, no comma at either end, not wildcards only."""
+    p = (pattern or "").strip()
+    return bool(p) and not p.startswith(",") and not p.endswith(",") and set(p) != {"*"}
+
+
+def in_index(index: Column, pattern: str) -> Column:
+    """Whether an index name matches one of the comma-separated patterns with ``*`` wildcards."""
+    names = [".*".join(re.escape(part) for part in p.strip().split("*")) for p in pattern.split(",") if p.strip()]
+    return F.coalesce(index.rlike("^(?:" + "|".join(names) + ")$"), F.lit(False))
+
+
+def compile_rules(docs: DataFrame, rules, index_col: str | None = "index") -> CompiledRules:
+    """The rules' conditions.  A rule with a valid ``index_pattern`` matches
+    only documents whose ``index_col`` it covers; an invalid or empty one
+    falls back to all documents."""
     good, bad = [], []
     for rule in sorted(_rule_dicts(rules), key=lambda r: r["rule_name"]):
         try:
-            good.append((rule, compile_rule(docs, rule["rule_name"], rule.get("query_string"))))
+            cond = compile_rule(docs, rule["rule_name"], rule.get("query_string"))
+            pattern = rule.get("index_pattern")
+            if valid_index_pattern(pattern):
+                if index_col not in docs.columns:
+                    raise RuleError(rule["rule_name"], f"index_pattern {pattern} needs the column {index_col}")
+                cond = in_index(F.col(index_col), pattern) & cond
+            good.append((rule, cond))
         except RuleError as e:
             bad.append((e.rule_name, e.reason))
     return CompiledRules(good, bad)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobscope.operators import dedup, rules as R
+from jobscope.operators.triggers import trigger_params
 from jobscope.plans.oracle import with_adapters
 from jobscope.plans.registry import register
 from jobscope.sources import adapters as A
@@ -25,12 +26,16 @@ DATASET_RULES = [
          query_all=False),
     dict(rule_name="huge_any", query_string="n_chars > 15000", enabled=True, job_type="io-alert", priority=9,
          query_all=True),
+    dict(rule_name="in_index", query_string="n_chars < 400", enabled=True, job_type="io-index", priority=2,
+         query_all=False, index_pattern="cat_src1*, cat_src3"),
+    dict(rule_name="bad_index", query_string="n_chars < 60", enabled=True, job_type="io-index", priority=2,
+         query_all=False, index_pattern="cat_src1,"),
 ]
 PREFIX = "io-"
 
 
 def _dataset_matches(spark, sf):
-    docs = A.catalog_docs(spark, sf).select("id", "system_version", "dataset", "text", "n_chars")
+    docs = A.catalog_docs(spark, sf).select("id", "system_version", "dataset", "text", "n_chars", F.concat(F.lit("cat_"), "dataset").alias("index"))
     compiled = R.compile_rules(docs, R.rules_frame(spark, DATASET_RULES))
     return docs, compiled, R.match_dataset_rules(docs, None, name_prefix=PREFIX, compiled=compiled)
 
@@ -46,6 +51,11 @@ UNION ALL
 SELECT id, system_version, 'license', 'io-audit', 5, 'audit-' || id, id
 FROM catalog_docs WHERE lower(text) LIKE '%license%'
 UNION ALL
+SELECT id, system_version, 'in_index', 'io-index', 2, 'index-' || id, id
+FROM catalog_docs WHERE n_chars < 400 AND (dataset LIKE 'src1%' OR dataset = 'src3')
+UNION ALL
+SELECT id, system_version, 'bad_index', 'io-index', 2, 'index-' || id, id FROM catalog_docs WHERE n_chars < 60
+UNION ALL
 SELECT d.id, d.system_version, 'huge_any', 'io-alert', 9, 'alert-' || d.id, h.hit_id
 FROM catalog_docs d JOIN (SELECT system_version, min(id) AS hit_id FROM catalog_docs
                           WHERE n_chars > 15000 GROUP BY system_version) h USING (system_version)"""
@@ -61,7 +71,7 @@ def j1_match_dataset_rules(spark, sf):
     "a4_rule_summary",
     with_adapters(f"""
 WITH m AS ({J1_SQL})
-SELECT d.id, CAST(6 AS BIGINT) AS candidates,
+SELECT d.id, CAST(8 AS BIGINT) AS candidates,
        CAST(to_json(coalesce(list_sort(list(m.rule_name) FILTER (WHERE m.rule_name IS NOT NULL)), CAST([] AS VARCHAR[]))) AS VARCHAR) AS matched,
        '["bad_column","bad_parse"]' AS errored
 FROM catalog_docs d LEFT JOIN m ON m.id = d.id GROUP BY d.id"""),
@@ -129,3 +139,102 @@ def j7_find_duplicates(spark, sf):
     """Earliest other job with the same payload hash, for every job."""
     jobs = A.jobs(spark, sf).select("payload_id", "payload_hash", "status", "time_queued")
     return dedup.find_duplicates(jobs)
+
+
+@register(
+    "j7_mark_deduped",
+    with_adapters("""
+WITH r AS (
+  SELECT payload_hash, payload_id, status, time_queued,
+         row_number() OVER (PARTITION BY payload_hash ORDER BY time_queued, payload_id) AS rk
+  FROM jobs WHERE status IN ('job-queued', 'job-started', 'job-completed'))
+SELECT j.payload_id, j.payload_hash, 'job-deduped' AS status, j.time_queued, r.payload_id AS dedup_job, r.status AS dedup_status
+FROM jobs j JOIN r ON r.payload_hash = j.payload_hash AND r.rk = 1
+WHERE r.time_queued < j.time_queued OR r.time_queued = j.time_queued AND r.payload_id < j.payload_id"""),
+)
+def j7_mark_deduped(spark, sf):
+    """J7 (submission form): jobs that repeat an earlier one."""
+    jobs = A.jobs(spark, sf).select("payload_id", "payload_hash", "status", "time_queued")
+    return dedup.mark_deduped(jobs)
+
+
+KWARGS = '{"email_addresses":"a@b.c","hash_tags":"#x","ftp_url":"ftp://h/d","sftp_url":"sftp://h/d","rsync_url":"file://h/d","query":"own"}'
+DATASET_ACTIONS = ("passthrough", "ingest_dataset", "notify_by_email", "notify_by_tweet", "ftp_push", "sftp_push", "rsync_push",
+                   "purge_dataset", "purge_datasets", "custom_script", "import_prov_es")
+JOB_ACTIONS = ("notify_job_by_email", "notify_job_by_tweet", "retry_job")
+
+
+def _triggers(hits, actions, key):
+    out = None
+    for action in actions:
+        one = trigger_params(hits, action).select(F.lit(action).alias("action"), key, "rule", "type", "name", "tag", "username", "params", "localize_urls")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _by_action(bodies: dict[str, tuple[str, str, str, str, str, str]], key: str) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{a}' AS action, {key}, rule, {t} AS type, {n} AS name, {tag} AS tag, {u} AS username, CAST({p} AS VARCHAR) AS params, {loc} AS localize_urls FROM h"
+        for a, (t, n, tag, u, p, loc) in bodies.items())
+
+
+def _plain(action: str, id_col: str | None, params: str) -> tuple:
+    name = f"'action-{action}'" + (f" || '-' || {id_col}" if id_col else "")
+    return f"'{action}'", name, "rule", "'ops'", params, "'[]'"
+
+
+_URL = "CASE WHEN n > 0 THEN 'http://h/' || objectid END"
+_STORE = "CASE WHEN n = 2 THEN 's3://b/' || objectid WHEN n = 1 THEN 'http://h/' || objectid END"
+_ID = "'id', objectid, 'rule_name', rule, 'username', 'ops'"
+
+
+@register("p25_dataset_triggers", with_adapters(f"""
+WITH m AS ({J1_SQL}),
+h AS (SELECT m.id AS objectid, m.rule_name AS rule, 'cat_' || d.dataset AS idx, d.doc_id % 3 AS n, m.job_type
+      FROM m JOIN catalog_docs d ON d.id = m.id)
+""" + _by_action({
+    "passthrough": ("job_type", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "json_object('id', objectid, 'localize_urls', json_array('http://h/' || objectid))", "CAST(json_array('http://h/' || objectid) AS VARCHAR)"),
+    "ingest_dataset": ("'ingest_dataset'", "'ingest_dataset-' || objectid", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "json_object('dataset', objectid)", "CASE n WHEN 0 THEN '[]' WHEN 1 THEN CAST(json_array('http://h/' || objectid) AS VARCHAR) ELSE CAST(json_array('http://h/' || objectid, 's3://b/' || objectid) AS VARCHAR) END"),
+    "notify_by_email": _plain("notify_by_email", "objectid", f"json_object({_ID}, 'emails', 'a@b.c', 'url', {_URL})"),
+    "notify_by_tweet": _plain("notify_by_tweet", "objectid", f"json_object({_ID}, 'hash_tags', '#x', 'url', {_URL})"),
+    "ftp_push": _plain("ftp_push", "objectid", f"json_object({_ID}, 'ftp_url', 'ftp://h/d', 'emails', 'a@b.c', 'url', {_URL})"),
+    "sftp_push": _plain("sftp_push", "objectid", f"json_object({_ID}, 'sftp_url', 'sftp://h/d', 'emails', 'a@b.c', 'url', {_URL})"),
+    "rsync_push": _plain("rsync_push", "objectid", f"json_object({_ID}, 'rsync_url', 'file://h/d', 'emails', 'a@b.c', 'url', {_URL})"),
+    "purge_dataset": _plain("purge_dataset", "objectid", f"json_object('index', idx, 'doctype', '_doc', 'id', objectid, 'url', {_URL}, 'rule_name', rule, 'username', 'ops')"),
+    "purge_datasets": _plain("purge_datasets", None, "json_object('index', idx, 'query', 'all', 'rule_name', rule, 'username', 'ops')"),
+    "custom_script": _plain("custom_script", None, "json_object('index', idx, 'query', 'own', 'rule_name', rule, 'username', 'ops', 'email_addresses', 'a@b.c', 'hash_tags', '#x', 'ftp_url', 'ftp://h/d', 'sftp_url', 'sftp://h/d', 'rsync_url', 'file://h/d')"),
+    "import_prov_es": _plain("import_prov_es", None, f"json_object('index', idx, 'doctype', '_doc', 'id', objectid, 'prod_url', {_STORE}, 'rule_name', rule, 'username', 'ops')"),
+}, "objectid")))
+def p25_dataset_triggers(spark, sf):
+    """P25: the jobs of every dataset rule hit, for each dataset action."""
+    docs = A.catalog_docs(spark, sf).select("id", "dataset", "doc_id")
+    matches = _dataset_matches(spark, sf)[2].select("id", "rule_name", "job_type")
+    web, store = F.concat(F.lit("http://h/"), "id"), F.concat(F.lit("s3://b/"), "id")
+    urls = F.slice(F.array(web, store), F.lit(1), (F.col("doc_id") % 3).cast("int"))
+    hits = matches.join(docs, "id").select(
+        F.col("id").alias("objectid"), F.col("rule_name").alias("rule"), "rule_name", "job_type", F.lit("ops").alias("username"), F.lit(KWARGS).alias("kwargs"),
+        urls.alias("urls"), F.concat(F.lit("cat_"), "dataset").alias("index"), F.lit("_doc").alias("doctype"), F.lit("all").alias("query"),
+        F.col("id").alias("dataset"), F.to_json(urls).alias("dataset_urls"),
+        F.to_json(F.struct("id", F.array(web).alias("localize_urls"))).alias("info"))
+    return _triggers(hits, DATASET_ACTIONS, "objectid")
+
+
+@register("p25_job_triggers", with_adapters("""
+WITH h AS (SELECT payload_id AS job_id, 'urgent_done' AS rule, 'http://j/' || payload_id AS url,
+             CASE WHEN CAST(payload_id AS BIGINT) % 4 = 0 THEN 'action-retry_job-' || payload_id ELSE payload_id END AS old
+      FROM jobs WHERE status = 'job-completed' AND job_type = '1-URGENT')
+""" + _by_action({
+    "notify_job_by_email": _plain("notify_job_by_email", "job_id", "json_object('id', job_id, 'rule_name', rule, 'username', 'ops', 'emails', 'a@b.c', 'url', url)"),
+    "notify_job_by_tweet": _plain("notify_job_by_tweet", "job_id", "json_object('id', job_id, 'rule_name', rule, 'username', 'ops', 'hash_tags', '#x', 'url', url)"),
+    "retry_job": ("'retry_job'", "CASE WHEN old LIKE 'action-retry_job%' THEN old ELSE 'action-retry_job-' || old END", "rule", "'ops'", "json_object('id', job_id, 'rule_name', rule, 'username', 'ops', 'job', json_object('job_id', old))", "'[]'"),
+}, "job_id")))
+def p25_job_triggers(spark, sf):
+    """P25: the jobs of every hit of a job rule, for each job action."""
+    jobs = A.jobs(spark, sf).select("payload_id", "status", "job_type", "job_queue", "celery_hostname", "time_limit")
+    rules = R.rules_frame(spark, [r for r in JOB_RULES if r["rule_name"] == "urgent_done"])
+    hits = R.match_job_rules(jobs, rules, name_prefix=PREFIX)
+    old = F.when(F.col("payload_id").cast("long") % 4 == 0, F.concat(F.lit("action-retry_job-"), "payload_id")).otherwise(F.col("payload_id"))
+    hits = hits.select(
+        F.col("payload_id").alias("job_id"), F.col("payload_id").alias("objectid"), F.col("rule_name").alias("rule"), "rule_name", F.lit("ops").alias("username"), F.lit(KWARGS).alias("kwargs"),
+        F.concat(F.lit("http://j/"), "payload_id").alias("job_url"), F.to_json(F.struct(old.alias("job_id"))).alias("job"))
+    return _triggers(hits, JOB_ACTIONS, "job_id")
