@@ -307,14 +307,36 @@ def lineage_edges(products: DataFrame, inputs: DataFrame, jobs: DataFrame, produ
     return gen.unionByName(used).unionByName(assoc)
 
 
-def merge_activity(activities: DataFrame, doc: str = "doc_id", activity: str = "activity_id") -> DataFrame:
-    """C4: a document with a single activity keeps that activity's id and
-    takes the new times; several activities are kept side by side."""
-    from pyspark.sql import Window
-
-    n = F.count(F.lit(1)).over(Window.partitionBy(doc))
-    return activities.withColumn("n_activities", n).withColumn(
-        "merged", F.col("n_activities") == 1)
+STEP_COLS = ("start", "end", "job_id", "job_type")
+
+
+def merge_activity(activities: DataFrame, steps: DataFrame, doc: str = "doc_id", activity: str = "activity_id") -> DataFrame:
+    """C4: the publish step merged into provenance documents.
+
+    ``activities`` (doc, activity, start, end, job_id, job_type, prov_type) are
+    those that the documents have, ``steps`` the same columns with one row per
+    document.  A document with a single activity keeps its id (and its
+    ``prov_type``, if it has one) and takes the step's times, job id and job
+    type; with several, or none, the step's activity stands beside them.
+    ``replaces`` is the step's own activity id where it became the existing one.
+    """
+    only = activities.groupBy(doc).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col(activity).alias("id"), "prov_type")).alias("_only"))
+    merges = F.col("_n") == 1
+    step = steps.join(only, doc, "left").select(
+        doc, F.when(merges, F.col("_only.id")).otherwise(F.col(activity)).alias(activity), *STEP_COLS,
+        F.when(merges, F.coalesce("_only.prov_type", "prov_type")).otherwise(F.col("prov_type")).alias("prov_type"),
+        F.when(merges, F.col(activity)).alias("replaces"))
+    gone = step.filter(F.col("replaces").isNotNull()).select(doc, activity)
+    own = activities.join(gone, [doc, activity], "left_anti").withColumn("replaces", F.lit(None).cast("string"))
+    return own.select(*step.columns).unionByName(step)
+
+
+def merge_associations(associations: DataFrame, merged: DataFrame, doc: str = "doc_id", activity: str = "activity_id") -> DataFrame:
+    """C4: associations (doc, activity, agent) follow a step's activity to the
+    one it was merged into (``merged``: the rows of ``merge_activity``)."""
+    to = merged.filter(F.col("replaces").isNotNull()).select(doc, F.col("replaces").alias(activity), F.col(activity).alias("_to"))
+    return associations.join(to, [doc, activity], "left").withColumn(activity, F.coalesce("_to", activity)).select(*associations.columns)
 
 
 def triage_records(jobs: DataFrame, version: str = "v1", partition_format: str | None = None,

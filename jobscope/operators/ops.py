@@ -169,14 +169,17 @@ def purge(df: DataFrame, statuses: Sequence[str], before=None, ts: str = "ts") -
 FAILED_PARTITION = "job_failed"
 
 
-def move_failed(jobs: DataFrame, prefix: str = "job_status", ts: str = "ts") -> DataFrame:
-    """Failed jobs live only in the failed partition; ``orig_index``
-    remembers their daily partition.  Other jobs stay in their day."""
-    day = daily_partition(prefix, ts)
-    failed = F.col("status") == "job-failed"
+def move_failed(jobs: DataFrame, index: str = "index") -> DataFrame:
+    """Of current job documents with the ``index`` that stores them, failed
+    ones move to the failed partition and remember where they were
+    (``orig_index``); ``delete_from`` is the index their old copy goes from.
+    Others, and failed ones that are there already, stay."""
+    move = (F.col("status") == "job-failed") & (F.col(index) != FAILED_PARTITION)
+    move = F.coalesce(move, F.lit(False))
     return jobs.withColumns({
-        "index": F.when(failed, F.lit(FAILED_PARTITION)).otherwise(day),
-        "orig_index": F.when(failed, day),
+        index: F.when(move, F.lit(FAILED_PARTITION)).otherwise(F.col(index)),
+        "orig_index": F.when(move, F.col(index)),
+        "delete_from": F.when(move, F.col(index)),
     })
 
 

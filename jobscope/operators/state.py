@@ -61,9 +61,17 @@ def current_state_guarded(events: DataFrame, key="payload_id", order=("ts", "seq
     return _pick(events, keys, order_key)
 
 
-def job_timeline(events: DataFrame, key="payload_id") -> DataFrame:
+def _guarded_order(events: DataFrame, supervisory: str | None) -> Column:
+    """A2's precedence of a write."""
+    term = is_terminal("status")
+    known = supervisory and supervisory in events.columns
+    sup = F.coalesce(F.col(supervisory), F.lit(False)) if known else F.lit(False)
+    return F.struct(term.alias("t"), (term & ~sup).alias("a"), F.col("ts"), F.col("seq"))
+
+
+def job_timeline(events: DataFrame, key="payload_id", supervisory: str | None = "supervisory") -> DataFrame:
     """A3: one row per job: queued / started / ended times, queue wait, run
-    duration, number of writes and the final status (guarded precedence)."""
+    duration, number of writes and the final status (A2's precedence)."""
     keys = _cols(key)
     st, ts = F.col("status"), F.col("ts")
     term = is_terminal("status")
@@ -72,7 +80,7 @@ def job_timeline(events: DataFrame, key="payload_id") -> DataFrame:
         F.min(F.when(st == "job-started", ts)).alias("time_start"),
         F.max(F.when(term, ts)).alias("time_end"),
         F.count(F.lit(1)).alias("n_events"),
-        F.max_by(st, F.struct(term, ts, F.col("seq"))).alias("final_status"),
+        F.max_by(st, _guarded_order(events, supervisory)).alias("final_status"),
     )
     secs = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6)
     return out.withColumns(
@@ -90,8 +98,7 @@ def timeline_and_state(events: DataFrame, key="payload_id", state_cols=(), super
     keys = _cols(key)
     st, ts = F.col("status"), F.col("ts")
     term = is_terminal("status")
-    sup = F.coalesce(F.col(supervisory), F.lit(False)) if supervisory and supervisory in events.columns else F.lit(False)
-    guarded = F.struct(term.alias("t"), (term & ~sup).alias("a"), ts, F.col("seq"))
+    guarded = _guarded_order(events, supervisory)
     packed = F.struct(*[F.col(c).alias(c) for c in ("status", "ts", *state_cols)])
     out = events.groupBy(*keys).agg(
         F.min(F.when(st == "job-queued", ts)).alias("time_queued"),

@@ -163,14 +163,29 @@ def c3_lineage_edges(spark, sf):
 @register(
     "c4_merge_activity",
     with_adapters("""
-SELECT job_id AS doc_id, url AS activity_id, count(*) OVER (PARTITION BY job_id) AS n_activities,
-       count(*) OVER (PARTITION BY job_id) = 1 AS merged
-FROM products"""),
+WITH a AS (SELECT job_id AS doc_id, url AS activity_id, time_end AS "end", CASE WHEN n % 2 = 0 THEN 'own' END AS prov_type
+           FROM products WHERE flag = 'N'),
+n AS (SELECT doc_id, count(*) AS n, min(activity_id) AS only_id, min(prov_type) AS only_type FROM a GROUP BY doc_id),
+s AS (SELECT payload_id AS doc_id, 'step-' || payload_id AS activity_id, time_start AS start, time_end AS "end", uuid AS job_id, job_type FROM jobs)
+SELECT a.doc_id, a.activity_id, CAST(NULL AS TIMESTAMP) AS start, a."end", CAST(NULL AS VARCHAR) AS job_id, CAST(NULL AS VARCHAR) AS job_type,
+       a.prov_type, CAST(NULL AS VARCHAR) AS replaces, 'agent-' || a.activity_id AS agent
+FROM a JOIN n USING (doc_id) WHERE n > 1 OR doc_id NOT IN (SELECT doc_id FROM s)
+UNION ALL
+SELECT s.doc_id, if(n = 1, only_id, s.activity_id), s.start, s."end", s.job_id, s.job_type,
+       if(n = 1, coalesce(only_type, 'publish'), 'publish'), if(n = 1, s.activity_id, NULL), 'agent-' || if(n = 1, only_id, s.activity_id)
+FROM s LEFT JOIN n USING (doc_id)"""),
 )
 def c4_merge_activity(spark, sf):
-    """C4: provenance documents with one activity merge; several stay side by side."""
-    acts = A.products(spark, sf).select(F.col("job_id").alias("doc_id"), F.col("url").alias("activity_id"))
-    return K.merge_activity(acts)
+    """C4: the publish step merged into each job's provenance document."""
+    none = F.lit(None)
+    acts = A.products(spark, sf).where("flag = 'N'").select(
+        F.col("job_id").alias("doc_id"), F.col("url").alias("activity_id"), none.cast("timestamp").alias("start"), F.col("time_end").alias("end"),
+        none.cast("string").alias("job_id"), none.cast("string").alias("job_type"), F.when(F.col("n") % 2 == 0, "own").alias("prov_type"))
+    steps = A.jobs(spark, sf).select(
+        F.col("payload_id").alias("doc_id"), F.concat(F.lit("step-"), "payload_id").alias("activity_id"), F.col("time_start").alias("start"),
+        F.col("time_end").alias("end"), F.col("uuid").alias("job_id"), "job_type", F.lit("publish").alias("prov_type"))
+    merged = K.merge_activity(acts, steps)
+    return merged.withColumn("agent", F.concat(F.lit("agent-"), "activity_id"))
 
 
 @register(

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobscope.functions.columns import daily_partition
 from jobscope.operators import ops as O
+from jobscope.operators import state
 from jobscope.plans.oracle import ORD_AS_OF, with_adapters
 from jobscope.plans.registry import register
 from jobscope.sources import adapters as A
@@ -181,16 +183,24 @@ def r4_purge(spark, sf):
 @register(
     "r5_move_failed",
     with_adapters("""
-SELECT payload_id, seq, status,
-       CASE WHEN status = 'job-failed' THEN 'job_failed' ELSE 'job_status-' || strftime(ts, '%Y.%m.%d') END AS "index",
-       CASE WHEN status = 'job-failed' THEN 'job_status-' || strftime(ts, '%Y.%m.%d') END AS orig_index
-FROM job_events"""),
+WITH first AS (SELECT payload_id, 'job_status-' || strftime(min(ts), '%Y.%m.%d') AS stored FROM job_events GROUP BY payload_id),
+live_row AS (
+  SELECT * FROM (SELECT payload_id, status, row_number() OVER (PARTITION BY payload_id ORDER BY
+      (status IN ('job-completed','job-failed','job-deduped','job-offline','job-revoked')) DESC,
+      (status IN ('job-completed','job-failed','job-deduped','job-offline','job-revoked') AND NOT supervisory) DESC,
+      ts DESC, seq DESC) AS rn FROM job_events) WHERE rn = 1)
+SELECT payload_id, status, if(status = 'job-failed', 'job_failed', stored) AS "index",
+       if(status = 'job-failed', stored, NULL) AS orig_index, if(status = 'job-failed', stored, NULL) AS delete_from
+FROM live_row JOIN first USING (payload_id)"""),
 )
 def r5_move_failed(spark, sf):
-    """Target partition of every job write; failed jobs move to the
-    failed partition and remember their day."""
-    ev = A.job_events(spark, sf).select("payload_id", "seq", "status", "ts")
-    return O.move_failed(ev).select("payload_id", "seq", "status", "index", "orig_index")
+    """Current job documents, stored in the daily index of their first
+    write; failed ones move to the failed partition."""
+    ev = A.job_events(spark, sf).select("payload_id", "status", "ts", "seq", "supervisory")
+    current = state.timeline_and_state(ev, "payload_id")
+    first = ev.groupBy("payload_id").agg(F.min("ts").alias("first"))
+    docs = current.join(first, "payload_id").select("payload_id", F.col("current_status").alias("status"), daily_partition("job_status", "first").alias("index"))
+    return O.move_failed(docs)
 
 
 @register(

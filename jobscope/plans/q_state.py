@@ -48,7 +48,9 @@ SELECT payload_id,
        min(CASE WHEN status = 'job-started' THEN ts END) AS time_start,
        max(CASE WHEN status IN ('job-completed','job-failed','job-deduped','job-offline','job-revoked') THEN ts END) AS time_end,
        count(*) AS n_events,
-       arg_max(status, struct_pack(t := status IN ('job-completed','job-failed','job-deduped','job-offline','job-revoked'), ts := ts, seq := seq)) AS final_status,
+       arg_max(status, struct_pack(t := status IN ('job-completed','job-failed','job-deduped','job-offline','job-revoked'),
+               a := status IN ('job-completed','job-failed','job-deduped','job-offline','job-revoked') AND NOT supervisory,
+               ts := ts, seq := seq)) AS final_status,
        (epoch_us(min(CASE WHEN status = 'job-started' THEN ts END)) - epoch_us(min(CASE WHEN status = 'job-queued' THEN ts END))) / 1e6 AS wait_secs,
        (epoch_us(max(CASE WHEN status IN ('job-completed','job-failed','job-deduped','job-offline','job-revoked') THEN ts END))
         - epoch_us(min(CASE WHEN status = 'job-started' THEN ts END))) / 1e6 AS run_secs
@@ -58,7 +60,7 @@ FROM job_events GROUP BY payload_id"""
 @register("a3_job_timeline", with_adapters(TIMELINE_SQL), bench=True)
 def a3_job_timeline(spark, sf):
     """A3: per job queued/started/ended, wait, run time, final status."""
-    ev = A.job_events(spark, sf).select("payload_id", "status", "ts", "seq")
+    ev = A.job_events(spark, sf).select("payload_id", "status", "ts", "seq", "supervisory")
     return state.job_timeline(ev, "payload_id")
 
 

@@ -36,21 +36,25 @@ DEFAULT_CONF = {
 def get_spark(master: str | None = None, app_name: str = "jobscope", **conf) -> SparkSession:
     """Build (or reuse) a session with the engine's defaults.
 
-    ``master`` defaults to ``local[$BENCH_CPUS]`` or ``local[*]``; on a cluster
-    leave it to ``spark-submit``.  ``shuffle.partitions`` is sized from the
-    core count locally; on a cluster AQE coalesces from a larger start value.
+    Under ``spark-submit`` the master, the memory and the number of shuffle
+    partitions are the cluster's; nothing here sets them unless it is given.
+    Started as a plain Python program, the master is ``local[$BENCH_CPUS]`` (or
+    all cores) with 8 shuffle partitions.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master is None and "SPARK_MASTER" not in os.environ:
-        cpus = os.environ.get("BENCH_CPUS", "*")
-        master = f"local[{cpus}]"
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ or "SPARK_MASTER" in os.environ
+    settings = dict(DEFAULT_CONF)
+    if master is None and not submitted:
+        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
     if master:
         builder = builder.master(master)
-    settings = dict(DEFAULT_CONF)
-    settings.setdefault("spark.sql.shuffle.partitions", os.environ.get("JOBSCOPE_SHUFFLE_PARTITIONS", "8"))
+        if master.startswith("local"):
+            settings["spark.sql.shuffle.partitions"] = "8"
+            settings["spark.driver.memory"] = "16g"
+    if n := os.environ.get("JOBSCOPE_SHUFFLE_PARTITIONS"):
+        settings["spark.sql.shuffle.partitions"] = n
     settings.setdefault("spark.ui.enabled", "false")
     settings.setdefault("spark.ui.showConsoleProgress", "false")
-    settings.setdefault("spark.driver.memory", "16g")
     settings.update(conf)
     for k, v in settings.items():
         builder = builder.config(k, v)

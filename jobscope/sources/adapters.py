@@ -130,7 +130,7 @@ def job_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> Dat
         jtype.alias("type"),
         ts.alias("ts"),
         F.col("event_id").alias("seq"),
-        F.lit(False).alias("supervisory"),
+        ((F.col("event_type") == "click") & (F.col("user_id") % 5 == 0)).alias("supervisory"),
         job.alias("job"),
     )
 

@@ -76,13 +76,14 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType, streaming: bo
     that are not JSON objects."""
     lines = _lines(spark, path, streaming, glob)
     raw_schema = _raw_schema(schema)
-    parsed = lines.select(F.from_json("value", raw_schema).alias("r"), "value", "file_path")
-    ok = F.col("r").isNotNull() & F.col("value").rlike(r"^\s*\{")
+    parsed = lines.select(F.from_json("value", raw_schema).alias("r"), F.try_parse_json("value").alias("json"), "value", "file_path")
+    # a line that breaks off parses to a row of nulls: it must be whole JSON
+    ok = F.col("json").isNotNull() & F.col("value").rlike(r"^\s*\{")
     rows = parsed.filter(ok).select(*_typed(F.col("r"), schema), "file_path")
     if "job" in schema.fieldNames():
         # keep the JSON token of the time limit: numbers stay numbers, quoted
         # numbers and booleans stay text (not numeric) for the watchdogs
-        token = F.to_json(F.try_variant_get(F.try_parse_json(F.col("value")), "$.job.job_info.time_limit", "variant"))
+        token = F.to_json(F.try_variant_get("json", "$.job.job_info.time_limit", "variant"))
         rows = parsed.filter(ok).select(*_typed(F.col("r"), schema), "file_path", token.alias("_tl"))
         rows = rows.withColumn("job", F.col("job").withField("job_info", F.col("job.job_info").withField("time_limit", F.col("_tl")))).drop("_tl")
     if with_quarantine:
@@ -114,8 +115,14 @@ def read_job_info(spark, path, streaming=False, glob="*.json*"):
     """S3: per-job metric documents projected to the allowed fields."""
     lines = _lines(spark, path, streaming, glob)
     v = F.try_parse_json(F.col("value"))
-    cols = [F.to_json(F.try_variant_get(v, f"$.job.job_info.{f}", "variant")).alias(f) for f in S.JOB_INFO_METRIC_FIELDS]
-    return lines.select(F.to_json(F.try_variant_get(v, "$.job_type", "variant")).alias("job_type"), *cols)
+
+    def text(path: str) -> Column:
+        """A string as it is, anything else as its JSON."""
+        found = F.try_variant_get("v", path, "variant")
+        return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get("v", path, "string")).otherwise(F.to_json(found))
+
+    cols = [text(f"$.job.job_info.{f}").alias(f) for f in S.JOB_INFO_METRIC_FIELDS]
+    return lines.select(v.alias("v")).select(text("$.job_type").alias("job_type"), *cols)
 
 
 INSTANCE_STATS = T.StructType([

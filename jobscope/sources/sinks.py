@@ -3,12 +3,16 @@
 Writes are partitioned by derived columns (resource table, day, stream) so
 that readers prune partitions instead of scanning; streaming writes go
 through ``foreachBatch`` with the batch id so a replayed micro-batch is
-idempotent.  The all-or-nothing upsert writes a complete new version and
-then swaps a pointer, so a failed write leaves the previous version intact.
+idempotent.  The all-or-nothing upsert writes new files of the key buckets it
+touches and then replaces a pointer atomically, so a failed write leaves the
+previous version intact.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,48 +67,76 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(conf), p, jvm
 
 
-def current_version(spark: SparkSession, table: str) -> str | None:
+#: Key buckets of a catalog table; the number is fixed when a table is made.
+BUCKETS = 64
+
+
+def _manifest(spark: SparkSession, table: str) -> dict | None:
+    """The pointer: version, number of buckets, and the version that wrote each bucket."""
     fs, p, jvm = _fs(spark, f"{table}/_CURRENT")
     if not fs.exists(p):
         return None
     stream = fs.open(p)
     try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
-        return reader.readLine()
+        return json.loads(jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream)).readLine())
     finally:
         stream.close()
 
 
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file atomically: written beside it, then renamed over it."""
+    fs, tmp, jvm = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(tmp, jvm.org.apache.hadoop.fs.Path(path), options)
+
+
+def current_version(spark: SparkSession, table: str) -> str | None:
+    m = _manifest(spark, table)
+    return m["version"] if m else None
+
+
 def read_current(spark: SparkSession, table: str) -> DataFrame | None:
-    v = current_version(spark, table)
-    return spark.read.parquet(f"{table}/{v}") if v else None
+    m = _manifest(spark, table)
+    return _read_buckets(spark, table, m, list(m["buckets"])) if m else None
+
 
+def _read_buckets(spark: SparkSession, table: str, m: dict, buckets: list[str]) -> DataFrame:
+    paths = [f"{table}/{m['buckets'][b]}/bucket={b}" for b in buckets]
+    return spark.read.option("mergeSchema", "true").parquet(*paths)
 
-def upsert_all_or_nothing(df: DataFrame, table: str, key: str = "id") -> str:
+
+def upsert_all_or_nothing(df: DataFrame, table: str, key: str = "id", order: str | None = None) -> str:
     """Bulk upsert of catalog rows; either every row lands or none.
 
-    The new version is the previous one with rows of the same key replaced
-    by the incoming rows, written in full to a new version
-    directory; only after that write succeeds is the ``_CURRENT`` pointer
-    replaced (write-then-rename).  Returns the new version name.
+    Of incoming rows with one key the last by ``order`` (else the largest row)
+    counts.  Only the key buckets that have incoming rows are rewritten, in
+    the folder of a new version with a name of its own, so that what a failed
+    write left behind is in nobody's way; then the pointer is replaced
+    atomically.  Returns the new version's name.
     """
     spark = df.sparkSession
-    prev = read_current(spark, table)
-    new = df
-    if prev is not None:
-        new = prev.join(df.select(key), key, "left_anti").unionByName(df, allowMissingColumns=True)
-    old = current_version(spark, table)
-    n = int(old.split("_")[-1]) + 1 if old else 1
-    version = f"v_{n:08d}"
-    new.write.mode("errorifexists").parquet(f"{table}/{version}")
-    fs, tmp, jvm = _fs(spark, f"{table}/_CURRENT.tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    _, cur, _ = _fs(spark, f"{table}/_CURRENT")
-    if fs.exists(cur):
-        fs.delete(cur, False)
-    fs.rename(tmp, cur)
+    m = _manifest(spark, table)
+    n = m["n"] if m else BUCKETS
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+    rest = [c for c in df.columns if c != key]
+    row = F.struct(*([order] if order else []), *[c for c in rest if c != order])
+    new = df.groupBy(key).agg(F.max(row).alias("_row")).select(key, "_row.*").select(*df.columns)
+    version = f"v_{int(m['version'].split('_')[1]) + 1 if m else 1:08d}_{uuid.uuid4().hex[:8]}"
+    # at most n rows
+    touched = sorted(str(r.b) for r in new.select(bucket.alias("b")).distinct().collect())
+    kept = [b for b in touched if m and b in m["buckets"]]
+    if kept:
+        prev = _read_buckets(spark, table, m, kept)
+        new = prev.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    new.withColumn("bucket", bucket).repartition(max(1, len(touched)), "bucket").write.partitionBy("bucket").parquet(f"{table}/{version}")
+    buckets = {**(m["buckets"] if m else {}), **{b: version for b in touched}}
+    _replace(spark, f"{table}/_CURRENT", json.dumps({"version": version, "n": n, "buckets": buckets}))
     return version
 
 
