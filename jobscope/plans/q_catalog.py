@@ -125,7 +125,7 @@ def p21_expand_template(spark, sf):
     "c2_staged_products",
     with_adapters("""
 SELECT job_id || '-' || CAST(n AS VARCHAR) AS id, job_id, bytes AS disk_usage, seconds AS duration,
-       bytes / nullif(seconds, 0.0) AS transfer_rate, url, 'grq_v1_' || flag AS "index"
+       bytes / nullif(seconds, 0.0) AS transfer_rate, url, 'cat_v1_' || flag AS "index"
 FROM products"""),
 )
 def c2_staged_products(spark, sf):
@@ -133,7 +133,7 @@ def c2_staged_products(spark, sf):
     p = A.products(spark, sf).select(
         F.concat("job_id", F.lit("-"), F.col("n").cast("string")).alias("id"), "job_id",
         F.col("bytes").alias("disk_usage"), F.col("seconds").alias("duration"), "url",
-        F.concat(F.lit("grq_v1_"), F.col("flag")).alias("index"))
+        F.concat(F.lit("cat_v1_"), F.col("flag")).alias("index"))
     return K.staged_products(p).select("id", "job_id", "disk_usage", "duration", "transfer_rate", "url", "index")
 
 

@@ -110,7 +110,7 @@ def p8_payload_hash(spark, sf):
     "p9_job_and_data_type",
     with_adapters("""
 WITH r AS (SELECT payload_id, CASE WHEN CAST(payload_id AS BIGINT) % 3 = 0
-                                   THEN 'dataset:grq::data/' || job_type ELSE 'job:' || job_type END AS raw FROM jobs)
+                                   THEN 'dataset:cat::data/' || job_type ELSE 'job:' || job_type END AS raw FROM jobs)
 SELECT payload_id, raw,
        CASE WHEN regexp_matches(raw, '^\\w+?:(.*)$') THEN regexp_extract(raw, '^\\w+?:(.*)$', 1) ELSE raw END AS job_type,
        CASE WHEN regexp_matches(raw, '^dataset:\\w+?::data/(.*)$') THEN regexp_extract(raw, '^dataset:\\w+?::data/(.*)$', 1) END AS data_type
@@ -119,7 +119,7 @@ FROM r"""),
 def p9_job_and_data_type(spark, sf):
     """Job type without its prefix, and the data type of dataset jobs."""
     j = A.jobs(spark, sf).select("payload_id", "job_type")
-    raw = F.when(F.col("payload_id").cast("bigint") % 3 == 0, F.concat(F.lit("dataset:grq::data/"), F.col("job_type"))).otherwise(
+    raw = F.when(F.col("payload_id").cast("bigint") % 3 == 0, F.concat(F.lit("dataset:cat::data/"), F.col("job_type"))).otherwise(
         F.concat(F.lit("job:"), F.col("job_type"))
     )
     j = j.select("payload_id", raw.alias("raw"))
@@ -352,7 +352,7 @@ def p27_metric_number(spark, sf):
 WITH j AS (SELECT payload_id, uuid, CASE job_type WHEN '1-URGENT' THEN 'triage-{job_id}-{job[task_id]}'
                                                   WHEN '2-HIGH' THEN 'bad-{nope}' END AS fmt,
                   CASE WHEN job_type = '3-MEDIUM' THEN 'triaged_job-' || payload_id || '_task-x' ELSE payload_id END AS job_id
-           FROM jobs WHERE status = 'job-completed')
+           FROM jobs)
 SELECT payload_id,
   CASE WHEN fmt IS NULL OR fmt = 'bad-{nope}'
        THEN 'triaged_job-' || CASE WHEN regexp_matches(job_id, 'triaged_job-(.+)_task-([-\\w])') THEN regexp_extract(job_id, 'triaged_job-(.+)_task-([-\\w])', 1) ELSE job_id END || '_task-' || uuid
@@ -361,7 +361,7 @@ FROM j"""),
 )
 def p28_triage_id(spark, sf):
     """Triage dataset ids with per-job formats and fallback."""
-    j = A.jobs(spark, sf).filter(F.col("status") == "job-completed")
+    j = A.jobs(spark, sf)
     fmt = F.when(F.col("job_type") == "1-URGENT", F.lit("triage-{job_id}-{job[task_id]}")).when(
         F.col("job_type") == "2-HIGH", F.lit("bad-{nope}"))
     jid = F.when(F.col("job_type") == "3-MEDIUM", F.concat(F.lit("triaged_job-"), F.col("payload_id"), F.lit("_task-x"))).otherwise(F.col("payload_id"))

@@ -119,21 +119,27 @@ def a13_dir_usage(spark, sf):
 @register(
     "r1_overdue_job_types",
     with_adapters(f"""
-WITH d AS (SELECT job_type, payload_id, time_end, time_limit,
+WITH j AS (SELECT * REPLACE (CASE WHEN status = 'job-completed' AND (custkey % 7 = 0 OR job_type = '2-HIGH') THEN 'job-failed' ELSE status END AS status) FROM jobs),
+d AS (SELECT job_type, payload_id, time_end, time_limit,
                   row_number() OVER (PARTITION BY job_type ORDER BY time_end DESC, payload_id DESC) AS rn
-           FROM jobs WHERE status = 'job-completed'),
+           FROM j WHERE status = 'job-completed'),
+f AS (SELECT job_type, payload_id, time_end, row_number() OVER (PARTITION BY job_type ORDER BY time_end DESC, payload_id DESC) AS rn
+      FROM j WHERE status = 'job-failed'),
 t AS (SELECT DISTINCT job_type FROM jobs),
 x AS (SELECT t.job_type, d.payload_id AS last_success_id, d.time_end AS last_success_end,
              (epoch_us({ORD_AS_OF}) - epoch_us(d.time_end)) / 1e6 AS age_secs,
-             CAST(NULL AS VARCHAR) AS last_failed_id, CAST(NULL AS TIMESTAMP) AS last_failed_end,
+             f.payload_id AS last_failed_id, f.time_end AS last_failed_end,
              CASE WHEN d.payload_id IS NULL THEN 'no_success'
                   WHEN (epoch_us({ORD_AS_OF}) - epoch_us(d.time_end)) / 1e6 > coalesce(CAST(d.time_limit AS DOUBLE), 0.0) THEN 'overdue' END AS reason
-      FROM t LEFT JOIN (SELECT * FROM d WHERE rn = 1) d USING (job_type))
+      FROM t LEFT JOIN (SELECT * FROM d WHERE rn = 1) d USING (job_type) LEFT JOIN (SELECT * FROM f WHERE rn = 1) f USING (job_type))
 SELECT * FROM x WHERE reason IS NOT NULL"""),
 )
 def r1_overdue_job_types(spark, sf):
-    """Job types with no recent enough success."""
-    j = A.jobs(spark, sf).select("job_type", "payload_id", "status", "time_end", "time_limit")
+    """Job types with no recent enough success; some finished jobs of the
+    adapted data count as failed, and all of one type."""
+    failed = (F.col("status") == "job-completed") & ((F.col("custkey") % 7 == 0) | (F.col("job_type") == "2-HIGH"))
+    j = A.jobs(spark, sf).withColumn("status", F.when(failed, "job-failed").otherwise(F.col("status")))
+    j = j.select("job_type", "payload_id", "status", "time_end", "time_limit")
     return O.overdue_job_types(j, A.ORDERS_AS_OF, periodicity=0.0)
 
 
@@ -170,14 +176,14 @@ def r2_stuck_queues(spark, sf):
 @register(
     "r4_purge",
     with_adapters("""
-SELECT payload_id, status, time_start FROM jobs
-WHERE status = 'job-started' AND time_start < TIMESTAMP '1998-01-01 00:00:00'"""),
+SELECT payload_id, status, time_start, coalesce(status = 'job-started' AND time_start < TIMESTAMP '1998-01-01 00:00:00', false) AS removed
+FROM jobs"""),
 )
 def r4_purge(spark, sf):
-    """Started jobs older than a cut-off, selected for removal."""
+    """Started jobs older than a cut-off are removed, all others kept."""
     j = A.jobs(spark, sf).select("payload_id", "status", "time_start")
     kept, removed = O.purge(j, ["job-started"], "1998-01-01 00:00:00", ts="time_start")
-    return removed
+    return kept.withColumn("removed", F.lit(False)).unionByName(removed.withColumn("removed", F.lit(True)))
 
 
 @register(

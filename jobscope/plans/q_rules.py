@@ -87,7 +87,7 @@ JOB_RULES = [
          job_type="io-notify", priority=2, query_all=False, job_name_path="_source.job_queue"),
     dict(rule_name="big_limit", query_string="time_limit > 450000", enabled=True, job_type="io-audit", priority=1,
          query_all=False, job_name_path=None),
-    dict(rule_name="any_low", query_string="job_type = '5-LOW' AND time_limit > 500000", enabled=True,
+    dict(rule_name="any_low", query_string="job_type = '5-LOW' AND time_limit > 300000", enabled=True,
          job_type="retry", priority=0, query_all=True, job_name_path="_source.celery_hostname"),
     dict(rule_name="broken", query_string="status = = 'x'", enabled=True, job_type="io-x", priority=0,
          query_all=False, job_name_path=None),
@@ -109,7 +109,7 @@ SELECT j.payload_id, 'any_low', 'retry', 0,
        'retry-' || CASE WHEN coalesce(h.celery_hostname, '') <> '' THEN h.celery_hostname ELSE j.payload_id END,
        h.payload_id
 FROM jobs j, (SELECT * FROM jobs WHERE payload_id = (
-      SELECT min(payload_id) FROM jobs WHERE job_type = '5-LOW' AND time_limit > 500000)) h"""),
+      SELECT min(payload_id) FROM jobs WHERE job_type = '5-LOW' AND time_limit > 300000)) h"""),
 )
 def j2_match_job_rules(spark, sf):
     """Rules against finished jobs; trigger names from the hit's path."""

@@ -138,12 +138,24 @@ SELECT j.payload_id, j.uuid, j.status, t.status AS task_status,
        WHEN t.status = 'task-failed' THEN 'job-failed'
        WHEN t.status = 'task-succeeded' THEN 'job-completed'
        ELSE 'job-offline' END AS new_status
-FROM jobs_current j LEFT JOIN task_latest t ON t.uuid = j.uuid LEFT JOIN live l ON l.uuid = j.uuid
+FROM jobs_current j LEFT JOIN (
+  SELECT uuid, CASE seq % 6 WHEN 1 THEN 'task-failed' WHEN 2 THEN 'task-succeeded' WHEN 3 THEN 'task-retried' ELSE status END AS status
+  FROM task_latest) t ON t.uuid = j.uuid AND j.seq % 5 <> 0 LEFT JOIN live l ON l.uuid = j.uuid
 WHERE j.status IN ('job-started', 'job-queued')"""),
 )
 def j4_reconcile_orphans(spark, sf):
-    """queued/started jobs reconciled with their latest task state."""
-    return S.reconcile_orphans(jobs_current(spark, sf), A.task_events(spark, sf), live=live_status(spark, sf))
+    """queued/started jobs reconciled with their latest task state.  The
+    adapted tasks mirror their jobs; here they end in every state, and some
+    jobs are known by an id that no task has."""
+    t, k = A.task_events(spark, sf), F.col("seq") % 6
+    status = F.when(k == 1, "task-failed").when(k == 2, "task-succeeded").when(k == 3, "task-retried").otherwise(F.col("status"))
+    jobs, live = jobs_current(spark, sf), live_status(spark, sf)
+    lost = lambda c: F.when(F.col("seq") % 5 == 0, F.concat(F.lit("lost-"), c)).otherwise(F.col(c))
+    jobs = jobs.withColumns({"own": F.col("uuid"), "uuid": lost("uuid")})
+    renamed = live.join(jobs.select(F.col("own").alias("uuid"), F.col("uuid").alias("to")), "uuid")
+    live = renamed.select(*[F.col("to").alias("uuid") if c == "uuid" else F.col(c) for c in live.columns])
+    out = S.reconcile_orphans(jobs.drop("own"), t.withColumn("status", status), live=live)
+    return out.withColumn("uuid", F.regexp_replace("uuid", "^lost-", ""))
 
 
 # ---------------------------------------------------------------- J5 -----
@@ -315,16 +327,17 @@ def w3_job_drain(spark, sf):
 @register(
     "w4_idle_hosts",
     with_adapters(f"""
-SELECT celery_hostname, bool_or(time_end IS NULL) AS running, max(time_end) AS last_done,
+SELECT 'c' || custkey AS celery_hostname, bool_or(time_end IS NULL) AS running, max(time_end) AS last_done,
        (epoch_us({ORD_AS_OF}) - epoch_us(max(time_end))) / 1e6 AS idle_secs,
        CASE WHEN bool_or(time_end IS NULL) THEN false
             WHEN max(time_end) IS NOT NULL THEN (epoch_us({ORD_AS_OF}) - epoch_us(max(time_end))) / 1e6 > 600
             ELSE false END AS idle
-FROM jobs GROUP BY celery_hostname"""),
+FROM jobs GROUP BY custkey"""),
 )
 def w4_idle_hosts(spark, sf):
-    """Idle hosts (no unfinished job, newest finish older than 600 s)."""
-    j = A.jobs(spark, sf).select("celery_hostname", "time_end")
+    """Idle hosts (no unfinished job, newest finish older than 600 s); a
+    customer's jobs are a host's."""
+    j = A.jobs(spark, sf).select(F.concat(F.lit("c"), F.col("custkey").cast("string")).alias("celery_hostname"), "time_end")
     return S.idle_hosts(j, ORD_AS_OF_PY, inactivity=600)
 
 
@@ -351,7 +364,7 @@ LEASE_AS_OF = "2024-01-30 23:00:00"
     "w6_lease_staleness",
     with_adapters(f"""
 WITH l AS (
-  SELECT payload_id, true AS lock_exists, epoch_us(max(ts)) / 1e6 AS last_renewed_at
+  SELECT payload_id, true AS lock_exists, CASE WHEN max(seq) % 9 > 0 THEN epoch_us(TIMESTAMP '{LEASE_AS_OF}') / 1e6 - max(seq) % 120 END AS last_renewed_at
   FROM job_events WHERE ts <= TIMESTAMP '{LEASE_AS_OF}' GROUP BY payload_id),
 a AS (SELECT *, epoch_us(TIMESTAMP '{LEASE_AS_OF}') / 1e6 - last_renewed_at AS age FROM l)
 SELECT payload_id, lock_exists, last_renewed_at, age,
@@ -361,10 +374,11 @@ SELECT payload_id, lock_exists, last_renewed_at, age,
 FROM a"""),
 )
 def w6_lease_staleness(spark, sf):
-    """Lease state of every job's lock from its last renewal (last write)."""
+    """Lease state of every job's lock; renewals of the adapted data lie up to two minutes back."""
     ev = A.job_events(spark, sf).filter(F.col("ts") <= F.lit(LEASE_AS_OF).cast("timestamp"))
     leases = ev.groupBy("payload_id").agg(
-        F.lit(True).alias("lock_exists"), (F.unix_micros(F.max("ts")) / 1e6).alias("last_renewed_at")
+        F.lit(True).alias("lock_exists"),
+        F.when(F.max("seq") % 9 > 0, F.unix_micros(F.lit(LEASE_AS_OF).cast("timestamp")) / 1e6 - F.max("seq") % 120).alias("last_renewed_at"),
     )
     return S.lease_staleness(leases, LEASE_AS_OF)
 

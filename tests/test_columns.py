@@ -57,7 +57,7 @@ def test_bytes_and_pct(spark):
 
 
 def test_valid_partition_pattern(spark):
-    cases = {",a": False, "a,": False, "*": False, "**": False, "grq_*": True, "a,b": True, "": True}
+    cases = {",a": False, "a,": False, "*": False, "**": False, "cat_*": True, "a,b": True, "": True}
     for t, want in cases.items():
         assert one(spark, C.valid_partition_pattern, t) is want, t
 
@@ -82,7 +82,7 @@ def test_status_ttl_and_limits(spark):
 def test_job_type_and_triage(spark):
     assert one(spark, C.job_type_of, "job:foo:bar") == "foo:bar"
     assert one(spark, C.job_type_of, "plain") == "plain"
-    assert one(spark, C.data_type_of, "dataset:grq::data/L2_x") == "L2_x"
+    assert one(spark, C.data_type_of, "dataset:cat::data/L2_x") == "L2_x"
     df = spark.createDataFrame([("triaged_job-abc_task-x", "t1", None), ("j2", "t2", "id-{job_id}-{job[task_id]}"),
                                 ("j3", "t3", "bad-{nope}")], "job_id string, task_id string, fmt string")
     got = [r.i for r in df.select(C.triage_id("job_id", "task_id", F.col("fmt")).alias("i")).collect()]

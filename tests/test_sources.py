@@ -52,7 +52,7 @@ def test_read_metric_logs(spark, tmp_path):
           "2024-01-02 03:04:05.250,host1,worker,w1,mem,1.50\n")
     pge = root / "jobs" / "a" / "b" / "c" / "d" / "e" / "f" / "step.pge.sdswatch.log"
     write(str(pge), "2024-01-02T03:04:06Z,progress,0.25\n")
-    write(str(root / "log" / "b.fulldict.sdswatch.log"), "2024-01-02T03:04:07.000Z,h2,verdi,v1,a=1 b=x\n")
+    write(str(root / "log" / "b.fulldict.sdswatch.log"), "2024-01-02T03:04:07.000Z,h2,svc,v1,a=1 b=x\n")
     got = sorted((r.metric_key, r.metric_value_string, r.metric_value_float, str(r.sdswatch_timestamp))
                  for r in RD.read_metric_log(spark, str(root), host="hostX").collect())
     assert ("cpu", "7", 7.0, "2024-01-02 03:04:05.123000") in got

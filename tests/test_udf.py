@@ -61,7 +61,7 @@ def test_usage_rollup_and_build_catalog(spark):
     stats = spark.createDataFrame([("j1", 5, "a"), ("j1", 7, "b"), ("j2", 1, "c")], "job_id string, cpu long, name string")
     got = {r.job_id: (r.n_samples, r.sum_cpu, r.max_cpu) for r in O.usage_rollup(stats, numeric=["cpu"]).collect()}
     assert got == {"j1": (2, 12, 7), "j2": (1, 1, 1)}
-    ds = spark.createDataFrame([("d1", "grq/area_of_interest", "v1", "L0", "area", "label")],
+    ds = spark.createDataFrame([("d1", "cat/area_of_interest", "v1", "L0", "area", "label")],
                                "id string, ipath string, version string, level string, type string, label string")
-    rec = K.build_catalog(ds, index="grq_v1_area").first()
-    assert rec.dataset == "area_of_interest" and rec.system_version == "v1" and rec.grq_index_result["index"] == "grq_v1_area"
+    rec = K.build_catalog(ds, index="cat_v1_area").first()
+    assert rec.dataset == "area_of_interest" and rec.system_version == "v1" and rec.grq_index_result["index"] == "cat_v1_area"
