@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents become the sequences of those of their terms that the benchmark has.
-Passages of PASSAGE words are TF-IDF vectors over these terms; a randomised SVD
+Passages of PASSAGE words are TF-IDF vectors over these terms, but for those that
+are in many passages, which say nothing about a passage; a randomised SVD
 of all passages, whose one pass over them is summed in Spark, gives the latent
 space.  Windows of every document are compared there with every benchmark item
 by cosine, and what is near is verified: by the longest common subsequence of
@@ -24,10 +25,14 @@ from . import words as W
 from .common import register, stored, table, texts
 
 PASSAGE = 64
-RANK, OVERSAMPLE = 96, 16
+RANK, OVERSAMPLE = 144, 16
+#: A term weighs idf ** POWER if its idf is at least this share of the largest possible one, else nothing.
+POWER, STRONG = 1.5, 0.4
+#: An item with fewer strong terms than this keeps the weight of all its terms.
+FEW = 5
 #: Windows that are compared with the items: (words, step).
-WINDOWS = ((24, 8), (64, 16))
-COSINE = 0.55
+WINDOWS = ((24, 12), (64, 32))
+COSINE = 0.7
 #: Of an item's terms, in order: enough by themselves, and enough if the answer's are there too.
 COVERED, PARAPHRASED, ANSWERED = 0.75, 0.5, 0.8
 #: What the benchmark may have at most; it is sent to every worker.
@@ -131,7 +136,8 @@ def _sketch(omega, idf, block: int = 256):
     def sketch(batches):
         total = np.zeros(omega.shape)
         for _, n_words, first, places, terms in _opened(batches):
-            _accumulate(total, omega, idf, _passages(n_words, first, places)[0], terms)
+            heavy = np.flatnonzero(idf[terms])
+            _accumulate(total, omega, idf, _passages(n_words, first, places)[0][heavy], terms[heavy])
         parts = [(i, total[i : i + block]) for i in range(0, len(total), block)]
         parts = [(i, p.tobytes()) for i, p in parts if p.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([p for _, p in parts], pa.binary())], names=["block", "part"])
@@ -146,7 +152,7 @@ def _add(group: pa.Table) -> pa.Table:
 
 def latent(sketch: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
     """Leading right singular vectors of A from (A^T A) omega (Nystroem)."""
-    core = omega.T @ sketch
+    core = omega.astype(np.float64).T @ sketch
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > max(values.max(initial=0), 1e-300) * 1e-10
     u, _, _ = np.linalg.svd(sketch @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
@@ -175,9 +181,19 @@ def _unit(z: np.ndarray) -> np.ndarray:
     return (z / np.where(n > 0, n, 1)).astype(np.float32)
 
 
+def weights(counts: np.ndarray, items: list) -> np.ndarray:
+    """Weight of each term, from the passages that have it and, last, their number."""
+    idf = np.log((1 + counts[-1]) / (1 + counts[:-1]))
+    strong = idf >= STRONG * np.log(1 + counts[-1])
+    for terms in items:
+        if strong[terms].sum() < FEW:
+            strong[terms] = True
+    return (np.where(strong, idf, 0.0) ** POWER).astype(np.float32)
+
+
 def _search(model):
     def search(batches):
-        bench, vectors, items = model.value
+        bench, weighs, vectors, items = model.value
         masks = [(_masks(t), _masks(a)) for t, a in zip(bench.terms, bench.answers, strict=True)]
 
         def verify(item, places, terms, low, high):
@@ -199,8 +215,10 @@ def _search(model):
         for ids, n_words, first, places, terms in _opened(batches):
             out = []
             base = np.concatenate([[0], np.cumsum(n_words)])
-            where = np.repeat(base[:-1], np.diff(first)) + places
-            sums = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors[terms], axis=0)])
+            heavy = np.flatnonzero(weighs[terms])
+            where = (np.repeat(base[:-1], np.diff(first)) + places)[heavy]
+            sums = np.zeros((len(heavy) + 1, vectors.shape[1]), np.float32)
+            np.cumsum(vectors[terms[heavy]], axis=0, out=sums[1:])
             near: dict[tuple, list] = {}
             for size, step in WINDOWS:
                 n = np.maximum(-(-(n_words - size) // step) + 1, (n_words > 0).astype(np.int64))
@@ -259,17 +277,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     counts = np.zeros(size + 1, np.int64)
     for r in coded.mapInArrow(_frequency(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         counts[r.term] = r.n
-    idf = np.log((1 + counts[-1]) / (1 + counts[:-1]))
-    omega = np.random.Generator(np.random.PCG64(11)).standard_normal((size, min(size, RANK + OVERSAMPLE)))
+    idf = weights(counts, bench.terms)
+    omega = np.random.Generator(np.random.PCG64(11)).standard_normal((size, min(size, RANK + OVERSAMPLE)), np.float32)
     total = np.zeros(omega.shape)
     for r in coded.mapInArrow(_sketch(omega, idf), "block long, part binary").groupBy("block").applyInArrow(_add, "block long, part binary").toLocalIterator():
         part = np.frombuffer(r.part, np.float64).reshape(-1, omega.shape[1])
         total[r.block : r.block + len(part)] = part
     lengths = [len(t) for t in bench.terms]
     _accumulate(total, omega, idf, np.repeat(np.arange(len(lengths)), lengths), np.concatenate(bench.terms))
-    vectors = latent(total, omega, RANK) * idf[:, None]
+    vectors = (latent(total, omega, RANK) * idf[:, None]).astype(np.float32)
     items = _unit(np.stack([vectors[t].sum(axis=0) for t in bench.terms]))
-    model = spark.sparkContext.broadcast((bench, vectors, items))
+    model = spark.sparkContext.broadcast((bench, idf > 0, vectors, items))
     return coded.mapInArrow(_search(model), RESULT)
 
 
