@@ -31,8 +31,10 @@ from .counts import packed, shard_of, unpacked
 from .fm_index import FMIndex
 
 WINDOW, ANCHOR = 13, 4
-#: Buckets of documents for each shuffle partition.
-BUCKETS_EACH = 4
+#: Buckets of documents, and indexes, for each shuffle partition: what one of them holds is that much smaller.
+BUCKETS_EACH, INDEXES_EACH = 2, 4
+#: Windows searched at once.
+PATTERNS = 1 << 16
 #: Anchors a task holds before it gives them out.
 HELD = 2 << 20
 NEVER = np.iinfo(np.int64).max
@@ -172,10 +174,12 @@ def search(group: pa.Table) -> pa.Table:
     at = spread(start[:-1], n[one])
     mark = W.grams(text.view(np.uint64), WINDOW)[at]
     _, some, of = np.unique(mark, return_index=True, return_inverse=True)
-    patterns = text[at[some][:, None] + np.arange(WINDOW)]
-    order = np.lexsort((patterns[:, -3], patterns[:, -2], patterns[:, -1]))
+    where = at[some]
+    order = np.lexsort(tuple(text[where + WINDOW - k] for k in (3, 2, 1)))
     low, high = np.empty(len(some), np.int64), np.empty(len(some), np.int64)
-    low[order], high[order] = index.search(patterns[order])
+    for k in range(0, len(order), PATTERNS):
+        part = order[k : k + PATTERNS]
+        low[part], high[part] = index.search(text[where[part][:, None] + np.arange(WINDOW)])
 
     # a window's suffixes lie in no other window's range: least document by range
     owner = np.repeat(np.append(lowest, NEVER), np.append(size + 1, 1))[np.append(index.order, len(text))]
@@ -234,7 +238,7 @@ def segments(shards: int):
                 s = shard_of(low, shards)
                 mark = s.astype(np.uint64) << np.uint64(32) | low & np.uint64(0xFFFFFFFF)
                 hit = there[np.minimum(np.searchsorted(there, mark), len(there) - 1)] == mark
-                begin, count, s = begin[hit], count[hit], s[hit]
+                begin, count, s = begin[hit], count[hit], shard_of(low[hit], INDEXES_EACH * shards)
                 keys.append(segment_keys(h, begin, count))
                 least.append(own.ids[lo + np.searchsorted(first, begin, "right") - 1])
                 n.append(count)
