@@ -34,12 +34,12 @@ from .common import register, table, texts
 #: Samples of each text.
 K = 2
 #: Regions of a mass below e**-FAINT of their text's are left out: less than a double's rounding of the rest.
-FAINT = 64.0
+FAINT = 38.0
 #: A piece of rank r in a BPE model weighs 1 / (r + SHIFT), as words of a language do.
 SHIFT = 10.0
 SPACE = "▁"
 #: Code points handled at once (a longer document is a slice of its own).
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 4 << 20
 
 
 class Pieces:
@@ -67,6 +67,9 @@ class Pieces:
         keys = np.array([h_chars(h, char_sums(h, np.frombuffer(self.text[i].encode("utf-32-le"), "<u4")), np.array([0]), np.array([len(self.text[i])]))[0] for i in normal], np.uint64)
         length = np.array([len(self.text[i]) for i in normal])
         self.longest = int(length.max())
+        #: Which of 2**20 hash values any piece has: most other strings are told by that.
+        self.some = np.zeros(1 << 20, bool)
+        self.some[keys >> np.uint64(44)] = True
         self.by_length = {}
         for size in np.unique(length):
             at = np.flatnonzero(length == size)
@@ -118,6 +121,8 @@ class Lattices:
             if not len(at):
                 continue
             mark = h_chars(h, sums, at, at + n)
+            may = np.flatnonzero(model.some[mark >> np.uint64(44)])
+            at, mark = at[may], mark[may]
             place = np.minimum(np.searchsorted(keys, mark), len(keys) - 1)
             hit = np.flatnonzero(keys[place] == mark)
             source.append(at[hit])
@@ -133,8 +138,8 @@ class Lattices:
         width = 1 + (own[bare] > 0x7F) + (own[bare] > 0x7FF) + (own[bare] > 0xFFFF) if model.byte else 1
         weight.append(model.rare * width * np.ones(len(bare)))
         source, length, piece, weight = (np.concatenate(x) for x in (source, length, piece, weight))
-        order = np.lexsort((length, source))
-        source, length, self.piece, weight = source[order], length[order], piece[order], weight[order]
+        order = np.argsort(source, kind="stable")  # a few ascending runs
+        source, length, self.piece, weight = source[order], length[order], piece[order].astype(np.int64), weight[order]
         self.to = state[source] + length
         first = np.searchsorted(source, np.arange(total))
         count = np.diff(np.append(first, len(source)))
@@ -154,9 +159,13 @@ class Lattices:
             top = np.maximum.reduceat(value, begin_)
             beta[state[s]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), begin_))
         logp = weight + beta[self.to] - beta[state[source]]
-        # a state's edges from likely to unlikely
-        order = np.lexsort((-logp, source))
-        self.logp, self.piece, self.to = logp[order], self.piece[order], self.to[order]
+        # a state's likeliest edge stands first
+        if len(logp):
+            best = np.flatnonzero(logp == np.repeat(np.maximum.reduceat(logp, first), count))
+            best = best[np.searchsorted(best, first)]
+            for a in (logp, self.piece, self.to):
+                a[first], a[best] = a[best], a[first]
+        self.logp = logp
         p = np.exp(self.logp)
         run = np.cumsum(p)
         whole = np.repeat(np.add.reduceat(p, first), count) if len(p) else p
@@ -212,40 +221,42 @@ def walk(lat: Lattices, unit: np.ndarray, seed: np.ndarray):
     return out, first, logp, other
 
 
+def _edges(lat: Lattices, state: int, taken: list) -> tuple[int, list, dict]:
+    """The first edge out of a state, the probability of each less that of ``taken``, and what follows the taken ones."""
+    e = int(lat.first[state])
+    p = np.exp(lat.logp[e : e + int(lat.count[state])]).tolist()
+    by: dict[int, list] = {}
+    for t in taken:
+        by.setdefault(int(t[0]), []).append(t[1:])
+    for f, rest in by.items():
+        p[f - e] *= _free(lat, int(lat.to[f]), rest)
+    return e, p, by
+
+
 def _free(lat: Lattices, state: int, taken: list) -> float:
     """Probability from ``state`` on of all segmentations but those in ``taken`` (edge tuples)."""
     if not taken:
         return 1.0
     if () in taken:
         return 0.0
-    by: dict[int, list] = {}
-    for t in taken:
-        by.setdefault(t[0], []).append(t[1:])
-    out = 0.0
-    for e in range(lat.first[state], lat.first[state] + lat.count[state]):
-        out += math.exp(lat.logp[e]) * (_free(lat, int(lat.to[e]), by[e]) if e in by else 1.0)
-    return out
+    return sum(_edges(lat, state, taken)[1])
 
 
 def _other_than(lat: Lattices, unit: int, taken: list, key: np.uint64) -> list:
     """Sample a segmentation of a unit that is not in ``taken``."""
     state, end, path, k = int(lat.start[unit]), int(lat.end[unit]), [], 0
     while state != end:
-        by: dict[int, list] = {}
-        for t in taken:
-            by.setdefault(t[0], []).append(t[1:])
-        es = list(range(lat.first[state], lat.first[state] + lat.count[state]))
-        w = [math.exp(lat.logp[e]) * (_free(lat, int(lat.to[e]), by[e]) if e in by else 1.0) for e in es]
-        x = float(uniform(np.array([key]), k)[0]) * sum(w)
-        e = max((e for e, v in zip(es, w, strict=True) if v > 0), default=es[-1])
-        for f, v in zip(es, w, strict=True):
+        e, p, by = _edges(lat, state, taken)
+        x = float(uniform(np.array([key]), k)[0]) * sum(p)
+        choice = max((i for i, v in enumerate(p) if v > 0), default=0)
+        for i, v in enumerate(p):
             x -= v
             if x < 0 and v > 0:
-                e = f
+                choice = i
                 break
-        path.append(e)
-        taken = by.get(e, [])
-        state, k = int(lat.to[e]), k + 1
+        path.append(e + choice)
+        taken = by.get(e + choice, [])
+        state, k = int(lat.to[e + choice]), k + 1
     return path
 
 
@@ -283,22 +294,26 @@ class Search:
         u = uniform(np.full(len(some), self.key), 1_000_003 + self.n, begin + some)
         top = -np.logaddexp(-g, np.log(-np.log(u)) - phi)
         # only the K + 1 best of a text's regions can ever be chosen
-        for i in np.argsort(-top)[: K + 1]:
+        for i in np.argpartition(-top, min(K, len(top) - 1))[: K + 1]:
             j = int(begin + some[i])
             heapq.heappush(self.heap, (-float(top[i]), self.n, j, x, [*(taken if j == begin else []), tuple(x.edges[x.first[j] : x.first[j + 1]])]))
             self.n += 1
         self.n += 1
 
 
-def _slices(batch: pa.RecordBatch):
-    texts_, lo, size = batch.column("text").to_pylist(), 0, 0
-    for i, t in enumerate(texts_):
-        if size and size + len(t) > SLICE_CHARS:
-            yield lo, i, texts_[lo:i]
-            lo, size = i, 0
-        size += len(t)
-    if lo < len(texts_):
-        yield lo, len(texts_), texts_[lo:]
+def _slices(batches):
+    """(ids, texts) of about SLICE_CHARS code points, over batch borders."""
+    ids, own, size = [], [], 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if size and size + len(t) > SLICE_CHARS:
+                yield ids, own
+                ids, own, size = [], [], 0
+            ids.append(i)
+            own.append(t)
+            size += len(t)
+    if own:
+        yield ids, own
 
 
 def sample_slice(model: Pieces, own: list[str], keys: np.ndarray, k: int):
@@ -392,20 +407,18 @@ def _spelled(model: Pieces, ids: np.ndarray, bare: np.ndarray) -> np.ndarray:
 def sampler(path: str, k: int, with_ids: bool):
     def sample(batches):
         model = pieces(path)
-        for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, own in _slices(batch):
-                keys = W.mix(ids[lo:hi].cast(pa.int64()).fill_null(-1).to_numpy().astype(np.int64).view(np.uint64) + np.uint64(0x5EED))
-                out = []
-                for i, t, got in zip(ids[lo:hi].to_pylist(), own, sample_slice(model, own, keys, k), strict=True):
-                    for n, (found, logp, g, q) in enumerate(got):
-                        raw = found.tobytes()
-                        out.append((i, n, len(found), logp, g, q, zlib.crc32(raw), model.decode(found.tolist()) == t, found if with_ids else None))
-                cols = list(zip(*out, strict=True)) or [()] * 9
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
-                names = ["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "ids_crc32", "round_trip", "ids"]
-                n = 8 + with_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds[:n], strict=True)], names=names[:n])
+        for ids, own in _slices(batches):
+            keys = W.mix(np.array([-1 if i is None else i for i in ids], np.int64).view(np.uint64) + np.uint64(0x5EED))
+            out = []
+            for i, t, got in zip(ids, own, sample_slice(model, own, keys, k), strict=True):
+                for n, (found, logp, g, q) in enumerate(got):
+                    raw = found.tobytes()
+                    out.append((i, n, len(found), logp, g, q, zlib.crc32(raw), model.decode(found.tolist()) == t, found if with_ids else None))
+            cols = list(zip(*out, strict=True)) or [()] * 9
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
+            names = ["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "ids_crc32", "round_trip", "ids"]
+            n = 8 + with_ids
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds[:n], strict=True)], names=names[:n])
 
     return sample
 
