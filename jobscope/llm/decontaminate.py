@@ -37,8 +37,8 @@ COSINE = 0.7
 COVERED, PARAPHRASED, ANSWERED = 0.75, 0.5, 0.8
 #: What the benchmark may have at most; it is sent to every worker.
 MOST_ITEMS, MOST_TERMS = 1_000_000, 500_000
-#: Items compared at once.
-ITEM_BLOCK = 4096
+#: Items compared at once, and tasks whose sums are added at once.
+ITEM_BLOCK, TOGETHER = 4096, 64
 
 
 class Benchmark:
@@ -132,7 +132,7 @@ def _accumulate(total, omega, idf, passage, terms):
     total[sorted_[at]] += np.add.reduceat(rows[of[order]] * idf[sorted_, None], at, axis=0)
 
 
-def _sketch(omega, idf, block: int = 256):
+def _sketch(omega, idf, block: int = 64):
     def sketch(batches):
         total = np.zeros(omega.shape)
         for _, n_words, first, places, terms in _opened(batches):
@@ -146,10 +146,17 @@ def _sketch(omega, idf, block: int = 256):
 
 
 def _add(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.float64) for x in group.column("part").to_pylist())
+    total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in group.column("part"))
     return pa.table({"block": group.column("block")[:1], "part": pa.array([total.tobytes()], pa.binary())})
 
 
+def _summed(parts: DataFrame) -> DataFrame:
+    """The blocks' sums: of TOGETHER tasks' parts each, then of those."""
+    group = F.floor(F.spark_partition_id() / TOGETHER)
+    some = parts.withColumn("tasks", group).groupBy("block", "tasks").applyInArrow(_add, "block long, part binary")
+    return some.groupBy("block").applyInArrow(_add, "block long, part binary")
+
+
 def latent(sketch: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
     """Leading right singular vectors of A from (A^T A) omega (Nystroem)."""
     core = omega.astype(np.float64).T @ sketch
@@ -280,7 +287,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     idf = weights(counts, bench.terms)
     omega = np.random.Generator(np.random.PCG64(11)).standard_normal((size, min(size, RANK + OVERSAMPLE)), np.float32)
     total = np.zeros(omega.shape)
-    for r in coded.mapInArrow(_sketch(omega, idf), "block long, part binary").groupBy("block").applyInArrow(_add, "block long, part binary").toLocalIterator():
+    for r in _summed(coded.mapInArrow(_sketch(omega, idf), "block long, part binary")).toLocalIterator():
         part = np.frombuffer(r.part, np.float64).reshape(-1, omega.shape[1])
         total[r.block : r.block + len(part)] = part
     lengths = [len(t) for t in bench.terms]
