@@ -21,7 +21,7 @@ import numpy as np
 
 MAGIC = b"IDB1"
 #: Ids in a block, and the largest id (two bytes).
-BLOCK = 4096
+BLOCK = 2048
 LARGEST = (1 << 16) - 1
 
 U = np.uint64
