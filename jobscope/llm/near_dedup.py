@@ -10,9 +10,14 @@ threshold are verified on the full sets.
 
 Groups of copies are never expanded.  Documents with equal sets form one class
 first.  In a band's bucket every class is compared with the bucket's smallest
-class only (a star); components of the verified stars then leave a few buckets
-that still hold several components, and only pairs across components are
-compared there.  Pairs inside one component cannot change the result.
+class only (a star), and components are made of the verified stars.  What the
+stars may have missed lies across components in the buckets that still hold
+several: those classes are joined by the prefix filter for set similarity.
+Shingles are ordered from rare to frequent; two sets can only reach the
+threshold if they share a shingle in their first parts, and the places of the
+shingle in both bound the intersection.  Heavily edited copies begin with
+shingles of their own, so this join leaves few pairs where a group has many
+members just under the threshold.
 """
 
 from __future__ import annotations
@@ -26,6 +31,9 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import register, stored, table, texts
 
+#: Counters by which shingles are ordered from rare to frequent (any order is right).
+COUNTERS = 1 << 20
+
 SHINGLE = 5
 #: Link where 100 * intersection >= SHARE * union.
 SHARE = 75
@@ -142,6 +150,47 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _tokens(counts):
+    def emit(batches):
+        for batch in batches:
+            ids, parts, sets = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            rows = []
+            for i, c, x in zip(ids, parts, sets, strict=True):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(s)
+                first = n + 1 - -(-SHARE * n // 100)  # the longest part that a similar set must meet
+                s = s[np.lexsort((s, counts.value[s >> np.uint64(44)]))][:first]
+                rows.append((s, np.full(len(s), i), np.full(len(s), c), np.full(len(s), n), np.arange(len(s))))
+            token, rep, component, n, place = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(rep), pa.array(component), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names=["token", "rep", "component", "n", "place"])
+
+    return emit
+
+
+def _frequency(batches):
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            part = np.frombuffer(b"".join(batch.column(0)[at : at + 100].to_pylist()), np.uint64)
+            total += np.bincount((part >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
+
+
+def prefix_pairs(open_: DataFrame) -> DataFrame:
+    """(a, b) of different components whose sets (rep, component, members) may reach the threshold."""
+    counted = open_.select("members").mapInArrow(_frequency, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)  # fixed size, whatever the input's
+    counts[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    tokens = open_.select("rep", "component", "members").mapInArrow(_tokens(open_.sparkSession.sparkContext.broadcast(counts)), "token long, rep long, component long, n int, place int")
+    tokens = stored(tokens, "tokens")
+    x, y = tokens.alias("x"), tokens.alias("y")
+    larger = "(x.n > y.n or x.n = y.n and x.rep > y.rep)"
+    could = f"{SHARE} * x.n <= 100 * y.n and {100 + SHARE} * (x.n - x.place) >= {SHARE} * (x.n + y.n) and {100 + SHARE} * (y.n - y.place) >= {SHARE} * (x.n + y.n)"
+    pairs = x.join(y, F.expr(f"x.token = y.token and x.component <> y.component and {larger} and {could}"))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def components(edges: DataFrame, name: str = "component") -> DataFrame:
     """Connected components of undirected edges (a, b): columns id and ``name``, the least id reachable.
 
@@ -183,28 +232,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     members = stored(bands.join(shared.select("bucket", "low"), "bucket"), "members")
 
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set_key binary, members binary")
+    sets = stored(sets.join(reps.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).select(F.col("doc_id").alias("rep"), "members"), "sets")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of (a, b), those linked: by likelihood first, then on the full sets."""
-        side = lambda p: reps.select(F.col("rep").alias(p), F.col("n").alias(f"n{p}"), F.col("sketch").alias(f"k{p}"))
-        likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_likely, "a long, b long"), "likely")
-        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        sets = texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set_key binary, members binary")
-        sets = stored(sets.join(reps.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).drop("set_key"), "sets")
-        full = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("sb")), "b")
+        """Of (a, b), those linked by their full sets."""
+        full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("sb")), "b")
         return stored(full.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long").distinct(), "links")
 
     stars = members.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(stars)
-    found = components(links, "component")
+    side = lambda p: reps.select(F.col("rep").alias(p), F.col("n").alias(f"n{p}"), F.col("sketch").alias(f"k{p}"))
+    likely = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_likely, "a long, b long")
+    found = components(verified(stored(likely, "likely")))
 
     label = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = label.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    open_ = stored(label.join(mixed, "bucket", "left_semi"), "open")
-    x, y = open_.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca")), open_.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    across = x.join(y, "bucket").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
-    links = links.union(verified(across))
-    found = components(links, "component")
+    open_ = stored(label.join(mixed, "bucket", "left_semi").select("rep", "component").distinct().join(sets, "rep"), "open")
+    across = verified(prefix_pairs(open_))
+    links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(across)
+    repeated = feats.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():  # rows of one document link their classes
+        own = feats.join(repeated, "doc_id", "left_semi").join(classes, ["set_key", "n_shingles"]).select("doc_id", "rep")
+        links = links.union(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("low")), "doc_id").select(F.col("low").alias("a"), F.col("rep").alias("b")))
+    found = components(links)
 
     labels = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = feats.select("doc_id", "n_shingles", "set_key").join(labels, ["set_key", "n_shingles"], "left")
