@@ -7,11 +7,14 @@ of all passages, whose one pass over them is summed in Spark, gives the latent
 space.  Windows of every document are compared there with every benchmark item
 by cosine, and what is near is verified: by the longest common subsequence of
 terms, and by the item's last sentence, its answer, where the rest is
-paraphrased.
+paraphrased.  The cosine misses some of what verifies; an inverted index of each
+item's rarer terms finds all of it: a document that shares too few of them
+within an item's span can't have enough of its terms.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -35,6 +38,10 @@ WINDOWS = ((24, 12), (64, 32))
 COSINE = 0.7
 #: Of an item's terms, in order: enough by themselves, and enough if the answer's are there too.
 COVERED, PARAPHRASED, ANSWERED = 0.75, 0.5, 0.8
+#: Of the fewest terms with which an item verifies, the share that the index asks for; it holds the rarest terms that make this sure.
+SHARED = 0.35
+#: Places of indexed terms that are looked at together, about.
+HITS = 2_000_000
 #: What the benchmark may have at most; it is sent to every worker.
 MOST_ITEMS, MOST_TERMS = 1_000_000, 500_000
 #: Items compared at once, and tasks whose sums are added at once.
@@ -198,27 +205,99 @@ def weights(counts: np.ndarray, items: list) -> np.ndarray:
     return (np.where(strong, idf, 0.0) ** POWER).astype(np.float32)
 
 
+def span(n: int) -> int:
+    """Words of a document among which an item of n terms has to be."""
+    return n * 3 // 2 + 4
+
+
+def least(n: int, n_answer: int) -> int:
+    """Fewest of an item's n terms, in order, with which it can verify: enough by themselves, or with the answer's."""
+    covered = math.ceil(COVERED * n)
+    return min(covered, max(math.ceil(PARAPHRASED * n), next(c for c in range(n_answer + 1) if c / n_answer >= ANSWERED))) if n_answer else covered
+
+
+def index(bench: Benchmark, counts: np.ndarray) -> tuple:
+    """Items by their rarest terms: (first posting of each term, items, how many terms are asked for, spans).
+
+    Whatever has ``least`` of an item's n terms has at least k of any n - least + k.
+    """
+    enough, found = [], []
+    for i, (terms, answer) in enumerate(zip(bench.terms, bench.answers, strict=True)):
+        fewest = least(len(terms), len(answer))
+        enough.append(max(round(SHARED * fewest), 1))
+        rare = np.unique(terms[np.lexsort((terms, counts[terms]))][: len(terms) - fewest + enough[-1]])
+        found.append(np.stack([rare, np.full(len(rare), i)]))
+    term, item = np.concatenate(found, axis=1)
+    order = np.argsort(term, kind="stable")
+    begin = np.searchsorted(term[order], np.arange(len(bench.vocabulary) + 1))
+    return begin, item[order], np.array(enough), np.array([span(len(t)) for t in bench.terms])
+
+
+def sharing(index: tuple, n_words, first, places, terms) -> set:
+    """(document, item) where enough of the item's indexed terms are within its span: all that verify, and some more."""
+    begin, postings, enough, spans = index
+    n, widest = np.diff(begin)[terms], int(spans.max())
+    base = np.concatenate([[0], np.cumsum(n_words + widest)])  # no span reaches two documents, nor two items below
+    at = np.repeat(base[:-1], np.diff(first)) + places
+    ends, out, lo = np.cumsum(n), set(), 0
+    while lo < len(terms):
+        hi = max(int(np.searchsorted(ends, ends[lo] - n[lo] + HITS, side="right")), lo + 1)
+        stop = int(np.searchsorted(at, at[hi - 1] + widest))
+        some, total = n[lo:stop], int(n[lo:stop].sum())
+        posting = np.repeat(begin[terms[lo:stop]] - (np.cumsum(some) - some), some) + np.arange(total)
+        key = postings[posting] * (base[-1] + 1) + np.repeat(at[lo:stop], some)
+        key.sort()
+        item = key // (base[-1] + 1)
+        last = np.arange(total) + enough[item] - 1
+        yes = np.flatnonzero(last < total)
+        yes = yes[key[last[yes]] - key[yes] < spans[item[yes]]]
+        doc = np.searchsorted(base, key[yes] % (base[-1] + 1), side="right") - 1
+        pairs = np.unique(doc * len(spans) + item[yes])
+        out.update(zip((pairs // len(spans)).tolist(), (pairs % len(spans)).tolist(), strict=True))
+        lo = hi
+    return out
+
+
+def _windows(n_words, size: int, step: int):
+    """Document, start and end of each window of documents of so many words."""
+    n = np.maximum(-(-(n_words - size) // step) + 1, (n_words > 0).astype(np.int64))
+    doc = np.repeat(np.arange(len(n)), n)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step
+    return doc, start, np.minimum(start + size, n_words[doc])
+
+
+class Verifier:
+    """Whether a document has an item, tried from every one of its words that the item has too."""
+
+    def __init__(self, terms: np.ndarray, answer: np.ndarray):
+        self.terms, self.answer, self.known = terms, answer, np.unique(terms)
+        self.masks, self.fewest, self.span = (_masks(terms), _masks(answer)), least(len(terms), len(answer)), span(len(terms))
+
+    def __call__(self, places: np.ndarray, terms: np.ndarray) -> tuple:
+        """Whether it does; its best coverage, and its answer's there."""
+        best = (False, 0.0, 0.0)
+        hits = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, terms), len(self.known) - 1)] == terms)
+        at, seq = places[hits], terms[hits].tolist()
+        start = np.flatnonzero(at[self.fewest - 1 :] - at[: max(len(at) - self.fewest + 1, 0)] < self.span)
+        stop = np.searchsorted(at, at[start] + self.span)
+        i = 0
+        while i < len(start):
+            # windows that start within the first one's span; what they have together is at least what each has
+            j = int(np.searchsorted(at[start], at[start[i]] + self.span))
+            if common(self.terms, self.masks[0], seq[start[i] : stop[j - 1]]) >= self.fewest:
+                for a, b in zip(start[i:j].tolist(), stop[i:j].tolist(), strict=True):
+                    cover = common(self.terms, self.masks[0], seq[a:b]) / len(self.terms)
+                    if cover >= PARAPHRASED:
+                        answer = common(self.answer, self.masks[1], seq[a:b]) / len(self.answer) if len(self.answer) else 0.0
+                        best = max(best, (cover >= COVERED or answer >= ANSWERED, cover, answer))
+            i = j
+        return best
+
+
 def _search(model):
     def search(batches):
-        bench, weighs, vectors, items = model.value
-        masks = [(_masks(t), _masks(a)) for t, a in zip(bench.terms, bench.answers, strict=True)]
-
-        def verify(item, places, terms, low, high):
-            """Whether the document's words from low to high have the item; its best coverage, and its answer's there."""
-            n, length = len(bench.terms[item]), len(bench.terms[item]) * 3 // 2 + 4
-            best = (False, 0.0, 0.0)
-            for start in range(max(low - length, 0), max(high - length // 2, 1), max(n // 4, 1)):
-                a, b = np.searchsorted(places, [start, start + length])
-                if (b - a) < PARAPHRASED * n:
-                    continue
-                seq = terms[a:b].tolist()
-                cover = common(bench.terms[item], masks[item][0], seq) / n
-                if cover >= PARAPHRASED:
-                    pattern = bench.answers[item]
-                    answer = common(pattern, masks[item][1], seq) / len(pattern) if len(pattern) else 0.0
-                    best = max(best, (cover >= COVERED or answer >= ANSWERED, cover, answer))
-            return best
-
+        bench, weighs, vectors, items, rare = model.value
+        verifiers: dict[int, Verifier] = {}
         for ids, n_words, first, places, terms in _opened(batches):
             out = []
             base = np.concatenate([[0], np.cumsum(n_words)])
@@ -226,12 +305,9 @@ def _search(model):
             where = (np.repeat(base[:-1], np.diff(first)) + places)[heavy]
             sums = np.zeros((len(heavy) + 1, vectors.shape[1]), np.float32)
             np.cumsum(vectors[terms[heavy]], axis=0, out=sums[1:])
-            near: dict[tuple, list] = {}
+            near: dict[tuple, float] = {}
             for size, step in WINDOWS:
-                n = np.maximum(-(-(n_words - size) // step) + 1, (n_words > 0).astype(np.int64))
-                doc = np.repeat(np.arange(len(n)), n)
-                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step
-                stop = np.minimum(start + size, n_words[doc])
+                doc, start, stop = _windows(n_words, size, step)
                 a, b = np.searchsorted(where, base[doc] + start), np.searchsorted(where, base[doc] + stop)
                 some = np.flatnonzero(b > a)
                 for at in range(0, len(some), 20_000):
@@ -240,19 +316,25 @@ def _search(model):
                     for block in range(0, len(items), ITEM_BLOCK):
                         cos = z @ items[block : block + ITEM_BLOCK].T
                         for i, j in zip(*np.nonzero(cos >= COSINE), strict=True):
-                            near.setdefault((int(doc[w[i]]), block + int(j)), []).append((int(start[w[i]]), int(stop[w[i]]), float(cos[i, j])))
-            for (d, item), found in sorted(near.items()):
+                            pair = (int(doc[w[i]]), block + int(j))
+                            near[pair] = max(near.get(pair, -1.0), float(cos[i, j]))
+
+            def cosine(d, item):
+                """The best of any window of document d."""
+                best = []
+                for size, step in WINDOWS:
+                    _, start, stop = _windows(n_words[d : d + 1], size, step)
+                    a, b = np.searchsorted(where, base[d] + start), np.searchsorted(where, base[d] + stop)
+                    best.append(float((_unit(sums[b] - sums[a]) @ items[item]).max()))
+                return max(best)
+
+            for d, item in sorted(sharing(rare, n_words, first, places, terms).union(near)):
                 own = slice(first[d], first[d + 1])
-                found.sort()
-                spans: list[list] = []
-                for low, high, _ in found:
-                    if spans and low <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], high)
-                    else:
-                        spans.append([low, high])
-                yes, cover, answer = max(verify(item, places[own], terms[own], *s) for s in spans)
+                if item not in verifiers:
+                    verifiers[item] = Verifier(bench.terms[item], bench.answers[item])
+                yes, cover, answer = verifiers[item](places[own], terms[own])
                 if yes:
-                    out.append((ids[d], bench.ids[item], max(f[2] for f in found), cover, answer))
+                    out.append((ids[d], bench.ids[item], near[d, item] if (d, item) in near else cosine(d, item), cover, answer))
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "cosine", "covered", "answer_covered"])
@@ -267,7 +349,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and benchmark item that it contains: doc_id, item_id, cosine, covered, answer_covered.
 
     ``covered`` is the share of the item's terms that the document has in their
-    order.  Null and empty texts contain nothing, and are contained in nothing;
+    order, ``cosine`` the best of any window, under COSINE too.  Null and empty texts contain nothing, and are contained in nothing;
     so are items without letters or digits.  Repeated rows are reported each.
     """
     spark = docs.sparkSession
@@ -294,7 +376,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     _accumulate(total, omega, idf, np.repeat(np.arange(len(lengths)), lengths), np.concatenate(bench.terms))
     vectors = (latent(total, omega, RANK) * idf[:, None]).astype(np.float32)
     items = _unit(np.stack([vectors[t].sum(axis=0) for t in bench.terms]))
-    model = spark.sparkContext.broadcast((bench, idf > 0, vectors, items))
+    model = spark.sparkContext.broadcast((bench, idf > 0, vectors, items, index(bench, counts)))
     return coded.mapInArrow(_search(model), RESULT)
 
 

@@ -373,6 +373,45 @@ def test_decontamination(spark, rows):
     assert decontaminate.contaminated(table.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_all_that_verifies(spark):
+    rng = random.Random(5)
+    vocabulary = [f"t{i}" for i in range(400)]
+    words = lambda n: rng.choices(vocabulary, [1 / (i + 3) for i in range(400)], k=n)
+    items = [words(rng.randint(14, 50)) + ["."] + words(rng.randint(2, 9)) for _ in range(10)]
+    bench = [(i, " ".join(x).replace(" .", ".") + ".") for i, x in enumerate(items)]
+    docs = []
+    for i, item in enumerate(items):
+        for lost in (0, 0.25, 0.45):
+            cut = item.index(".")
+            copy = [rng.choice(vocabulary) if rng.random() < lost else w for w in item[:cut]] + item[cut + 1 :]
+            docs.append((len(docs), words(rng.randint(0, 200)) + copy + words(rng.randint(0, 200))))
+    docs += [(len(docs) + i, words(300)) for i in range(5)]
+
+    def table(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    want = set()
+    for d, text in docs:
+        for i, item in enumerate(items):
+            flat, answer = [w for w in item if w != "."], item[item.index(".") + 1 :]
+            size = len(flat) * 3 // 2 + 4
+            for s in range(len(text)):
+                part = text[s : s + size]
+                if text[s] not in flat or sum(w in flat for w in part) < len(flat) / 2:
+                    continue
+                cover = table(flat, part) / len(flat)
+                if cover >= 0.75 or (cover >= 0.5 and table(answer, part) / len(answer) >= 0.8):
+                    want.add((d, i))
+                    break
+    assert len(want) > 20
+    got = decontaminate.contaminated(spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(50):
