@@ -60,7 +60,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled SentencePiece segmentations of each document."""
-    return samples(docs, default_model(), with_ids=False)
+    return samples(docs, default_model())
 
 
 STAGES = [

@@ -404,6 +404,11 @@ def _spelled(model: Pieces, ids: np.ndarray, bare: np.ndarray) -> np.ndarray:
     return np.concatenate([*parts, ids[last:]])
 
 
+def _lists(found) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u4"), *found]).astype(np.int32)))
+
+
 def sampler(path: str, k: int, with_ids: bool):
     def sample(batches):
         model = pieces(path)
@@ -415,10 +420,12 @@ def sampler(path: str, k: int, with_ids: bool):
                     raw = found.tobytes()
                     out.append((i, n, len(found), logp, g, q, zlib.crc32(raw), model.decode(found.tolist()) == t, found if with_ids else None))
             cols = list(zip(*out, strict=True)) or [()] * 9
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
             names = ["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "ids_crc32", "round_trip", "ids"]
-            n = 8 + with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds[:n], strict=True)], names=names[:n])
+            arrays = [pa.array(c, t) for c, t in zip(cols[:8], kinds, strict=True)]
+            if with_ids:
+                arrays.append(_lists(cols[8]))
+            yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
 
     return sample
 
@@ -448,4 +455,4 @@ def default_model() -> str:
 
 @register("op9_sentencepiece_sampling")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(table(spark, sf_dir, "documents"), default_model(), with_ids=False)
+    return samples(table(spark, sf_dir, "documents"), default_model())

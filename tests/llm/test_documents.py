@@ -331,6 +331,17 @@ def test_samples(docs, rows):
     assert key(got) == key(again.collect())
 
 
+def test_samples_of_the_query_can_be_read(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sampled_pieces.default_model())
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = sampled_pieces.op9(spark, sf).collect()
+    assert {r.doc_id for r in got} == set(texts)
+    assert all(sp.decode(r.ids) == texts[r.doc_id] for r in got if r.round_trip)
+
+
 def test_inclusion_is_that_of_sampling_without_replacement():
     model = sampled_pieces.pieces(sampled_pieces.default_model())
     keys = sampled_pieces.W.mix(np.arange(3000, dtype=np.uint64) + np.uint64(17))

@@ -32,3 +32,11 @@ def test_the_whole_pipeline(spark):
     assert {"doc_id", "sample", "round_trip"} <= set(out.columns)
     assert out.where("not round_trip").count() == 0
     assert os.path.exists(SF)
+
+
+def test_the_pipelines_end_product_can_be_read(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.default_model())
+    docs = spark.createDataFrame([(1, "A text to be read again.", "en", "s", 24), (2, "", "en", "s", 0)], SCHEMA)
+    assert {(r.doc_id, sp.decode(r.ids)) for r in corpus_pipeline.encode(spark, docs, SF).collect()} == {(1, "A text to be read again."), (2, "")}
