@@ -77,8 +77,8 @@ RULES = [
     ("All-rights-reserved", ["reserved"]),
 ]
 
-#: Every known sentence has one of these; a text without any is not cut into sentences.
-HINTS = ["licens", "copyright", "permission", "warrant", "redistribut", "software", "rights reserved", "mozilla"]
+#: Every known sentence has one of these, within a word; a text without any is not cut into sentences.
+HINTS = ["licens", "copyright", "permission", "warrant", "redistribut", "software", "reserved", "mozilla"]
 
 #: The end of a sentence: its sign and the white space behind it, or an empty line.
 SENTENCE_END = r"([.;:!?][\"')\]]*)[ \t\r\n]+|\n[ \t\r]*\n"

@@ -280,6 +280,17 @@ def test_license_scan(spark):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    gaps = ["\n", "\n  ", "  ", "\t", "\u00a0", "-"]
+    docs = spark.createDataFrame([(i, f"Some text.\nAll rights{g}reserved.\nMore text.", None, None, 0) for i, g in enumerate(gaps)], SCHEMA)
+    assert {r.doc_id: (r.sentence_ids, r.licenses) for r in license_scan.scan(docs).collect()} == {i: ("<reserved>", "All-rights-reserved") for i in range(len(gaps))}
+
+
+def test_license_hints_are_within_words_of_every_known_sentence():
+    assert all(h.isalnum() for h in license_scan.HINTS)
+    assert all(any(h in s for h in license_scan.HINTS) for s in license_scan.KNOWN)
+
+
 def test_license_scan_of_odd_rows(docs, rows):
     assert license_scan.scan(docs).count() == len(rows)
 
