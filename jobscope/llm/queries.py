@@ -11,6 +11,7 @@ from . import (  # noqa: F401
     sampled_pieces,
     site_style_tree,
     substring_dedup,
+    warc,
 )
 from .common import ORACLE, QUERIES
 
