@@ -12,6 +12,7 @@ from . import (  # noqa: F401
     site_style_tree,
     substring_dedup,
     warc,
+    whitening,
 )
 from .common import ORACLE, QUERIES
 
