@@ -1,6 +1,7 @@
 """Loads every operator module, so that its query is registered."""
 
 from . import (  # noqa: F401
+    collocations,
     decontaminate,
     id_files,
     imatch,
