@@ -383,16 +383,19 @@ with piece as (
 ws as (select lang, regexp_extract_all(p, '[^\\x20\\x09]+') as w from piece),
 pos as (select lang, w, unnest(range(1, len(w) + 1)) as i from ws),
 gram as (
-  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, w[i : i + k - 1] as ws from pos, (values (1), (2), (3)) as t(k) where i + k - 1 <= len(w)),
-f as (select lang, k, phrase, any_value(ws) as ws, count(*) as c from gram group by 1, 2, 3),
+  select lang, 1 as k, w[i] as phrase from pos
+  union all select lang, 2, w[i] || ' ' || w[i + 1] from pos where i + 1 <= len(w)
+  union all select lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] from pos where i + 2 <= len(w)),
+f as materialized (select lang, k, phrase, string_split(phrase, ' ') as ws, count(*) as c from gram group by 1, 2, 3),
 total as (select lang, sum(c) as n from f where k = 1 group by 1),
 cand as (select * from f where k > 1 and c >= {SUPPORT}),
+often as (select lang, k, phrase, c from f where c >= {SUPPORT}),
+halves as (
+  select lang, k, phrase, c as a, j, array_to_string(ws[1 : j], ' ') as lp, array_to_string(ws[j + 1 : k], ' ') as rp
+  from (select *, unnest(range(1, k)) as j from cand)),
 cut as (
-  select c.lang, c.k, c.phrase, c.c as a, j, fl.c as l, fr.c as r,
-    (1000000::hugeint * c.c * c.c) // (fl.c::hugeint * fr.c) as score
-  from cand c, (values (1), (2)) as t(j), f fl, f fr
-  where j < c.k and fl.lang = c.lang and fl.phrase = array_to_string(c.ws[1 : j], ' ') and fl.k = j
-    and fr.lang = c.lang and fr.phrase = array_to_string(c.ws[j + 1 : c.k], ' ') and fr.k = c.k - j),
+  select h.lang, h.k, h.phrase, h.a, h.j, fl.c as l, fr.c as r, (1000000::hugeint * h.a * h.a) // (fl.c::hugeint * fr.c) as score
+  from halves h join often fl on fl.lang = h.lang and fl.phrase = h.lp join often fr on fr.lang = h.lang and fr.phrase = h.rp),
 best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1),
 inside as (
   select lang, array_to_string(ws[j : j + 1], ' ') as phrase, max(c) as longer
