@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions.columns import daily_partition
 from jobscope.functions.predicates import work_queues
+from jobscope.operators.ranges import running
 from jobscope.operators.state import latest_per
 
 
@@ -59,14 +60,16 @@ def orphan_object_counts(objects: DataFrame, bucket: str = "bucket") -> DataFram
 DELETE_CHUNK = 1000
 
 
-def delete_batches(objects: DataFrame, size: int = DELETE_CHUNK, bucket: str = "bucket", key: str = "key") -> DataFrame:
+def delete_batches(objects: DataFrame, size: int = DELETE_CHUNK, bucket: str = "bucket", key: str = "key",
+                   ranges: int | None = None) -> DataFrame:
     """Keys per bucket cut into delete requests of at most ``size``.
 
-    ``row_number`` per bucket numbers the keys in key order; each batch's
-    ``collect_list`` holds at most ``size`` keys, however large the bucket.
+    Keys are numbered per bucket in key order, over ranges of a bucket's keys;
+    each batch's ``collect_list`` holds at most ``size`` keys, however large
+    the bucket.
     """
-    w = Window.partitionBy(bucket).orderBy(key)
-    numbered = objects.select(bucket, key).withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    before = running(objects.select(bucket, key), bucket, [key], F.lit(1), "_n", ranges)
+    numbered = before.withColumn("batch", F.floor(F.col("_n") / size))
     return numbered.groupBy(bucket, "batch").agg(
         F.count(F.lit(1)).alias("n_keys"),
         F.sort_array(F.collect_list(key)).alias("keys"),
@@ -188,19 +191,21 @@ EVICTION_ORDER = ("task", "job_ok", "job_other", "cache")
 
 
 def eviction_plan(items: DataFrame, need, host: str = "host", cls: str = "class", nbytes: str = "bytes",
-                  order="path", cache_ts: str = "ts") -> DataFrame:
+                  order="path", cache_ts: str = "ts", ranges: int | None = None) -> DataFrame:
     """Which finished items a host deletes to free ``need`` bytes.
 
     Classes are cleaned in order: finished tasks, zero-exit jobs, other
     finished jobs, then the cache newest first; within a class in path
     order (then any further ``order`` columns, which should make the order
     total).  An item is deleted while the bytes freed before it are still
-    short of the need.  ``need`` is a number or a column (per host).
+    short of the need.  ``need`` is a number or a column (per host).  The
+    bytes before an item are summed over ranges of a host's items.
     """
     rank = F.array_position(F.array(*[F.lit(c) for c in EVICTION_ORDER]), F.col(cls))
     cache_key = F.when(F.col(cls) == "cache", -F.unix_micros(F.col(cache_ts)))
     order_cols = [order] if isinstance(order, str) else list(order)
-    w = Window.partitionBy(host).orderBy(rank, cache_key, *[F.col(c) for c in order_cols])
-    before = F.coalesce(F.sum(nbytes).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = items.withColumns({"_rank": rank, "_newest": cache_key})
     need_col = need if isinstance(need, Column) else F.lit(float(need))
-    return items.withColumns({"freed_before": before, "delete": before < need_col})
+    freed = running(placed, host, ["_rank", "_newest", *order_cols], nbytes, "freed_before", ranges)
+    freed = freed.withColumn("freed_before", F.col("freed_before").cast("double"))
+    return freed.withColumn("delete", F.col("freed_before") < need_col).drop("_rank", "_newest")

@@ -15,12 +15,14 @@ log.  Without it no write is declined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope import TERMINAL_JOB_STATUSES
 from jobscope.functions.columns import failure_class, numeric_limit, short_error
 from jobscope.functions.predicates import older_than
+from jobscope.operators.drain import job_drain  # noqa: F401
+from jobscope.operators.ranges import neighbour
 from jobscope.operators.state import current_state
 
 UNDETERMINED = "undetermined by watchdog"
@@ -304,77 +306,6 @@ def dead_node_jobs(jobs: DataFrame, heartbeats: DataFrame, as_of, alive_secs: fl
     return jobs.filter(F.col("status") == "job-started").join(recent, node, "left_anti")
 
 
-# ------------------------------------------------------------------ W3 ----
-
-
-def job_drain(events: DataFrame, threshold: int = 10, window_secs: float = 5.0,
-              host: str = "celery_hostname", pid: str | None = None) -> DataFrame:
-    """Contiguous-failure drain detection per worker.
-
-    A completed/deduped job clears a worker's failure counter, and so does a
-    new worker process id.  Each failure increments it; the first failure
-    sets the start time.  The worker drains when count > threshold and
-    count / (t - start) >= threshold / window_secs; a drain clears the
-    counter too.  Returns one row per failure with its running ``count`` and
-    ``drain`` flag.
-
-    Runs of failures between resets are found with window functions, and so
-    is everything up to the first drain of a run (running count, first
-    failure time, first index meeting the rule).  Only the rows after a
-    run's first drain, where the count restarts, need a sequential scan; that
-    rare tail goes through ``applyInPandas`` per run.
-    """
-    rate = threshold / window_secs
-    pid_col = [F.col(pid).alias("pid")] if pid else [F.lit(0).alias("pid")]
-    ev = events.filter(F.col("status").isin("job-failed", "job-completed", "job-deduped")).select(
-        F.col(host).alias("host"), "ts", "seq", "status", *pid_col
-    )
-    w = Window.partitionBy("host").orderBy("ts", "seq")
-    reset = (F.col("status") != "job-failed") | (F.col("pid") != F.lag("pid").over(w))
-    ev = ev.withColumn("_reset", F.coalesce(reset, F.lit(True)).cast("int"))
-    ev = ev.withColumn("run", F.sum("_reset").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    fails = ev.filter(F.col("status") == "job-failed").select("host", "run", "ts", "seq")
-
-    wr = Window.partitionBy("host", "run").orderBy("ts", "seq")
-    cnt = F.row_number().over(wr)
-    fails = fails.withColumn("_n", cnt).withColumn("_t0", F.first("ts").over(wr.rowsBetween(Window.unboundedPreceding, 0)))
-    elapsed = _secs(F.col("ts"), F.col("_t0"))
-    meets = (F.col("_n") > threshold) & ((elapsed <= 0) | (F.col("_n") / elapsed >= rate))
-    fails = fails.withColumn("_first", F.min(F.when(meets, F.col("_n"))).over(Window.partitionBy("host", "run")))
-    head = fails.filter(F.col("_first").isNull() | (F.col("_n") <= F.col("_first"))).select(
-        "host", "run", "ts", "seq", F.col("_n").cast("bigint").alias("count"),
-        F.coalesce(F.col("_n") == F.col("_first"), F.lit(False)).alias("drain"),
-    )
-    tail = fails.filter(F.col("_n") > F.col("_first")).select("host", "run", "ts", "seq")
-
-    def scan(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(["ts", "seq"]).reset_index(drop=True)
-        t = pdf["ts"].astype("int64").to_numpy() / 1e9 if np.issubdtype(pdf["ts"].dtype, np.datetime64) else pdf["ts"].to_numpy()
-        n = len(pdf)
-        out_cnt = np.zeros(n, dtype=np.int64)
-        drain = np.zeros(n, dtype=bool)
-        c, start = 0, 0.0
-        for i in range(n):
-            if c == 0:
-                c, start = 1, t[i]
-            else:
-                c += 1
-            out_cnt[i] = c
-            diff = t[i] - start
-            if c > threshold and (diff <= 0 or c / diff >= rate):
-                drain[i] = True
-                c = 0
-        pdf["count"] = out_cnt
-        pdf["drain"] = drain
-        return pdf[["host", "run", "ts", "seq", "count", "drain"]]
-
-    schema = "host string, run bigint, ts timestamp, seq bigint, count bigint, drain boolean"
-    rest = tail.groupBy("host", "run").applyInPandas(scan, schema)
-    return head.unionByName(rest).withColumnRenamed("host", host)
-
-
 # ------------------------------------------------------------ W4, W5 ------
 
 
@@ -403,14 +334,14 @@ def idle_hosts(jobs: DataFrame, as_of, inactivity: float = 600, hosts: DataFrame
                       age.alias("idle_secs"), idle.alias("idle"))
 
 
-def flag_changes(df: DataFrame, key: str, order, flag: str) -> DataFrame:
+def flag_changes(df: DataFrame, key: str, order, flag: str, ranges: int | None = None) -> DataFrame:
     """Emit ``set``/``unset`` only when a flag changes (the first
-    observation always emits)."""
+    observation always emits).
+
+    A key's rows may lie in many ranges, whose border rows are exchanged."""
     order = [order] if isinstance(order, str) else list(order)
-    w = Window.partitionBy(key).orderBy(*order)
-    prev = F.lag(flag).over(w)
-    out = df.withColumn("_prev", prev).withColumn("_first", F.row_number().over(w) == 1)
-    return out.filter(F.col("_first") | (F.col("_prev") != F.col(flag))).select(
+    out = neighbour(df, key, order, flag, "_prev", ranges=ranges)
+    return out.filter(F.col("_prev").isNull() | (F.col("_prev.value") != F.col(flag))).select(
         *df.columns, F.when(F.col(flag), "set").otherwise("unset").alias("change")
     )
 

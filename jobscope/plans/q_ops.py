@@ -74,15 +74,15 @@ def a8_orphan_object_counts(spark, sf):
 @register(
     "a9_delete_batches",
     with_adapters("""
-WITH k AS (SELECT job_id AS bucket, url AS key FROM products),
-n AS (SELECT bucket, key, floor((row_number() OVER (PARTITION BY bucket ORDER BY key) - 1) / 3) AS batch FROM k)
+WITH k AS (SELECT 'products' AS bucket, url AS key FROM products),
+n AS (SELECT bucket, key, floor((row_number() OVER (PARTITION BY bucket ORDER BY key) - 1) / 1000) AS batch FROM k)
 SELECT bucket, CAST(batch AS BIGINT) AS batch, count(*) AS n_keys, CAST(to_json(list_sort(list(key))) AS VARCHAR) AS keys
 FROM n GROUP BY bucket, batch"""),
 )
 def a9_delete_batches(spark, sf):
-    """Each job's staged objects cut into delete requests of 3 keys."""
-    objs = A.products(spark, sf).select(F.col("job_id").alias("bucket"), F.col("url").alias("key"))
-    return O.delete_batches(objs, size=3).withColumn("batch", F.col("batch").cast("bigint"))
+    """The one bucket's staged objects cut into delete requests of 1000 keys."""
+    objs = A.products(spark, sf).select(F.lit("products").alias("bucket"), F.col("url").alias("key"))
+    return O.delete_batches(objs).withColumn("batch", F.col("batch").cast("bigint"))
 
 
 @register(

@@ -143,7 +143,9 @@ SELECT host, ts, c AS "count", drain FROM r WHERE failed"""))
 def t8_stream_job_drain(spark, sf):
     """Drain detection with running per-worker state."""
     ev = A.job_events(spark, sf, streaming=True).select("celery_hostname", "status", "ts", "seq")
-    return _run(T.stream_job_drain(ev, threshold=3, window_secs=3600.0), "t8").drop("batch")
+    name = f"t8_{uuid.uuid4().hex}"
+    T.stream_job_drain(ev, name, threshold=3, window_secs=3600.0).awaitTermination()
+    return T.drain_rows(spark, name).drop("batch")
 
 
 @register(

@@ -316,10 +316,24 @@ def j19_dead_node_jobs(spark, sf):
 # ---------------------------------------------------------------- W3-W6 --
 
 
-@register("w3_job_drain")
+@register("w3_job_drain", with_adapters("""
+WITH RECURSIVE ev AS (
+  SELECT celery_hostname AS host, status = 'job-failed' AS failed, ts, seq,
+         row_number() OVER (PARTITION BY celery_hostname ORDER BY ts, seq) AS rn
+  FROM job_events WHERE status IN ('job-failed', 'job-completed', 'job-deduped')),
+r AS (
+  SELECT host, ts, seq, rn, failed, CAST(failed AS BIGINT) AS c, ts AS start, false AS drain, 1 AS run FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT host, ts, seq, rn, failed, c, start,
+         c > 3 AND (ts = start OR c / ((epoch_us(ts) - epoch_us(start)) / 1e6) >= 3 / 3600.0), run
+  FROM (SELECT e.host, e.ts, e.seq, e.rn, e.failed, r.run + CAST(NOT e.failed AS INTEGER) AS run,
+               CASE WHEN NOT e.failed THEN 0 WHEN r.drain THEN 1 ELSE r.c + 1 END AS c,
+               CASE WHEN r.drain OR r.c = 0 THEN e.ts ELSE r.start END AS start
+        FROM r JOIN ev e ON e.host = r.host AND e.rn = r.rn + 1))
+SELECT host AS celery_hostname, CAST(run AS BIGINT) AS run, ts, seq, c AS "count", drain FROM r WHERE failed"""))
 def w3_job_drain(spark, sf):
     """Contiguous failure counts and drain flags per worker (drain after
-    more than 3 failures at >= 3 per hour).  Iterative per run: no oracle."""
+    more than 3 failures at >= 3 per hour)."""
     ev = A.job_events(spark, sf).select("celery_hostname", "status", "ts", "seq")
     return S.job_drain(ev, threshold=3, window_secs=3600.0)
 

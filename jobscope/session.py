@@ -7,8 +7,9 @@ text, so the session zone is pinned to UTC and no operator reads the clock.
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale.  AQE re-plans joins from runtime sizes
 # (broadcast only when the measured side is under the threshold), coalesces
@@ -103,3 +104,12 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         except Exception:  # already set, or read-only conf in connect mode
             pass
     return d
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read back: cuts the lineage
+    and fixes what a repeated evaluation could deal out differently."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

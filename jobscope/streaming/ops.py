@@ -30,10 +30,17 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from jobscope import TERMINAL_JOB_STATUSES
 from jobscope.functions.columns import failure_class
+from jobscope.operators.drain import STATE, drained
 from jobscope.operators.metrics import kind_of_path, parse_metric_lines
+from jobscope.operators.ranges import neighbour
 from jobscope.session import checkpoint_dir
 
 
+def stream_base(spark: SparkSession, name: str) -> str:
+    """A stream's folder below the shared one."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+
+
 def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a streaming query over everything available now into Parquet in the
     shared folder, and read that (for tests and registered checks).
@@ -42,7 +49,7 @@ def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: st
     one replaces its earlier output.  The result has the column ``batch``.
     """
     spark = df.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    base = stream_base(spark, name)
     out, schema = f"{base}/out", df.schema
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
 
@@ -186,16 +193,15 @@ def stream_worker_alive(events: DataFrame, ttl_secs: int = 60, host: str = "cele
         step, ALIVE_SCHEMA, "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def worker_alive_batch(events: DataFrame, ttl_secs: int = 60, host: str = "celery_hostname") -> DataFrame:
+def worker_alive_batch(events: DataFrame, ttl_secs: int = 60, host: str = "celery_hostname",
+                       ranges: int | None = None) -> DataFrame:
     """T3 batch form: each heartbeat is followed by an expiry when the next
-    event of the worker comes more than ``ttl`` later (gap via ``lead``)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(host).orderBy("ts", "seq")
-    nxt = F.lead("ts").over(w)
-    gap = (F.unix_micros(nxt) - F.unix_micros(F.col("ts"))) / 1e6
-    return events.withColumn("next_ts", nxt).withColumn(
-        "expires", (F.col("status") != "worker-offline") & (F.col("next_ts").isNull() | (gap > ttl_secs)))
+    event of the worker comes more than ``ttl`` later.  A worker's events may
+    lie in many ranges, whose border rows are exchanged."""
+    out = neighbour(events, host, ["ts", "seq"], "ts", "_next", back=False, ranges=ranges)
+    gap = (F.unix_micros("_next.value") - F.unix_micros(F.col("ts"))) / 1e6
+    expires = (F.col("status") != "worker-offline") & (F.col("_next").isNull() | (gap > ttl_secs))
+    return out.withColumns({"next_ts": F.col("_next.value"), "expires": expires}).drop("_next")
 
 
 TIMEOUT_SCHEMA = "key string, last_status string, last_ts timestamp, timed_out_at timestamp"
@@ -329,44 +335,37 @@ def stream_metric_log(spark: SparkSession, path: str, host: str | None = None) -
 
 # ---------------------------------------------------------------- T8 -----
 
-DRAIN_SCHEMA = "host string, ts timestamp, count long, drain boolean"
+def stream_job_drain(events: DataFrame, name: str, threshold: int = 10, window_secs: float = 5.0,
+                     host: str = "celery_hostname", pid: str | None = None, checkpoint: str | None = None,
+                     trigger: dict | None = None):
+    """W3 over a stream: starts the query and returns it.
 
+    A micro-batch is scanned as W3 scans a log (a busy worker's rows are spread
+    over tasks), from the workers' states that the batch before it left.  Each
+    batch writes its rows to ``batch=<id>`` of the stream's ``out`` and the
+    states of all workers to ``batch=<id>`` of ``state``, from which it never
+    reads its own, so a batch that is run again gives the same.
+    """
+    spark = events.sparkSession
+    base = stream_base(spark, name)
 
-def stream_job_drain(events: DataFrame, threshold: int = 10, window_secs: float = 5.0,
-                     host: str = "celery_hostname", pid: str | None = None) -> DataFrame:
-    """W3 with running state per worker (count, first-failure time,
-    process id); emits a row per failure with its count and drain flag."""
-    rate = threshold / window_secs
-    cols = [F.col(host).alias("host"), "status", "ts", "seq"] + ([F.col(pid).alias("pid")] if pid else [F.lit(0).alias("pid")])
-    ev = events.filter(F.col("status").isin("job-failed", "job-completed", "job-deduped")).select(*cols)
+    def batch(bdf: DataFrame, batch_id: int):
+        before = spark.read.schema(STATE).parquet(f"{base}/state/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], STATE)
+        found, after = drained(bdf, threshold, window_secs, host, pid, before)
+        found.select("host", "ts", "count", "drain").write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+        seen = after.select(F.col("host").alias("_host"))
+        silent = before.join(seen, F.col("host").eqNullSafe(F.col("_host")), "left_anti")
+        after.select(*silent.columns).unionByName(silent).write.mode("overwrite").parquet(f"{base}/state/batch={batch_id}")
+
+    return (events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint or f"{base}/checkpoint")
+            .trigger(**(trigger or {"availableNow": True})).start())
 
-    def step(k, pdfs, state):
-        count, start, cur_pid = state.get if state.exists else (0, 0.0, None)
-        out = []
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", "seq"])
-        for r in pdf.itertuples(index=False):
-            t = pd.Timestamp(r.ts).value / 1e9
-            if r.status != "job-failed":
-                count = 0
-                continue
-            if cur_pid is not None and r.pid != cur_pid:
-                count = 0
-            cur_pid = r.pid
-            if count == 0:
-                count, start = 1, t
-            else:
-                count += 1
-            diff = t - start
-            drain = count > threshold and (diff <= 0 or count / diff >= rate)
-            out.append((k[0], r.ts, count, drain))
-            if drain:
-                count = 0
-        state.update((count, start, cur_pid))
-        if out:
-            yield pd.DataFrame(out, columns=["host", "ts", "count", "drain"])
 
-    return ev.groupBy("host").applyInPandasWithState(step, DRAIN_SCHEMA, "count long, start double, pid long", "append",
-                                                    GroupStateTimeout.NoTimeout)
+def drain_rows(spark: SparkSession, name: str) -> DataFrame:
+    """What a T8 stream has given so far: host, ts, count, drain, batch."""
+    schema = "host string, ts timestamp, count long, drain boolean, batch long"
+    spark.createDataFrame([], schema).drop("batch").write.mode("overwrite").parquet(f"{stream_base(spark, name)}/out/batch=-1")
+    return spark.read.schema(schema).parquet(f"{stream_base(spark, name)}/out")
 
 
 # ---------------------------------------------------------------- T9 -----

@@ -46,7 +46,6 @@ STREAMS = {
     "t2": lambda e: T.stream_first_by_hash(e, ttl_secs=7200),
     "t3": lambda e: T.stream_worker_alive(e, ttl_secs=1800),
     "t4": lambda e: T.stream_timeouts(e, 3600),
-    "t8": lambda e: T.stream_job_drain(e, threshold=2, window_secs=36000.0),
 }
 
 
