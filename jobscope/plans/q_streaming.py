@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from jobscope.functions.columns import failure_class
 from jobscope.plans.oracle import with_adapters
 from jobscope.plans.q_state import STATE_COLS
 from jobscope.plans.registry import register
@@ -108,7 +109,8 @@ WITH f AS (
   SELECT uuid, ts, exception, CASE WHEN exception LIKE 'WorkerLostError%' THEN 'WorkerLostError'
          WHEN exception LIKE 'TimeLimitExceeded%' THEN 'TimeLimitExceeded' END AS cls
   FROM task_events WHERE status = 'task-failed' AND (exception LIKE 'WorkerLostError%' OR exception LIKE 'TimeLimitExceeded%')),
-j AS (SELECT uuid, ts FROM job_events WHERE status IN ('job-completed','job-deduped','job-offline','job-revoked')),
+j AS (SELECT uuid, ts FROM job_events WHERE status IN ('job-completed','job-deduped','job-offline','job-revoked')
+      OR status = 'job-failed' AND NOT coalesce(error LIKE 'WorkerLostError%' OR error LIKE 'TimeLimitExceeded%', false)),
 u AS (SELECT uuid, ts FROM f UNION ALL SELECT uuid, ts FROM j),
 l AS (SELECT uuid, max(ts) AS last FROM u GROUP BY uuid),
 m AS (SELECT max(epoch_us(ts) // 1000) - 300000 AS mark FROM u)
@@ -118,10 +120,11 @@ WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.uuid = f.uuid AND j.ts >= f.ts - INTER
   AND (l.last > f.ts + INTERVAL 300 SECOND OR epoch_us(f.ts) // 1000 + 300000 < mark)"""))
 def t5_stream_failed_tasks(spark, sf):
     """T5: supervisory failures applied after the grace period unless a
-    terminal status came first.  The job log is taken without its own failure
-    rows, which the adapted data has at the instant of every task failure."""
+    terminal status came first.  A lost worker and one killed at its limit write
+    no status: of the job log those failure rows, which the adapted data has at
+    the instant of the task failure, are what the operator is to find."""
     t = A.task_events(spark, sf, streaming=True)
-    j = A.job_events(spark, sf, streaming=True).where("status <> 'job-failed'").select("uuid", "status", "ts")
+    j = A.job_events(spark, sf, streaming=True).where((F.col("status") != "job-failed") | failure_class(F.col("error")).isNull()).select("uuid", "status", "ts")
     return _run(T.stream_failed_tasks(t, j, grace_secs=300), "t5").drop("batch")
 
 

@@ -9,24 +9,18 @@ the reference has none (it applies records in arrival order); here late
 records beyond the watermark are dropped by Spark, which is stated per
 operator.
 
-Keyed state is per job, hash or worker; custom state machines use
-``applyInPandasWithState`` with event-time timeouts (Arrow batches per key
-group, only the keys present in the micro-batch).  Each sorts a batch's rows
-of a key by time and goes on from the state, so a log that arrives in time
-order gives the same rows however it is cut into batches; gaps inside a batch
-are seen as well as those that a timer ends.
+Keyed state is per job, hash or worker; T2-T5 are state machines on
+``transformWithStateInPandas`` with event-time timers (see ``processors``).  A
+log that arrives in time order gives the same rows however it is cut into
+batches; gaps inside a batch are seen as well as those that a timer ends.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from jobscope import TERMINAL_JOB_STATUSES
 from jobscope.functions.columns import failure_class
@@ -34,6 +28,7 @@ from jobscope.operators.drain import STATE, drained
 from jobscope.operators.metrics import kind_of_path, parse_metric_lines
 from jobscope.operators.ranges import neighbour
 from jobscope.session import checkpoint_dir
+from jobscope.streaming import processors as P
 
 
 def stream_base(spark: SparkSession, name: str) -> str:
@@ -68,27 +63,21 @@ def latest_output(out: DataFrame, key: str) -> DataFrame:
     return out.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(key, "_row.*")
 
 
-def _micros(ts: pd.Series) -> np.ndarray:
-    return ts.to_numpy("datetime64[us]").astype("int64")
+def _seq(events: DataFrame) -> list[str]:
+    return ["seq"] if "seq" in events.columns else []
 
 
-def _stamps(us) -> pd.Series:
-    return pd.Series(np.asarray(us, "int64").astype("datetime64[us]").astype("datetime64[ns]"))
+def _compacted(events: DataFrame, key: str, slot_secs: int, delay: str, keep: Callable, by: Sequence[str]) -> DataFrame:
+    """Events with a time and a watermark, of each (key, slot of ``slot_secs``) and batch those that ``keep`` picks."""
+    ev = events.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
+    columns, schema = ev.columns, ev.schema
+    ev = ev.withColumn("_slot", F.floor(F.unix_micros("ts") / (slot_secs * 1_000_000)))
+    by = [c for c in by if c in columns]
+    return ev.groupBy(key, "_slot").transformWithStateInPandas(P.Compact(keep, by, columns), schema, "append", "eventTime", eventTimeColumnName="ts")
 
 
-def _ordered(pdfs, by: Sequence[str]) -> pd.DataFrame:
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    return pdf.sort_values([c for c in by if c in pdf.columns], kind="stable", ignore_index=True)
-
-
-def _arm(state, at_ms: int) -> None:
-    """Set the timer, which may not lie before the watermark."""
-    state.setTimeoutTimestamp(max(int(at_ms), state.getCurrentWatermarkMs() + 1))
-
-
-def _keyed(events: DataFrame, key: str, name: str, *cols: str) -> DataFrame:
-    seq = ["seq"] if "seq" in events.columns else []
-    return events.select(F.col(key).alias(name), *cols, *seq)
+def _stateful(events: DataFrame, key: str, processor: P.Keyed, schema: str) -> DataFrame:
+    return events.groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime")
 
 
 # ---------------------------------------------------------------- T1 -----
@@ -125,30 +114,9 @@ def stream_first_by_hash(specs: DataFrame, ttl_secs: int = 86400, hash_col: str
     """The first submission per payload hash; later ones are dropped until
     the TTL, which runs from the first one, is over.  State: the time of the
     hash's current first submission, removed when the watermark passes its TTL."""
-    ev = specs.withWatermark("ts", f"{ttl_secs} seconds")
-    ev = _keyed(ev, hash_col, "payload_hash", F.col(id_col).alias("payload_id"), "ts")
-    ttl = ttl_secs * 1_000_000
-
-    def step(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = _ordered(pdfs, ["ts", "seq", "payload_id"])
-        us = _micros(pdf["ts"])
-        first = state.get[0] if state.exists else None
-        at = 0 if first is None else int(np.searchsorted(us, first + ttl, "left"))
-        chosen = []
-        while at < len(us):  # one step per row that is kept
-            first = int(us[at])
-            chosen.append(at)
-            at = int(np.searchsorted(us, first + ttl, "left"))
-        state.update((first,))
-        _arm(state, first // 1000 + ttl_secs * 1000)
-        if chosen:
-            yield pd.DataFrame({"payload_hash": key[0], "payload_id": pdf["payload_id"].iloc[chosen].to_numpy(), "ts": _stamps(us[chosen])})
-
-    return ev.groupBy("payload_hash").applyInPandasWithState(
-        step, FIRST_SCHEMA, "first_us long", "append", GroupStateTimeout.EventTimeTimeout)
+    ev = specs.select(F.col(hash_col).alias("payload_hash"), F.col(id_col).alias("payload_id"), "ts", *_seq(specs))
+    ev = _compacted(ev, "payload_hash", max(1, ttl_secs // 24), f"{ttl_secs} seconds", P.first_of_each_time, ["ts", "seq", "payload_id"])
+    return _stateful(ev, "payload_hash", P.FirstByHash(ttl_secs), FIRST_SCHEMA)
 
 
 # ------------------------------------------------------------ T3, T4 -----
@@ -161,36 +129,9 @@ def stream_worker_alive(events: DataFrame, ttl_secs: int = 60, host: str = "cele
     ``worker-offline`` clears it at once; without a further event it expires
     when the watermark passes the last heartbeat + ttl.  A row per change:
     alive, offline, expired."""
-    ev = _keyed(events.withWatermark("ts", f"{ttl_secs} seconds"), host, "celery_hostname", "status", "ts")
-    ttl = ttl_secs * 1_000_000
-
-    def step(key, pdfs, state):
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"celery_hostname": [key[0]], "status": ["expired"], "ts": _stamps([last + ttl])})
-            return
-        pdf = _ordered(pdfs, ["ts", "seq"])
-        us, off = _micros(pdf["ts"]), (pdf["status"] == "worker-offline").to_numpy()
-        before = np.concatenate([[state.get[0] if state.exists else 0], us[:-1]])
-        was = np.concatenate([[state.exists], ~off[:-1]])
-        lapsed = was & (us - before > ttl)
-        alive = was & ~lapsed
-        out = [(before[i] + ttl, "expired") for i in np.flatnonzero(lapsed)]
-        out += [(us[i], "alive") for i in np.flatnonzero(~off & ~alive)]
-        out += [(us[i], "offline") for i in np.flatnonzero(off & alive)]
-        if off[-1]:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((int(us[-1]),))
-            _arm(state, int(us[-1]) // 1000 + ttl_secs * 1000)
-        if out:
-            out.sort()
-            yield pd.DataFrame({"celery_hostname": key[0], "status": [x for _, x in out], "ts": _stamps([t for t, _ in out])})
-
-    return ev.groupBy("celery_hostname").applyInPandasWithState(
-        step, ALIVE_SCHEMA, "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
+    ev = events.select(F.col(host).alias("celery_hostname"), "status", "ts", *_seq(events))
+    ev = _compacted(ev, "celery_hostname", ttl_secs, f"{ttl_secs} seconds", P.ends_of_stretches, ["ts", "seq"])
+    return _stateful(ev, "celery_hostname", P.WorkerAlive(ttl_secs), ALIVE_SCHEMA)
 
 
 def worker_alive_batch(events: DataFrame, ttl_secs: int = 60, host: str = "celery_hostname",
@@ -211,37 +152,9 @@ def stream_timeouts(events: DataFrame, timeout_secs: int, key: str = "payload_id
     """T4: a key with no update for longer than ``timeout`` seconds (event
     time) yields a row.  A terminal status stops watching the key, and what
     comes within ``timeout`` of it does not start it again (A2)."""
-    ev = _keyed(events.withWatermark("ts", f"{timeout_secs} seconds"), key, "key", "status", "ts")
-    limit = timeout_secs * 1_000_000
-
-    def rows(k, status, us):
-        return pd.DataFrame({"key": k, "last_status": status, "last_ts": _stamps(us), "timed_out_at": _stamps(np.asarray(us) + limit)})
-
-    def step(k, pdfs, state):
-        if state.hasTimedOut:
-            status, last, done = state.get
-            state.remove()
-            if not done:
-                yield rows(k[0], [status], [last])
-            return
-        pdf = _ordered(pdfs, ["ts", "seq"])
-        us, status = _micros(pdf["ts"]), pdf["status"].to_numpy()
-        if state.exists:  # what was seen last stands before the new rows
-            s0, u0, d0 = state.get
-            us, status = np.concatenate([[u0], us]), np.concatenate([[s0], status])
-        done = np.isin(status, TERMINAL_JOB_STATUSES)
-        never = np.iinfo("int64").min // 2
-        ended = np.concatenate([[never], np.maximum.accumulate(np.where(done, us, never))[:-1]])
-        watched = np.flatnonzero(done | (us - ended > limit))
-        us, status, done = us[watched], status[watched], done[watched]
-        late = np.flatnonzero(~done[:-1] & (np.diff(us) > limit))
-        state.update((str(status[-1]), int(us[-1]), bool(done[-1])))
-        _arm(state, int(us[-1]) // 1000 + timeout_secs * 1000)
-        if len(late):
-            yield rows(k[0], status[late], us[late])
-
-    return ev.groupBy("key").applyInPandasWithState(step, TIMEOUT_SCHEMA, "status string, last_us long, done boolean", "append",
-                                                   GroupStateTimeout.EventTimeTimeout)
+    ev = events.select(F.col(key).alias("key"), "status", "ts", *_seq(events))
+    ev = _compacted(ev, "key", timeout_secs, f"{timeout_secs} seconds", P.ends_of_work, ["ts", "seq"])
+    return _stateful(ev, "key", P.Timeouts(timeout_secs), TIMEOUT_SCHEMA)
 
 
 # ---------------------------------------------------------------- T5 -----
@@ -261,46 +174,8 @@ def stream_failed_tasks(task_events: DataFrame, job_events: DataFrame, grace_sec
     j = job_events.filter(F.col("status").isin(*TERMINAL_JOB_STATUSES)).select(
         "uuid", F.lit(True).alias("terminal"), "ts", F.lit(None).cast("string").alias("exception"),
         F.lit(None).cast("string").alias("cls"))
-    ev = t.unionByName(j).withWatermark("ts", f"{grace_secs} seconds")
-    grace, keep = grace_secs * 1_000_000, keep_secs * 1_000_000
-
-    def keep_on(state, waiting, mark):
-        """Keep what still waits, and a mark, with a timer for the next of them."""
-        if not waiting and mark is None:
-            if state.exists:
-                state.remove()
-            return
-        state.update((json.dumps(waiting), mark))
-        ends = [w[0] // 1000 + grace_secs * 1000 for w in waiting] + ([mark // 1000 + keep_secs * 1000] if mark is not None else [])
-        _arm(state, min(ends))
-
-    def rows(k, failed):
-        return pd.DataFrame({"uuid": k, "error": [f[1] for f in failed], "short_error": [f[2] for f in failed], "failed_at": _stamps([f[0] for f in failed])})
-
-    def step(k, pdfs, state):
-        waiting, mark = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], None)
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs()
-            failed = [w for w in waiting if w[0] // 1000 + grace_secs * 1000 < now]
-            mark = None if mark is not None and mark // 1000 + keep_secs * 1000 < now else mark
-            keep_on(state, [w for w in waiting if w not in failed], mark)
-            if failed:
-                yield rows(k[0], failed)
-            return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        us, terminal = _micros(pdf["ts"]), pdf["terminal"].to_numpy(bool)
-        ends = np.sort(np.concatenate([us[terminal], [] if mark is None else [mark]]).astype("int64"))
-        waiting += sorted(zip(us[~terminal].tolist(), pdf["exception"][~terminal], pdf["cls"][~terminal], strict=True))
-        at = np.array([w[0] for w in waiting], "int64")
-        cleared = np.searchsorted(ends, at - keep, "left") < np.searchsorted(ends, at + grace, "right")
-        waiting = [w for w, gone in zip(waiting, cleared, strict=True) if not gone]
-        failed = [w for w in waiting if us.max() > w[0] + grace]
-        keep_on(state, [list(w) for w in waiting if us.max() <= w[0] + grace], int(ends[-1]) if len(ends) else None)
-        if failed:
-            yield rows(k[0], failed)
-
-    return ev.groupBy("uuid").applyInPandasWithState(step, FAIL_SCHEMA, "waiting string, mark_us long", "append",
-                                                    GroupStateTimeout.EventTimeTimeout)
+    ev = _compacted(t.unionByName(j), "uuid", grace_secs, f"{grace_secs} seconds", P.failures_and_ends, ["ts"])
+    return _stateful(ev, "uuid", P.FailedTasks(grace_secs, keep_secs), FAIL_SCHEMA)
 
 
 # ---------------------------------------------------------------- T6 -----

@@ -53,7 +53,7 @@ STREAMS = {
 def test_one_file_and_many_give_the_same_rows(spark, tmp_path, name):
     rows = log()
     one = run(STREAMS[name](stream(spark, tmp_path, rows, JOB, 1)))
-    many = run(STREAMS[name](stream(spark, tmp_path, rows, JOB, 6)))
+    many = run(STREAMS[name](stream(spark, tmp_path, rows, JOB, 3)))
     assert one and one == many
 
 
