@@ -1,11 +1,10 @@
 """Sinks (S9-S12).
 
-Writes are partitioned by derived columns (resource table, day, stream) so
-that readers prune partitions instead of scanning; streaming writes go
-through ``foreachBatch`` with the batch id so a replayed micro-batch is
-idempotent.  The all-or-nothing upsert writes new files of the key buckets it
-touches and then replaces a pointer atomically, so a failed write leaves the
-previous version intact.
+Routed documents (S9) are layers merged by document id on reading; metrics are
+partitioned by stream and day, so that readers prune.  The all-or-nothing upsert
+(S11) writes new files of the key buckets it touches.  Both commit a numbered
+state of the table, so a failed write leaves the one before intact and writers
+at the same time don't lose each other's rows.
 """
 
 from __future__ import annotations
@@ -13,45 +12,19 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jobscope.functions.columns import daily_partition
-
-
-def route_table(resource: str = "resource", index: str = "index", ts: str = "ts") -> Column:
-    """Destination table of a mixed log row: a job goes to its own index
-    name, task rows to their index, worker and custom events to the daily
-    table of their kind."""
-    r = F.col(resource)
-    return (
-        F.when(r.isin("job", "task") & F.col(index).isNotNull(), F.col(index))
-        .when(r == "job", daily_partition("job_status", ts))
-        .when(r == "task", daily_partition("task_status", ts))
-        .when(r == "worker", daily_partition("worker_status", ts))
-        .otherwise(daily_partition("event_status", ts))
-    )
-
-
-def write_routed(df: DataFrame, base: str, mode: str = "append") -> None:
-    """S9 (batch): write a mixed log partitioned by table and day."""
-    if "index" not in df.columns:
-        df = df.withColumn("index", F.lit(None).cast("string"))
-    out = df.withColumns({"table": route_table(), "day": F.to_date("ts")})
-    out.write.mode(mode).partitionBy("table", "day").parquet(base)
-
-
-def write_routed_stream(df: DataFrame, base: str, checkpoint: str, trigger: dict | None = None):
-    """S9 (stream): the same routing per micro-batch.  Each batch overwrites
-    its own ``batch=<id>`` folder, so a batch replayed after a failure
-    replaces its earlier partial output instead of duplicating rows."""
-
-    def batch(bdf: DataFrame, batch_id: int):
-        write_routed(bdf, f"{base.rstrip('/')}/batch={batch_id}", mode="overwrite")
-
-    w = df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
+from jobscope.session import stored
+from jobscope.sources import versions
+from jobscope.sources.documents import (  # noqa: F401 - S9
+    compact,
+    read_documents,
+    route_table,
+    write_documents,
+    write_documents_stream,
+)
 
 
 def write_metrics_daily(df: DataFrame, base: str, stream: str = "stream", ts: str = "sdswatch_timestamp",
@@ -60,84 +33,70 @@ def write_metrics_daily(df: DataFrame, base: str, stream: str = "stream", ts: st
     df.withColumn("day", F.to_date(ts)).write.mode(mode).partitionBy(stream, "day").parquet(base)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf), p, jvm
-
-
 #: Key buckets of a catalog table; the number is fixed when a table is made.
 BUCKETS = 64
 
 
-def _manifest(spark: SparkSession, table: str) -> dict | None:
-    """The pointer: version, number of buckets, and the version that wrote each bucket."""
-    fs, p, jvm = _fs(spark, f"{table}/_CURRENT")
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return json.loads(jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream)).readLine())
-    finally:
-        stream.close()
-
-
-def _replace(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file atomically: written beside it, then renamed over it."""
-    fs, tmp, jvm = _fs(spark, f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(tmp, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(tmp, jvm.org.apache.hadoop.fs.Path(path), options)
-
-
 def current_version(spark: SparkSession, table: str) -> str | None:
-    m = _manifest(spark, table)
+    m = versions.newest(spark, table)[1]
     return m["version"] if m else None
 
 
 def read_current(spark: SparkSession, table: str) -> DataFrame | None:
-    m = _manifest(spark, table)
-    return _read_buckets(spark, table, m, list(m["buckets"])) if m else None
+    """The rows of the newest version (None before the first upsert)."""
+    m = versions.newest(spark, table)[1]
+    return _read_buckets(spark, table, m, sorted(m["buckets"])) if m else None
 
 
 def _read_buckets(spark: SparkSession, table: str, m: dict, buckets: list[str]) -> DataFrame:
-    paths = [f"{table}/{m['buckets'][b]}/bucket={b}" for b in buckets]
-    return spark.read.option("mergeSchema", "true").parquet(*paths)
+    schema = T.StructType.fromJson(json.loads(m["schema"]))
+    if not buckets:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{table}/{m['buckets'][b]}/bucket={b}" for b in buckets])
 
 
 def upsert_all_or_nothing(df: DataFrame, table: str, key: str = "id", order: str | None = None) -> str:
     """Bulk upsert of catalog rows; either every row lands or none.
 
     Of incoming rows with one key the last by ``order`` (else the largest row)
-    counts.  Only the key buckets that have incoming rows are rewritten, in
-    the folder of a new version with a name of its own, so that what a failed
-    write left behind is in nobody's way; then the pointer is replaced
-    atomically.  Returns the new version's name.
+    counts; a null key is one key.  The incoming rows are computed once, into
+    the shared folder.  Only the key buckets that have incoming rows are
+    rewritten, in folders with names of their own, so that what a failed write
+    left behind is in nobody's way; then the next state of the table is
+    committed.  If another upsert was first, the buckets that it changed are
+    merged again from its state, so both land.  Returns the version's name.
     """
     spark = df.sparkSession
-    m = _manifest(spark, table)
+    m = versions.newest(spark, table)[1]
     n = m["n"] if m else BUCKETS
     bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
     rest = [c for c in df.columns if c != key]
     row = F.struct(*([order] if order else []), *[c for c in rest if c != order])
     new = df.groupBy(key).agg(F.max(row).alias("_row")).select(key, "_row.*").select(*df.columns)
-    version = f"v_{int(m['version'].split('_')[1]) + 1 if m else 1:08d}_{uuid.uuid4().hex[:8]}"
+    new = stored(new.withColumn("bucket", bucket), "upsert")
     # at most n rows
-    touched = sorted(str(r.b) for r in new.select(bucket.alias("b")).distinct().collect())
-    kept = [b for b in touched if m and b in m["buckets"]]
-    if kept:
-        prev = _read_buckets(spark, table, m, kept)
-        new = prev.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
-    new.withColumn("bucket", bucket).repartition(max(1, len(touched)), "bucket").write.partitionBy("bucket").parquet(f"{table}/{version}")
-    buckets = {**(m["buckets"] if m else {}), **{b: version for b in touched}}
-    _replace(spark, f"{table}/_CURRENT", json.dumps({"version": version, "n": n, "buckets": buckets}))
-    return version
+    touched = sorted(str(r.bucket) for r in new.select("bucket").distinct().collect())
+    merged: dict[str, tuple] = {}  # of a bucket, the folder it was merged from and the one that was written
+
+    def merge(state: dict | None) -> dict:
+        before = state["buckets"] if state else {}
+        due = [b for b in touched if b not in merged or merged[b][0] != before.get(b)]
+        folder = f"v_{uuid.uuid4().hex}"
+        if due:
+            rows = new.where(F.col("bucket").isin([int(b) for b in due])).drop("bucket")
+            there = [b for b in due if b in before]
+            if there:
+                gone = rows.select(F.col(key).alias("_new"))
+                prev = _read_buckets(spark, table, state, there)
+                rows = prev.join(gone, F.col(key).eqNullSafe(F.col("_new")), "left_anti").unionByName(rows, allowMissingColumns=True)
+            rows.withColumn("bucket", bucket).repartition(len(due), "bucket").write.partitionBy("bucket").parquet(f"{table}/{folder}")
+            merged.update({b: (before.get(b), folder) for b in due})
+        old = T.StructType.fromJson(json.loads(state["schema"])) if state else T.StructType()
+        fields = {f.name: f for f in [*old.fields, *new.drop("bucket").schema.fields]}
+        version = f"v_{int(state['version'].split('_')[1]) + 1 if state else 1:08d}_{uuid.uuid4().hex[:8]}"
+        return {"version": version, "n": n, "schema": T.StructType(list(fields.values())).json(), "buckets": {**before, **{b: merged[b][1] for b in touched}}}
+
+    return versions.change(spark, table, merge)["version"]
 
 
 def union_current(*dfs: DataFrame) -> DataFrame:

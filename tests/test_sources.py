@@ -85,6 +85,6 @@ def test_upsert_all_or_nothing_and_routing(spark, tmp_path):
     assert cur == [("d1", "v3"), ("d2", "v2"), ("d3", "v1"), ("d4", "v2")]
     logs = spark.createDataFrame([("job", "p1", "2024-01-02 00:00:00"), ("worker", "w1", "2024-01-03 00:00:00")],
                                  "resource string, uuid string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
-    SK.write_routed(logs, str(tmp_path / "routed"))
-    tables = sorted(r.table for r in spark.read.parquet(str(tmp_path / "routed")).select("table").collect())
+    SK.write_documents(logs, str(tmp_path / "routed"))
+    tables = sorted(r.table for r in SK.read_documents(spark, str(tmp_path / "routed")).collect())
     assert tables == ["job_status-2024.01.02", "worker_status-2024.01.03"]
