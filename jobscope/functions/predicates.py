@@ -41,7 +41,7 @@ RULE_FUNCTIONS = frozenset(
     coalesce nvl if lower upper length trim ltrim rtrim substr substring concat contains startswith endswith
     regexp rlike like ilike between cast try_cast instr locate split size array_contains element_at
     get_json_object abs round floor ceil greatest least date timestamp to_date to_timestamp date_format
-    year month day hour datediff current_date isnull isnotnull exists filter array map struct named_struct
+    year month day hour datediff isnull isnotnull exists filter array map struct named_struct
     and or not in when
     """.split()
 )
@@ -56,8 +56,14 @@ RULE_NODES = frozenset(
 )
 
 
-def check_rule_expression(spark: SparkSession, rule_name: str, text: str | None) -> str:
-    """Reject empty text, and any parsed node or function outside the allow-lists."""
+def check_rule_expression(spark: SparkSession, rule_name: str, text: str | None, columns: Iterable[str] | None = None) -> str:
+    """Reject empty text, and any parsed node or function outside the allow-lists.
+
+    With ``columns``, a name that begins with none of them is rejected too:
+    the analyser would take ``current_timestamp`` or ``current_user`` for a
+    call, and a rule must not depend on the clock or the user.
+    """
+    known = {c.lower() for c in columns} if columns is not None else None
     if text is None or not str(text).strip():
         raise RuleError(rule_name, "empty condition")
     try:
@@ -75,6 +81,10 @@ def check_rule_expression(spark: SparkSession, rule_name: str, text: str | None)
             name = parts.mkString(".")
             if name.lower() not in RULE_FUNCTIONS:
                 raise RuleError(rule_name, f"function {name} is not allowed")
+        if kind == "UnresolvedAttribute" and known is not None:
+            parts = node.nameParts()
+            if parts.apply(0).lower() not in known:
+                raise RuleError(rule_name, f"{parts.mkString('.')} is no column")
         children = node.children()
         nodes += [children.apply(i) for i in range(children.size())]
     return text
@@ -86,7 +96,7 @@ def compile_rule(df: DataFrame, rule_name: str, text: str) -> Column:
     Analysis only (``limit(0)``): no data is read.  Parse and analysis errors
     become a ``RuleError`` so one bad rule never stops the others.
     """
-    check_rule_expression(df.sparkSession, rule_name, text)
+    check_rule_expression(df.sparkSession, rule_name, text, df.columns)
     try:
         cond = F.expr(text)
         df.limit(0).filter(cond).schema  # noqa: B018  (forces analysis)

@@ -67,6 +67,18 @@ def j1_match_dataset_rules(spark, sf):
     return _dataset_matches(spark, sf)[2]
 
 
+@register("j1_filed_rules", with_adapters("""
+WITH r AS (SELECT s, n, 'src' || s AS dataset, 40 * n AS least, 'r_' || s || '_' || n AS rule_name FROM range(0, 20) a(s), range(0, 50) b(n))
+SELECT d.id, d.system_version, r.rule_name, 'io-index' AS job_type, CAST(n % 7 AS INTEGER) AS priority, 'index-' || d.id AS job_name, d.id AS hit_id
+FROM catalog_docs d JOIN r ON d.dataset = r.dataset AND d.n_chars > r.least AND d.system_version = 'en'"""))
+def j1_filed_rules(spark, sf):
+    """J1 with a thousand rules, filed by the data set that each demands."""
+    rules = [dict(rule_name=f"r_{s}_{n}", query_string=f"dataset = 'src{s}' AND n_chars > {40 * n} AND system_version = 'en'", enabled=True, job_type="io-index", priority=n % 7, query_all=False)
+             for s in range(20) for n in range(50)]
+    docs = A.catalog_docs(spark, sf).select("id", "system_version", "dataset", "n_chars")
+    return R.match_dataset_rules(docs, rules, name_prefix=PREFIX)
+
+
 @register(
     "a4_rule_summary",
     with_adapters(f"""

@@ -11,7 +11,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from jobscope import TERMINAL_JOB_STATUSES
 from jobscope.functions.columns import failure_class
+from jobscope.operators.rules import rules_frame
 from jobscope.plans.oracle import with_adapters
 from jobscope.plans.q_state import STATE_COLS
 from jobscope.plans.registry import register
@@ -163,3 +165,38 @@ FROM log_lines GROUP BY id, type, time_bucket(INTERVAL '1 second', ts)"""),
 def t9_log_chunks(spark, sf):
     """Job output concatenated per stream and 1-second send interval."""
     return T.log_chunks(A.log_lines(spark, sf), "1 second")
+
+
+@register("t9_stream_log_chunks", with_adapters("""
+WITH m AS (SELECT max(epoch_us(ts)) - 1000000 AS mark FROM log_lines)
+SELECT id, type, time_bucket(INTERVAL '1 second', ts) AS window_start,
+       time_bucket(INTERVAL '1 second', ts) + INTERVAL '1 second' AS window_end,
+       string_agg(chunk, '' ORDER BY seq) AS chunk, CAST(count(*) AS INTEGER) AS n_lines
+FROM log_lines, m WHERE epoch_us(time_bucket(INTERVAL '1 second', ts)) + 1000000 <= mark
+GROUP BY id, type, time_bucket(INTERVAL '1 second', ts)"""))
+def t9_stream_log_chunks(spark, sf):
+    """T9 as a stream: the intervals that the watermark has passed."""
+    lines = A.log_lines(spark, sf, streaming=True)
+    return _run(T.log_chunks(lines, "1 second", watermark="1 second"), "t9").drop("batch")
+
+
+T6_RULES = [
+    dict(rule_name="failed_t1", query_string="status = 'job-failed' AND type = 'job-t1'", enabled=True, job_type="io-retry", priority=2, query_all=False, job_name_path="_source.celery_hostname"),
+    dict(rule_name="revoked", query_string="status = 'job-revoked' AND celery_hostname IN ('w1', 'w7')", enabled=True, job_type="io-audit", priority=1, query_all=False, job_name_path=None),
+    dict(rule_name="broken", query_string="status = = 'x'", enabled=True, job_type="io-x", priority=0, query_all=False, job_name_path=None),
+]
+
+
+@register("t6_stream_rules", with_adapters("""
+SELECT CAST(seq AS VARCHAR) AS event, 'failed_t1' AS rule_name, 'io-retry' AS job_type, 2 AS priority, 'retry-' || celery_hostname AS job_name, CAST(seq AS VARCHAR) AS hit_id
+FROM job_events WHERE status = 'job-failed' AND type = 'job-t1'
+UNION ALL
+SELECT CAST(seq AS VARCHAR), 'revoked', 'io-audit', 1, 'audit-' || CAST(seq AS VARCHAR), CAST(seq AS VARCHAR)
+FROM job_events WHERE status = 'job-revoked' AND celery_hostname IN ('w1', 'w7')"""))
+def t6_stream_rules(spark, sf):
+    """Rules on the log's terminal writes, read for each micro-batch."""
+    ev = A.job_events(spark, sf, streaming=True).where(F.col("status").isin(*TERMINAL_JOB_STATUSES))
+    ev = ev.select(F.col("seq").cast("string").alias("event"), "status", "type", "celery_hostname")
+    name = f"t6_{uuid.uuid4().hex}"
+    T.stream_rules(ev, lambda s: rules_frame(s, T6_RULES), T.batch_files(spark, name), f"{T.stream_base(spark, name)}/checkpoint", id_col="event", name_prefix="io-").awaitTermination()
+    return T.batch_rows(spark, name).drop("batch", "batch_id")

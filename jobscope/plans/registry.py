@@ -81,4 +81,5 @@ def load_all() -> None:
         q_catalog,
         q_ops,
         q_streaming,
+        q_sinks,
     )

@@ -196,6 +196,19 @@ def stream_rules(finished: DataFrame, rules_reader, sink, checkpoint: str, id_co
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def batch_files(spark: SparkSession, name: str):
+    """A sink for ``foreachBatch``: each batch's rows in its own folder of the stream's output."""
+    def sink(df: DataFrame, batch_id: int):
+        df.write.mode("overwrite").parquet(f"{stream_base(spark, name)}/out/batch={batch_id}")
+
+    return sink
+
+
+def batch_rows(spark: SparkSession, name: str) -> DataFrame:
+    """What ``batch_files`` has written so far, with the column ``batch``."""
+    return spark.read.option("mergeSchema", "true").parquet(f"{stream_base(spark, name)}/out")
+
+
 # ---------------------------------------------------------------- T7 -----
 
 
