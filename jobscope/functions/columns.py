@@ -337,9 +337,35 @@ def product_latency(df: DataFrame, start="time_start", available="availability_t
     )
 
 
+def _at(col: Column, dt: T.DataType, steps: list[str], part: str) -> Column:
+    """``col`` with the counters of ``part`` clamped at the end of ``steps``."""
+    if isinstance(dt, T.ArrayType):
+        return F.transform(col, lambda x: _at(x, dt.elementType, steps, part))
+    if not isinstance(dt, T.StructType) or (steps[0] if steps else part) not in dt.fieldNames():
+        return col
+    name = steps[0] if steps else part
+    inner = _at(col[name], dt[name].dataType, steps[1:], part) if steps else _clamp_expr(col[name], dt[name].dataType)
+    return col.withField(name, inner)
+
+
+def clamp_usage(df: DataFrame, path: str = "job.job_info.metrics.usage_stats", part: str = "cgroups",
+                resource: str = "resource") -> DataFrame:
+    """P13 on stored documents: the counters in ``part`` of every usage sample
+    at the nested ``path`` of job documents; other documents, and a path that
+    the schema lacks, stay as they are."""
+    first, *steps = path.split(".")
+    if first not in df.columns:
+        return df
+    new = _at(F.col(first), df.schema[first].dataType, steps, part)
+    if resource in df.columns:
+        new = F.when(F.col(resource) == "job", new).otherwise(F.col(first))
+    return df.withColumn(first, new)
+
+
 # Fact names in order of preference.  Fixed values.
 EXECUTE_NODE_FACTS = ("ec2_public_hostname", "ec2_public_ipv4", "fqdn")
 PUBLIC_IP_FACTS = ("ec2_public_ipv4", "ipaddress_eth0", "ipaddress")
+# Address ranges of carrier-grade NAT and of private networks.  Fixed values.
 CGNAT_PATTERN = r"^100\.(6[4-9]|[7-9][0-9]|1[0-1][0-9]|12[0-7])\..*"
 PRIVATE_PATTERN = r"^(?:10|127|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168)\..*"
 
@@ -351,13 +377,21 @@ def execute_node(facts="facts") -> Column:
 
 
 def public_ip(facts="facts") -> Column:
-    """P20: first present ranked address; a carrier-grade-NAT address is kept
-    as the public one, otherwise the address needs an outside lookup and the
-    private address is the fallback (returned as is)."""
+    """P20: first present ranked address."""
     f = _c(facts)
     return F.coalesce(*[F.element_at(f, F.lit(k)) for k in PUBLIC_IP_FACTS])
 
 
+def public_address(facts="facts") -> Column:
+    """P20: the address and whether it is known to be the public one.
+
+    A carrier-grade-NAT address is taken as public; any other needs a lookup
+    outside (``lookup``), for which the address is what stands in.
+    """
+    ip = public_ip(facts)
+    return F.struct(ip.alias("address"), (~F.coalesce(is_cgnat(ip), F.lit(False))).alias("lookup"))
+
+
 def is_cgnat(ip) -> Column:
     return _c(ip).rlike(CGNAT_PATTERN)
 
@@ -438,18 +472,10 @@ def browse_images(images_col, order_patterns: Sequence[str] = ()) -> Column:
             e = F.when(r["img"].rlike(p), F.lit(i)).otherwise(e)
         return e
     keyed = F.transform(recs, lambda r: r.withField("k", key(r)))
-    # later image wins on the same pattern: keep a matched record only when no
-    # later record has the same key
-    kept = F.filter(
-        keyed,
-        lambda r: (r["k"] == big)
-        | ~F.exists(keyed, lambda o: (o["k"] == r["k"]) & (o["pos"] > r["pos"])),
-    )
-    ordered = F.array_sort(
-        kept,
-        lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1)
-        .when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0),
-    )
+    # of the records of one pattern a map keeps the last
+    matched = F.map_from_entries(F.transform(F.filter(keyed, lambda r: r["k"] < big), lambda r: F.struct(r["k"].alias("key"), r.alias("value"))))
+    first = F.transform(F.array_sort(F.transform(F.map_values(matched), lambda r: F.struct(r["k"].alias("k"), r.alias("r")))), lambda x: x["r"])
+    ordered = F.concat(first, F.filter(keyed, lambda r: r["k"] == big))
     return F.transform(ordered, lambda r: r.dropFields("pos", "k"))
 
 

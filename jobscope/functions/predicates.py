@@ -223,6 +223,15 @@ def publishable(jobs: DataFrame, exit_status: str = "exit_status", pid: str = "p
     return jobs.filter((F.col(exit_status) == 0) & (F.coalesce(F.col(pid), F.lit(-1)) != 0))
 
 
+def publishable_datasets(datasets: DataFrame, jobs: DataFrame, inputs: DataFrame, job: str = "job_id", directory: str = "dir",
+                         exit_status: str = "exit_status", pid: str = "pid") -> DataFrame:
+    """the dataset directories that a job may publish: the job is
+    ``publishable``, and the directory is not one of ``inputs`` (directories
+    marked as localized)."""
+    ok = publishable(jobs, exit_status, pid).select(job)
+    return datasets.join(ok, job, "left_semi").join(inputs.select(directory).distinct(), directory, "left_anti").select(*datasets.columns)
+
+
 # Optional dataset fields reported when absent.  Fixed values.
 OPTIONAL_DATASET_FIELDS = ("label", "location", "starttime", "endtime")
 

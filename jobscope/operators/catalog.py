@@ -84,29 +84,29 @@ def ancestors(col, sep: str = "/") -> Column:
                        lambda i: F.concat(F.array_join(F.slice(parts, 1, i), sep), F.lit(sep)))
 
 
-def objects_under(objects: DataFrame, prefixes: DataFrame, key: str = "key", prefix: str = "prefix") -> DataFrame:
+def objects_under(objects: DataFrame, prefixes: DataFrame, key: str = "key", prefix: str = "prefix",
+                  bucket: str | None = None) -> DataFrame:
     """Objects whose key lies under one of the prefixes (directory
-    prefixes; a missing trailing ``/`` is added).
+    prefixes; a missing trailing ``/`` is added) of the same ``bucket``, if
+    that column is named; both sides have it.
 
-    Prefixes have few distinct depths (number of ``/``); those depths are
-    read on the driver (a handful of integers) and every key emits only its
-    ancestor at each such depth with ``substring_index`` (codegen'd, no
-    lambda).  The candidates are equi-joined with the prefixes: no theta join.
+    Prefixes have few distinct depths (number of ``/``).  Those are a scalar
+    subquery, and every key emits only its ancestor at each such depth.  The
+    candidates are equi-joined with the prefixes: no theta join, nothing runs
+    while the plan is made.
     """
-    p = prefixes.select(F.when(F.col(prefix).endswith("/"), F.col(prefix)).otherwise(
+    on = [bucket, prefix] if bucket else [prefix]
+    p = prefixes.select(*on[:-1], F.when(F.col(prefix).endswith("/"), F.col(prefix)).otherwise(
         F.concat(F.col(prefix), F.lit("/"))).alias(prefix)).distinct()
-    nslash = lambda c: F.length(c) - F.length(F.regexp_replace(c, "/", ""))
-    depths = sorted(r.d for r in p.select(nslash(F.col(prefix)).alias("d")).distinct().collect())
+    nslash = lambda c: F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit("")))
+    depths = p.agg(F.sort_array(F.collect_set(nslash(F.col(prefix))))).scalar()
     cols = list(objects.columns)
-    if not depths:
-        return objects.limit(0).withColumn(prefix, F.lit(None).cast("string"))
     k = F.col(key)
-    n = nslash(k)
-    cands = F.array(*[F.when(n > d - 1, F.concat(F.substring_index(k, "/", d), F.lit("/"))) for d in depths])
+    at = objects.withColumn("_at", F.explode(depths)).filter(nslash(k) >= F.col("_at"))
+    exploded = at.withColumn(prefix, F.concat(F.call_function("substring_index", k, F.lit("/"), F.col("_at")), F.lit("/")))
     # a key equal to the directory itself (no character after the last '/') is not under it
-    exploded = objects.select(*cols, F.explode(cands).alias(prefix)).filter(
-        F.col(prefix).isNotNull() & (F.length(k) > F.length(F.col(prefix))))
-    return exploded.join(p, prefix).select(*cols, prefix)
+    exploded = exploded.filter(F.length(k) > F.length(F.col(prefix)))
+    return exploded.join(p, on).select(*cols, prefix)
 
 
 # ------------------------------------------------------------ J15 --------
@@ -258,26 +258,42 @@ def publish_decision(candidates: DataFrame, contexts: DataFrame, jobs: DataFrame
 # ------------------------------------------------------------ C1 - C5 ----
 
 
-def build_catalog(datasets: DataFrame, index: str | None = None) -> DataFrame:
+def build_catalog(datasets: DataFrame, index: str | None = None, recognised: DataFrame | None = None,
+                  metadata: DataFrame | None = None, fields: str | None = None, key: str = "id") -> DataFrame:
     """Full catalog record from recognised datasets.
 
-    ``datasets`` carries id, ipath, version, level, type, metadata and the
-    dataset.json fields; ``dataset`` is the ipath part after the slash and
-    the dataset fields override the record.
+    ``datasets`` carries id and, unless ``recognised`` (key, ipath, version,
+    level, type) is joined, those; ``dataset`` is the ipath part after the
+    slash.  ``metadata`` (key, extracted, seed: maps) is joined: the
+    extractor's entries, over which the seed's count.  ``fields`` names a
+    struct with the dataset file's own fields: each that is there overrides the
+    record, and what the record lacks is added.  The index result comes last.
     """
+    rec = datasets
+    if recognised is not None:
+        rec = rec.join(recognised.select(key, "ipath", "version", "level", "type"), key, "left")
+    if metadata is not None:
+        empty = F.create_map().cast("map<string,string>")
+        both = F.map_concat(F.coalesce("extracted", empty), F.coalesce("seed", empty))
+        rec = rec.join(metadata.select(key, both.alias("metadata")), key, "left").withColumn("metadata", F.coalesce("metadata", empty))
     base = {
-        "objectid": F.col("id"),
+        "objectid": F.col(key),
         "dataset": F.split(F.col("ipath"), "/").getItem(1),
         "system_version": F.col("version"),
         "dataset_level": F.col("level"),
         "dataset_type": F.col("type"),
-        "index": F.lit(index).cast("string"),
-        "grq_index_result": F.struct(F.lit(index).cast("string").alias("index")),
     }
     for c in ("urls", "browse_urls"):
-        if c not in datasets.columns:
+        if c not in rec.columns:
             base[c] = F.array().cast("array<string>")
-    return datasets.withColumns(base)
+    rec = rec.withColumns(base)
+    if fields:
+        own = {n: F.col(fields)[n] for n in rec.schema[fields].dataType.fieldNames()}
+        rec = rec.withColumns({n: F.coalesce(c, F.col(n)) if n in rec.columns and n != fields else c for n, c in own.items()}).drop(fields)
+    return rec.withColumns({
+        "index": F.lit(index).cast("string"),
+        "grq_index_result": F.struct(F.lit(index).cast("string").alias("index")),
+    })
 
 
 def staged_products(published: DataFrame, nbytes: str = "disk_usage", secs: str = "duration") -> DataFrame:
@@ -290,21 +306,45 @@ def lineage_edges(products: DataFrame, inputs: DataFrame, jobs: DataFrame, produ
                   job: str = "job_id", task: str = "task_id", url: str = "url", agent: str = "agent") -> DataFrame:
     """Provenance edges (subject, relation, object).
 
-    product wasGeneratedBy task; task used input url; task
-    wasAssociatedWith agent (worker host and pid); product wasDerivedFrom
-    input url is implied through the task (emitting it per product would be
-    every product x input pair of a job).
+    product wasGeneratedBy task; task used input url; task wasAssociatedWith
+    agent (worker host and pid).  Every product of a task wasDerivedFrom every
+    input of it; the task is the class of both, so these pairs are kept as
+    their two factors, one row per product and per input, and ``derived_from``
+    expands them on demand.  Products and inputs meet the jobs in one join.
     """
-    gen = products.join(jobs.select(job, task), job).select(
-        F.concat(F.lit("product:"), F.col(product)).alias("subject"), F.lit("wasGeneratedBy").alias("relation"),
-        F.concat(F.lit("task_id:"), F.col(task)).alias("object"))
-    used = inputs.join(jobs.select(job, task), job).select(
-        F.concat(F.lit("task_id:"), F.col(task)).alias("subject"), F.lit("used").alias("relation"),
-        F.concat(F.lit("url:"), F.col(url)).alias("object"))
-    assoc = jobs.select(
-        F.concat(F.lit("task_id:"), F.col(task)).alias("subject"), F.lit("wasAssociatedWith").alias("relation"),
-        F.concat(F.lit("agent:"), F.col(agent)).alias("object"))
-    return gen.unionByName(used).unionByName(assoc)
+    items = products.select(job, F.lit(True).alias("_made"), F.concat(F.lit("product:"), F.col(product)).alias("_item")).unionByName(
+        inputs.select(job, F.lit(False).alias("_made"), F.concat(F.lit("url:"), F.col(url)).alias("_item")))
+    t = F.concat(F.lit("task_id:"), F.col(task))
+    edges = items.join(jobs.select(job, t.alias("_task")), job).select(
+        F.when(F.col("_made"), F.col("_item")).otherwise(F.col("_task")).alias("subject"),
+        F.when(F.col("_made"), F.lit("wasGeneratedBy")).otherwise(F.lit("used")).alias("relation"),
+        F.when(F.col("_made"), F.col("_task")).otherwise(F.col("_item")).alias("object"))
+    return edges.unionByName(jobs.select(t.alias("subject"), F.lit("wasAssociatedWith").alias("relation"), F.concat(F.lit("agent:"), F.col(agent)).alias("object")))
+
+
+def derived_from(edges: DataFrame, products: DataFrame | None = None, product: str = "product_id") -> DataFrame:
+    """The pairs (product, wasDerivedFrom, url) of ``products``, or of all."""
+    member = edges.where(F.col("relation") == "wasGeneratedBy").select(F.col("subject").alias("_product"), F.col("object").alias("_task"))
+    if products is not None:
+        wanted = products.select(F.concat(F.lit("product:"), F.col(product).cast("string")).alias("_product")).distinct()
+        member = member.join(wanted, "_product", "left_semi")
+    source = edges.where(F.col("relation") == "used").select(F.col("subject").alias("_task"), "object")
+    return member.join(source, "_task").select(F.col("_product").alias("subject"), F.lit("wasDerivedFrom").alias("relation"), "object")
+
+
+def _edge(subject: Column, relation: str, obj: Column) -> Column:
+    return F.struct(subject.alias("subject"), F.lit(relation).alias("relation"), obj.alias("object"))
+
+
+def publish_edges(published: DataFrame, path: str = "path", url: str = "url", node: str = "node", pid: str = "pid",
+                  started: str = "time_start") -> DataFrame:
+    """The publish step of each product: it used the local copy, made the
+    published url, and an agent (host, process, start) stands behind it."""
+    step = F.concat(F.lit("publish_dataset-"), F.regexp_extract(F.col(path), "([^/]*)/*$", 1))
+    local = F.concat(F.lit("file://"), F.col(node), F.col(path))
+    who = F.concat_ws("/", F.lit("publish_dataset"), F.col(node), F.col(pid).cast("string"), F.date_format(F.col(started), "yyyy-MM-dd'T'HH:mm:ss"))
+    edges = F.array(_edge(step, "used", local), _edge(F.col(url), "wasGeneratedBy", step), _edge(step, "wasAssociatedWith", who))
+    return published.select(F.explode(edges).alias("_e")).select("_e.*")
 
 
 STEP_COLS = ("start", "end", "job_id", "job_type")

@@ -82,33 +82,37 @@ def count_matching(df: DataFrame, pred: Column, name: str = "count") -> DataFram
 
 
 def usage_rollup(stats: DataFrame, job: str = "job_id", numeric: Sequence[str] = ()) -> DataFrame:
-    """Usage samples collected per job, plus sum and max of typed fields.
-    A job has a bounded number of samples (one per container step)."""
+    """Usage samples collected per job, in order of their fields, plus sum
+    and max of typed fields.  A job has a bounded number of samples (one per
+    container step)."""
     sample_cols = [c for c in stats.columns if c != job]
-    aggs = [F.collect_list(F.struct(*sample_cols)).alias("usage_stats"), F.count(F.lit(1)).alias("n_samples")]
+    aggs = [F.sort_array(F.collect_list(F.struct(*sample_cols))).alias("usage_stats"), F.count(F.lit(1)).alias("n_samples")]
     for c in numeric:
         aggs += [F.sum(c).alias(f"sum_{c}"), F.max(c).alias(f"max_{c}")]
     return stats.groupBy(job).agg(*aggs)
 
 
 def dir_usage(files: DataFrame, roots: DataFrame, path: str = "path", length: str = "length",
-              root: str = "root") -> DataFrame:
-    """Bytes below each root directory.
-
-    Every file emits its ancestor directories (``split`` + prefix
-    ``transform``), which are equi-joined with the roots: no theta join.
+              root: str = "root", ranges: int | None = None) -> DataFrame:
+    """Bytes below each root directory (each distinct root once).
+
+    In path order the files below ``d`` are those from ``d/`` up to ``d0``, the
+    next text after all that begin with ``d/``.  So the bounds are placed among
+    the files, the bytes before each are summed over ranges of paths, and a
+    root's bytes are the difference of two sums: a file is one row however deep
+    it lies, and no join is needed.
     """
-    parts = F.split(F.col(path), "/")
-    n = F.size(parts)
-    ancestors = F.transform(
-        F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/")
-    )
-    anc = files.select(F.explode(ancestors).alias(root), F.col(length))
-    anc = anc.withColumn(root, F.when(F.col(root) == "", F.lit("/")).otherwise(F.col(root)))
-    r = roots.select(F.regexp_replace(F.col(root), "/+$", "").alias(root)).withColumn(
-        root, F.when(F.col(root) == "", F.lit("/")).otherwise(F.col(root))
-    )
-    return r.join(anc, root, "left").groupBy(root).agg(F.coalesce(F.sum(length), F.lit(0)).alias("bytes"))
+    clean = F.regexp_replace(F.col(root), "/+$", "")
+    bounds = F.array(F.struct(F.concat("_root", F.lit("/")).alias("p"), F.lit(-1).alias("sign")),
+                     F.struct(F.concat("_root", F.lit("0")).alias("p"), F.lit(1).alias("sign")))
+    marks = roots.select(clean.alias("_root")).where(F.col("_root").isNotNull()).distinct().withColumn("_b", F.explode(bounds)).select(
+        F.lit(0).alias("_all"), F.col("_b.p").alias("_path"), F.lit(0).alias("_file"), F.lit(0).cast("long").alias("_bytes"), "_root", F.col("_b.sign").alias("_sign"))
+    rows = files.where(F.col(path).isNotNull()).select(
+        F.lit(0).alias("_all"), F.col(path).alias("_path"), F.lit(1).alias("_file"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("_bytes"),
+        F.lit(None).cast("string").alias("_root"), F.lit(None).cast("int").alias("_sign"))
+    before = running(marks.unionByName(rows), "_all", ["_path", "_file"], "_bytes", "_before", ranges).where(F.col("_file") == 0)
+    shown = F.when(F.col("_root") == "", F.lit("/")).otherwise(F.col("_root"))
+    return before.groupBy(shown.alias(root)).agg(F.sum(F.col("_sign") * F.col("_before")).alias("bytes"))
 
 
 def overdue_job_types(jobs: DataFrame, as_of, periodicity: float = 0.0, job_type: str = "job_type",
@@ -117,17 +121,15 @@ def overdue_job_types(jobs: DataFrame, as_of, periodicity: float = 0.0, job_type
     completed one ended longer ago than its own time limit (else the given
     periodicity).  The newest failure is attached."""
     now = F.lit(as_of).cast("timestamp")
-    done = latest_per(
-        jobs.filter(F.col("status") == "job-completed").select(job_type, id_col, "time_end", "time_limit"),
-        job_type, ["time_end", id_col],
-    ).select(job_type, F.col(id_col).alias("last_success_id"), F.col("time_end").alias("last_success_end"),
-             F.col("time_limit").alias("limit"))
-    failed = latest_per(
-        jobs.filter(F.col("status") == "job-failed").select(job_type, id_col, "time_end"),
-        job_type, ["time_end", id_col],
-    ).select(job_type, F.col(id_col).alias("last_failed_id"), F.col("time_end").alias("last_failed_end"))
-    types = jobs.select(job_type).distinct()
-    df = types.join(done, job_type, "left").join(failed, job_type, "left")
+    # one pass: of each type the newest finished and the newest failed job
+    newest = F.struct("time_end", F.col(id_col).alias("id"))
+    row = F.struct(F.col(id_col).alias("id"), "time_end", "time_limit")
+    per = jobs.groupBy(job_type).agg(
+        F.max_by(row, F.when(F.col("status") == "job-completed", newest)).alias("_done"),
+        F.max_by(row, F.when(F.col("status") == "job-failed", newest)).alias("_failed"),
+    )
+    df = per.select(job_type, F.col("_done.id").alias("last_success_id"), F.col("_done.time_end").alias("last_success_end"), F.col("_done.time_limit").alias("limit"),
+                    F.col("_failed.id").alias("last_failed_id"), F.col("_failed.time_end").alias("last_failed_end"))
     age = _secs(now, F.col("last_success_end"))
     allowed = F.coalesce(F.col("limit").cast("double"), F.lit(float(periodicity)))
     reason = F.when(F.col("last_success_id").isNull(), "no_success").when(age > allowed, "overdue")

@@ -10,7 +10,8 @@ ordered ``when`` chain each; every row gets exactly one ``action``.
 "Live" status (the authoritative, synchronously written job status the
 reference keeps in a key-value store) is an optional input with columns
 ``uuid, live_status``; it is usually the guarded current state (A2) of the
-log.  Without it no write is declined.
+log.  Where one aggregation gives both (``jobs`` has a ``live_status`` column)
+no join is made.  Without either no write is declined.
 """
 
 from __future__ import annotations
@@ -41,6 +42,13 @@ def _terminal(c: Column) -> Column:
     return c.isin(*TERMINAL_JOB_STATUSES)
 
 
+def _with_live(df: DataFrame, live: DataFrame | None) -> DataFrame:
+    """``df`` with ``live_status``: its own, else that of ``live`` by uuid, else null."""
+    if live is not None:
+        return df.drop("live_status").join(live.select("uuid", "live_status"), "uuid", "left")
+    return df if "live_status" in df.columns else df.withColumn("live_status", F.lit(None).cast("string"))
+
+
 def latest_tasks(tasks: DataFrame) -> DataFrame:
     """Newest task event per task id, flattened (status, ts, exception, traceback)."""
     t = tasks.select(
@@ -78,10 +86,7 @@ def reconcile_timeouts(jobs: DataFrame, tasks: DataFrame, workers: DataFrame, as
         "celery_hostname", F.col("status").alias("worker_status"), F.col("tags").alias("worker_tags")
     )
     df = cand.join(lt, "uuid", "left").join(lw, "celery_hostname", "left")
-    if live is not None:
-        df = df.join(live.select("uuid", "live_status"), "uuid", "left")
-    else:
-        df = df.withColumn("live_status", F.lit(None).cast("string"))
+    df = _with_live(df, live)
 
     limit = numeric_limit(F.col("time_limit"))
     tags = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
@@ -157,10 +162,7 @@ def reconcile_orphans(jobs: DataFrame, tasks: DataFrame, task_meta: DataFrame |
         df = df.join(task_meta.select("uuid").distinct().withColumn("has_meta", F.lit(True)), "uuid", "left")
     else:
         df = df.withColumn("has_meta", F.lit(None).cast("boolean"))
-    if live is not None:
-        df = df.join(live.select("uuid", "live_status"), "uuid", "left")
-    else:
-        df = df.withColumn("live_status", F.lit(None).cast("string"))
+    df = _with_live(df, live)
     ts_ = F.col("task_status")
     target = (
         F.when(ts_ == "task-failed", "job-failed")
@@ -250,12 +252,10 @@ def fail_jobs(task_events: DataFrame, jobs: DataFrame, live: DataFrame | None =
 # ------------------------------------------------------------ J11, J12 ----
 
 
-def divergence(current: DataFrame, live: DataFrame) -> DataFrame:
+def divergence(current: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """Live status terminal but the stored copy is non-terminal or
-    different."""
-    df = current.select("payload_id", "uuid", F.col("status").alias("stored_status")).join(
-        live.select("uuid", "live_status"), "uuid"
-    )
+    different.  A filter where ``current`` has its ``live_status``."""
+    df = _with_live(current, live).select("payload_id", "uuid", F.col("status").alias("stored_status"), "live_status")
     return df.filter(_terminal(F.col("live_status")) & (F.col("stored_status") != F.col("live_status")))
 
 

@@ -43,16 +43,18 @@ def j9_orphaned_datasets(spark, sf):
 @register(
     "j14_objects_under",
     with_adapters("""
-WITH pre AS (SELECT DISTINCT 's3://bucket/' || payload_id || '/' AS prefix FROM jobs WHERE status = 'job-queued')
-SELECT p.job_id, p.n, p.url AS key, pre.prefix FROM products p JOIN pre ON starts_with(p.url, pre.prefix)"""),
+WITH o AS (SELECT job_id, n, flag AS bucket, url AS key FROM products),
+pre AS (SELECT DISTINCT if(CAST(payload_id AS BIGINT) % 3 = 0, 'N', 'R') AS bucket, 's3://bucket/' || payload_id || '/' AS prefix FROM jobs WHERE status = 'job-queued')
+SELECT o.job_id, o.n, o.bucket, o.key, pre.prefix FROM o JOIN pre ON o.bucket = pre.bucket AND starts_with(o.key, pre.prefix)"""),
     bench=True,
 )
 def j14_objects_under(spark, sf):
-    """Staged objects under the prefixes of jobs that never ran."""
-    objs = A.products(spark, sf).select("job_id", "n", F.col("url").alias("key"))
+    """Staged objects under the prefixes of jobs that never ran, bucket by bucket."""
+    objs = A.products(spark, sf).select("job_id", "n", F.col("flag").alias("bucket"), F.col("url").alias("key"))
     prefixes = A.jobs(spark, sf).filter(F.col("status") == "job-queued").select(
+        F.when(F.col("payload_id").cast("bigint") % 3 == 0, "N").otherwise("R").alias("bucket"),
         F.concat(F.lit("s3://bucket/"), F.col("payload_id"), F.lit("/")).alias("prefix"))
-    return K.objects_under(objs, prefixes)
+    return K.objects_under(objs, prefixes, bucket="bucket")
 
 
 # Dataset configuration for page urls.  Two groups over two path levels;
@@ -151,13 +153,64 @@ SELECT 'task_id:' || task_id, 'wasAssociatedWith', 'agent:' || agent FROM j"""),
 )
 def c3_lineage_edges(spark, sf):
     """Provenance edges between products, tasks, inputs and agents."""
+    return K.lineage_edges(*_lineage(spark, sf))
+
+
+def _lineage(spark, sf):
     p = A.products(spark, sf)
     products = p.filter(F.col("flag") == "N").select("job_id", F.col("url").alias("product_id"))
     inputs = p.filter(F.col("flag") != "N").select("job_id", "url")
     jobs = A.jobs(spark, sf).select(F.col("payload_id").alias("job_id"),
                                     F.concat(F.lit("task-"), F.col("payload_id")).alias("task_id"),
                                     F.col("celery_hostname").alias("agent"))
-    return K.lineage_edges(products, inputs, jobs)
+    return products, inputs, jobs
+
+
+@register("c3_derived_from", with_adapters("""
+SELECT 'product:' || p.url AS subject, 'wasDerivedFrom' AS relation, 'url:' || i.url AS object
+FROM products p JOIN products i USING (job_id) JOIN jobs j ON j.payload_id = p.job_id
+WHERE p.flag = 'N' AND i.flag <> 'N' AND p.n = 1"""))
+def c3_derived_from(spark, sf):
+    """What each job's first product was derived from, out of the edges of its task."""
+    first = A.products(spark, sf).where("flag = 'N' and n = 1").select(F.col("url").alias("product_id"))
+    return K.derived_from(K.lineage_edges(*_lineage(spark, sf)), first)
+
+
+@register("c3_publish_edges", with_adapters("""
+WITH p AS (
+  SELECT 'publish_dataset-' || 'p' || n AS step, 'file://' || 'w' || (suppkey % 20) || '/work/' || job_id || '/p' || n AS local, url,
+         'publish_dataset/w' || (suppkey % 20) || '/' || partkey || '/' || strftime(time_end, '%Y-%m-%dT%H:%M:%S') AS who
+  FROM products WHERE flag = 'N')
+SELECT step AS subject, 'used' AS relation, local AS object FROM p
+UNION ALL SELECT url, 'wasGeneratedBy', step FROM p UNION ALL SELECT step, 'wasAssociatedWith', who FROM p"""))
+def c3_publish_edges(spark, sf):
+    """The publish step of each new product."""
+    p = A.products(spark, sf).where("flag = 'N'")
+    return K.publish_edges(p.select(
+        F.concat(F.lit("/work/"), "job_id", F.lit("/p"), F.col("n").cast("string")).alias("path"), "url",
+        F.concat(F.lit("w"), (F.col("suppkey") % 20).cast("string")).alias("node"), F.col("partkey").alias("pid"), F.col("time_end").alias("time_start")))
+
+
+@register("c1_build_catalog", with_adapters("""
+SELECT id, 'cat/' || dataset AS ipath, system_version AS version, 'l' || (doc_id % 3) AS level, 'text' AS type, id AS objectid,
+       if(doc_id % 5 = 0, 'own-' || dataset, dataset) AS dataset, system_version, 'l' || (doc_id % 3) AS dataset_level, 'text' AS dataset_type,
+       '[]' AS urls, '[]' AS browse_urls, if(doc_id % 2 = 0, 'label ' || id, NULL) AS label,
+       CASE WHEN doc_id % 4 = 0 THEN '{}' WHEN doc_id % 4 = 1 THEN CAST(json_object('chars', 'seed', 'who', 'x') AS VARCHAR)
+            ELSE CAST(json_object('chars', CAST(n_chars AS VARCHAR)) AS VARCHAR) END AS metadata,
+       'cat_all' AS "index", CAST(json_object('index', 'cat_all') AS VARCHAR) AS grq_index_result
+FROM catalog_docs"""))
+def c1_build_catalog(spark, sf):
+    """documents' records from recognition, extracted and seed metadata,
+    and the dataset file's own fields, some of which override."""
+    d = A.catalog_docs(spark, sf)
+    rest = F.col("doc_id") % 4
+    own = F.struct(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("own-"), "dataset")).alias("dataset"),
+                   F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("label "), "id")).alias("label"))
+    recognised = d.select("id", F.concat(F.lit("cat/"), "dataset").alias("ipath"), F.col("system_version").alias("version"),
+                          F.concat(F.lit("l"), (F.col("doc_id") % 3).cast("string")).alias("level"), F.lit("text").alias("type"))
+    metadata = d.where(rest != 0).select("id", F.create_map(F.lit("chars"), F.col("n_chars").cast("string")).alias("extracted"),
+                                         F.when(rest == 1, F.create_map(F.lit("chars"), F.lit("seed"), F.lit("who"), F.lit("x"))).alias("seed"))
+    return K.build_catalog(d.select("id", own.alias("own")), "cat_all", recognised, metadata, "own")
 
 
 @register(

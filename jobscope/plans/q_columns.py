@@ -161,6 +161,76 @@ def p13_clamp_counters(spark, sf):
     return C.clamp_counters(p, "cgroups").select("job_id", "n", F.col("cgroups.usage").alias("usage"))
 
 
+@register("p13_clamp_usage", with_adapters("""
+SELECT job_id, n, flag, CASE WHEN flag = 'N' OR CAST(round(bytes * 100) AS HUGEINT) * 1000000000000 <= 9223372036854775807
+  THEN CAST(CAST(round(bytes * 100) AS HUGEINT) * 1000000000000 AS VARCHAR) ELSE '-1' END AS limit_bytes,
+  CAST(n AS BIGINT) AS plain FROM products"""))
+def p13_clamp_usage(spark, sf):
+    """P13 on the nested usage samples of job documents; other documents keep theirs."""
+    counter = (F.round(F.col("bytes") * 100).cast("bigint").cast("decimal(20,0)") * F.lit(10**12).cast("decimal(20,0)")).cast("decimal(20,0)")
+    sample = F.struct(F.struct(F.struct(counter.alias("limit")).alias("memory")).alias("cgroups"), F.col("n").cast("bigint").alias("plain"))
+    job = F.struct(F.struct(F.struct(F.array(sample).alias("usage_stats")).alias("metrics")).alias("job_info"))
+    docs = A.products(spark, sf).select("job_id", "n", "flag", F.when(F.col("flag") == "N", "task").otherwise("job").alias("resource"), job.alias("job"))
+    # both kinds of document in one column: a clamped one has 64 bits, the other the type that was read
+    clamped = C.clamp_usage(docs.where("resource = 'job'"))
+    same = docs.where("resource <> 'job'")
+    out = None
+    for part in (clamped, same):
+        one = F.col("job.job_info.metrics.usage_stats")[0]
+        part = part.select("job_id", "n", "flag", one["cgroups"]["memory"]["limit"].cast("string").alias("limit_bytes"), one["plain"].alias("plain"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("p20_nodes_and_addresses", with_adapters("""
+SELECT payload_id, CASE WHEN custkey % 4 = 0 THEN 'pub' || custkey WHEN custkey % 4 = 1 THEN '3.4.5.' || (custkey % 250) ELSE celery_hostname || '.local' END AS node,
+  CASE WHEN custkey % 4 = 1 THEN '3.4.5.' || (custkey % 250) ELSE '100.' || (custkey % 200) || '.1.2' END AS address,
+  NOT (custkey % 4 <> 1 AND custkey % 200 BETWEEN 64 AND 127) AS lookup FROM jobs"""))
+def p20_nodes_and_addresses(spark, sf):
+    """P20: each job's node and address, and whether the address has to be looked up."""
+    c = F.col("custkey")
+    ip = F.concat(F.lit("100."), (c % 200).cast("string"), F.lit(".1.2"))
+    facts = F.map_filter(F.create_map(
+        F.lit("ec2_public_hostname"), F.when(c % 4 == 0, F.concat(F.lit("pub"), c.cast("string"))),
+        F.lit("ec2_public_ipv4"), F.when(c % 4 == 1, F.concat(F.lit("3.4.5."), (c % 250).cast("string"))),
+        F.lit("fqdn"), F.concat("celery_hostname", F.lit(".local")), F.lit("ipaddress"), ip), lambda k, v: v.isNotNull())
+    j = A.jobs(spark, sf).select("payload_id", facts.alias("facts"))
+    return j.select("payload_id", C.execute_node().alias("node"), C.public_address().alias("a")).select("payload_id", "node", "a.*")
+
+
+@register("p23_browse_images", with_adapters("""
+SELECT page_id, CASE page_id % 3
+  WHEN 0 THEN '[{"img":"b.y.browse.png","tooltip":"y"},{"img":"a.x.browse.png","small_img":"a.x.browse_small.png","tooltip":"x"},{"img":"c.z.browse.png","tooltip":"z"}]'
+  WHEN 1 THEN '[{"img":"d.y.browse.png","tooltip":"y"},{"img":"p' || page_id || '.q.browse.png","tooltip":"q"}]'
+  ELSE '[]' END AS images FROM pages"""))
+def p23_browse_images(spark, sf):
+    """Ordered image records; of two images on one pattern the later counts."""
+    i = F.col("page_id") % 3
+    names = F.when(i == 0, F.array(*map(F.lit, ("c.z.browse.png", "a.x.browse.png", "a.x.browse_small.png", "b.y.browse.png", "notes.txt")))).when(
+        i == 1, F.array(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".q.browse.png")), F.lit("b.y.browse.png"), F.lit("d.y.browse.png"))).otherwise(F.array(F.lit("x.png")))
+    return A.table(spark, sf, "pages").select("page_id", C.browse_images(names, [r"\.y\.", r"\.x\."]).alias("images"))
+
+
+@register("f7_publishable_datasets", with_adapters("""
+SELECT p.job_id, p.url AS dir FROM products p JOIN jobs j ON j.payload_id = p.job_id WHERE j.status = 'job-completed' AND p.n % 3 <> 0"""))
+def f7_publishable_datasets(spark, sf):
+    """products of jobs that exited 0, without those marked as localized inputs."""
+    p = A.products(spark, sf)
+    j = A.jobs(spark, sf).select(F.col("payload_id").alias("job_id"), F.when(F.col("status") == "job-completed", 0).otherwise(1).alias("exit_status"), F.lit(7).alias("pid"))
+    return P.publishable_datasets(p.select("job_id", F.col("url").alias("dir")), j, p.where("n % 3 = 0").select(F.col("url").alias("dir")))
+
+
+@register("f9_triage_files", with_adapters("""
+WITH f AS (SELECT payload_id, '/jobs/' || payload_id AS job_dir, unnest(['_context.json', 'run.log', 'out.dat', 'sub/deep.log', 'sub/_x', 'core.7', 'core.77']) AS name FROM jobs)
+SELECT payload_id, job_dir || '/' || name AS path FROM f WHERE name IN ('_context.json', 'run.log', 'core.7')"""))
+def f9_triage_files(spark, sf):
+    """the files at the top of each job's directory that triage keeps."""
+    files = A.jobs(spark, sf).select("payload_id", F.concat(F.lit("/jobs/"), "payload_id").alias("job_dir"),
+                                     F.explode(F.array(*map(F.lit, ("_context.json", "run.log", "out.dat", "sub/deep.log", "sub/_x", "core.7", "core.77")))).alias("name"))
+    files = files.select("payload_id", "job_dir", F.concat("job_dir", F.lit("/"), "name").alias("path"))
+    return P.triage_files(files, extra_globs=["core.?"]).select("payload_id", "path")
+
+
 @register(
     "p14_p15_limits",
     with_adapters("""

@@ -95,6 +95,14 @@ def a10_count_matching(spark, sf):
     return O.count_matching(d, (F.col("n_chars") > 1000) & (F.col("system_version") == "en"))
 
 
+@register("a11_usage_rollup", with_adapters("""
+SELECT job_id, CAST(to_json(list(struct_pack(n := n, partkey := partkey) ORDER BY n, partkey)) AS VARCHAR) AS usage_stats, count(*) AS n_samples,
+       CAST(sum(partkey) AS BIGINT) AS sum_partkey, max(partkey) AS max_partkey FROM products GROUP BY job_id"""))
+def a11_usage_rollup(spark, sf):
+    """Each job's samples with sums and maxima."""
+    return O.usage_rollup(A.products(spark, sf).select("job_id", "n", "partkey"), numeric=["partkey"])
+
+
 @register(
     "a13_dir_usage",
     with_adapters("""

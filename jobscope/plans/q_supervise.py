@@ -25,8 +25,7 @@ def job_events_flat(spark, sf):
 
 
 def _current_and_live(spark, sf):
-    """Last write (A1) and guarded live status (A2) per job from ONE
-    aggregation; both consumers share its scan and shuffle (exchange reuse)."""
+    """Last write (A1) and guarded live status (A2) per job from one aggregation."""
     ev = job_events_flat(spark, sf)
     rest = [c for c in ev.columns if c != "payload_id"]
     term = state.is_terminal("status")
@@ -41,6 +40,11 @@ def jobs_current(spark, sf):
     return _current_and_live(spark, sf).select("payload_id", "cur.*")
 
 
+def jobs_with_live(spark, sf):
+    """Current jobs with the live status beside them: one scan, one shuffle, no join."""
+    return _current_and_live(spark, sf).select("payload_id", "cur.*", F.col("live.status").alias("live_status"))
+
+
 def live_status(spark, sf):
     return _current_and_live(spark, sf).select(F.col("live.uuid").alias("uuid"), F.col("live.status").alias("live_status"))
 
@@ -101,8 +105,7 @@ def _j3(spark, sf):
     ev_tasks = A.task_events(spark, sf)
     # task hosts carry the broker's host form; the job docs carry the bare name
     return S.reconcile_timeouts(
-        jobs_current(spark, sf), ev_tasks, A.worker_events(spark, sf), EV_AS_OF_PY,
-        timeout=3600, grace=300, live=live_status(spark, sf),
+        jobs_with_live(spark, sf), ev_tasks, A.worker_events(spark, sf), EV_AS_OF_PY, timeout=3600, grace=300,
     )
 
 
@@ -149,12 +152,8 @@ def j4_reconcile_orphans(spark, sf):
     jobs are known by an id that no task has."""
     t, k = A.task_events(spark, sf), F.col("seq") % 6
     status = F.when(k == 1, "task-failed").when(k == 2, "task-succeeded").when(k == 3, "task-retried").otherwise(F.col("status"))
-    jobs, live = jobs_current(spark, sf), live_status(spark, sf)
-    lost = lambda c: F.when(F.col("seq") % 5 == 0, F.concat(F.lit("lost-"), c)).otherwise(F.col(c))
-    jobs = jobs.withColumns({"own": F.col("uuid"), "uuid": lost("uuid")})
-    renamed = live.join(jobs.select(F.col("own").alias("uuid"), F.col("uuid").alias("to")), "uuid")
-    live = renamed.select(*[F.col("to").alias("uuid") if c == "uuid" else F.col(c) for c in live.columns])
-    out = S.reconcile_orphans(jobs.drop("own"), t.withColumn("status", status), live=live)
+    jobs = jobs_with_live(spark, sf).withColumn("uuid", F.when(F.col("seq") % 5 == 0, F.concat(F.lit("lost-"), "uuid")).otherwise(F.col("uuid")))
+    out = S.reconcile_orphans(jobs, t.withColumn("status", status))
     return out.withColumn("uuid", F.regexp_replace("uuid", "^lost-", ""))
 
 
@@ -243,7 +242,7 @@ WHERE l.live_status IN {TERMINAL_SQL} AND j.status <> l.live_status"""),
 def j11_divergence(spark, sf):
     """Jobs whose stored (last-write) status diverges from the terminal
     live status."""
-    return S.divergence(jobs_current(spark, sf), live_status(spark, sf))
+    return S.divergence(jobs_with_live(spark, sf))
 
 
 # ---------------------------------------------------------------- J12 ----
