@@ -271,10 +271,10 @@ class Sample:
 
 
 class Search:
-    """The regions of one text."""
+    """The regions of one text, of which ``k`` samples are wanted."""
 
-    def __init__(self, key: int, units: np.ndarray):
-        self.key, self.units, self.heap, self.n = np.uint64(key), units, [], 0
+    def __init__(self, key: int, units: np.ndarray, k: int = K):
+        self.key, self.units, self.heap, self.n, self.cuts, self.k = np.uint64(key), units, [], 0, 0, k
 
     def cut(self, lat: Lattices, x: Sample, g: float, begin: int, taken: list) -> None:
         """Cut the region of ``x``, whose maximum is g: from unit ``begin`` on free, where ``taken`` is excluded."""
@@ -291,14 +291,14 @@ class Search:
         if not len(some):
             return
         phi = before[some] + np.log(mass[some])
-        u = uniform(np.full(len(some), self.key), 1_000_003 + self.n, begin + some)
+        u = uniform(np.full(len(some), self.key), 1_000_003 + self.cuts, begin + some)
         top = -np.logaddexp(-g, np.log(-np.log(u)) - phi)
-        # only the K + 1 best of a text's regions can ever be chosen
-        for i in np.argpartition(-top, min(K, len(top) - 1))[: K + 1]:
+        # only the k + 1 best of a text's regions can ever be chosen, or bound the samples
+        for i in np.argpartition(-top, min(self.k, len(top) - 1))[: self.k + 1]:
             j = int(begin + some[i])
             heapq.heappush(self.heap, (-float(top[i]), self.n, j, x, [*(taken if j == begin else []), tuple(x.edges[x.first[j] : x.first[j + 1]])]))
             self.n += 1
-        self.n += 1
+        self.cuts += 1
 
 
 def _slices(batches):
@@ -333,7 +333,7 @@ def sample_slice(model: Pieces, own: list[str], keys: np.ndarray, k: int):
     lat = Lattices(model, chars, begin[one], size[one])
 
     rows = len(own)
-    searches = [Search(int(keys[r]), unit[row_units[r] : row_units[r + 1]]) for r in range(rows)]
+    searches = [Search(int(keys[r]), unit[row_units[r] : row_units[r + 1]], k) for r in range(rows)]
     results: list[list] = [[] for _ in range(rows)]
     # what each row samples next: from which unit on, and what stands before
     todo = [(r, 0, None, None, float(-np.log(-np.log(uniform(keys[r : r + 1], 0, 0)[0])))) for r in range(rows)]
