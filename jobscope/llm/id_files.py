@@ -31,7 +31,7 @@ from .range_coder import BLOCK, decode, encode
 #: Id that ends a document.
 END = 0
 #: Ids of a part, unless its last document has more.
-PART = 8 << 20
+PART = 4 << 20
 #: Bytes of text encoded at once.
 TEXT = 1 << 20
 FILE = "range int, part int, before long, n_docs int, n_ids long, doc_ids binary, nulls binary, sizes binary, blocks array<binary>"
@@ -138,6 +138,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     W.small_batches(spark)
 
     def docs(batches):
+        encoder.cache_clear()  # a worker that has encoded keeps no tables while it decodes
         for batch in batches:
             for row in batch.to_pylist():
                 keys, null, n = (np.frombuffer(zstandard.decompress(row[c]), k) for c, k in (("doc_ids", "<i8"), ("nulls", "u1"), ("sizes", "<i8")))

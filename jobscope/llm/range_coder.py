@@ -40,7 +40,7 @@ class Model:
     def __init__(self, n: int):
         self.n = n
         self.two, self.one = np.full(n * ORDER2, NONE, np.int32), np.full(n * ORDER1, NONE, np.int32)
-        self.sure2, self.sure1 = np.zeros(n * ORDER2, np.int64), np.zeros(n * ORDER1, np.int64)
+        self.sure2, self.sure1 = np.zeros(n * ORDER2, np.int8), np.zeros(n * ORDER1, np.int8)
         start = np.ones((16, 3), np.int64)
         for a in range(4):
             for b in range(4):
@@ -75,7 +75,7 @@ class Model:
         self.h1 = self.at1[:a] + (x1 & (ORDER1 - 1))
         self.c2, self.c1 = self.two.take(self.h2), self.one.take(self.h1)
         self.s2, self.s1 = self.sure2.take(self.h2), self.sure1.take(self.h1)
-        self.context = self.at_context[:a] + 4 * self.s2 + self.s1
+        self.context = self.at_context[:a] + (4 * self.s2 + self.s1)
         f2, f1 = self.share2.take(self.context), self.share1.take(self.context)
         self.row = self.at_class[:a] + self.k1[:a]
         return self.c2, self.c1, f2, f1, WHOLE - f2 - f1
@@ -157,13 +157,13 @@ class Encoder:
 class Decoder:
     def __init__(self, streams: list[np.ndarray]):
         n = len(streams)
-        self.words = np.zeros((n, max(map(len, streams), default=0) + 4), U)
+        self.words = np.zeros((n, max(map(len, streams), default=0) + 4), np.uint16)
         for i, s in enumerate(streams):
             self.words[i, : len(s)] = s
         self.low, self.range = np.zeros(n, U), np.full(n, np.iinfo(U).max, U)
         self.code, self.at = np.zeros(n, U), np.full(n, 4)
         for k in range(4):
-            self.code = self.code << U(16) | self.words[:, k]
+            self.code = self.code << U(16) | self.words[:, k].astype(U)
 
     def peek(self, a: int, total_bits) -> np.ndarray:
         self.unit = self.range[:a] >> total_bits
@@ -184,7 +184,7 @@ class Decoder:
             at = np.flatnonzero(out)
             if not len(at):
                 return
-            self.code[at] = self.code[at] << U(16) | self.words[at, np.minimum(self.at[at], self.words.shape[1] - 1)]
+            self.code[at] = self.code[at] << U(16) | self.words[at, np.minimum(self.at[at], self.words.shape[1] - 1)].astype(U)
             self.at[at] += 1
             low[at] <<= U(16)
             range_[at] <<= U(16)
@@ -195,16 +195,15 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order], np.int64)
     n = len(blocks)
-    ids = np.zeros((n, int(sizes.max(initial=0))), np.int64)
+    columns = np.zeros((int(sizes.max(initial=0)), n), np.int32)
     for k, i in enumerate(order):
         if len(blocks[i]) and int(blocks[i].max()) > LARGEST:
             raise ValueError(f"an id is over {LARGEST}")
-        ids[k, : sizes[k]] = blocks[i]
+        columns[: sizes[k], k] = blocks[i]
     model, coder = Model(n), Encoder(n)
-    active = np.searchsorted(-sizes, -np.arange(ids.shape[1]), "left")  # blocks longer than each step
-    columns = np.ascontiguousarray(ids.T)
+    active = np.searchsorted(-sizes, -np.arange(len(columns)), "left")  # blocks longer than each step
     for t, a in enumerate(active.tolist()):
-        x = columns[t, :a]
+        x = columns[t, :a].astype(np.int64)
         c2, c1, f2, f1, rest = model.predict(a)
         kind = np.where(c2 == x, 0, np.where(c1 == x, 1, 2))
         bits = width(x)
@@ -233,7 +232,7 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
     sizes = np.array([heads[i][0] for i in order], np.int64)
     n = len(blocks)
     model, coder = Model(n), Decoder([np.frombuffer(blocks[i], "<u2", offset=12) for i in order])
-    columns = np.zeros((int(sizes.max(initial=0)), n), np.int64)
+    columns = np.zeros((int(sizes.max(initial=0)), n), np.int32)
     for t, a in enumerate(np.searchsorted(-sizes, -np.arange(len(columns)), "left").tolist()):
         c2, c1, f2, f1, rest = model.predict(a)
         v = np.minimum(coder.peek(a, U(16)), U(WHOLE - 1)).astype(np.int64)
