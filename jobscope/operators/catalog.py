@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from jobscope.functions.columns import error_target, expand_template, transfer_rate, triage_id
 from jobscope.functions.predicates import triage_candidates
+from jobscope.sources.listing import digests, read_texts
 
 
 def _c(x) -> Column:
@@ -41,36 +42,35 @@ def orphaned_datasets(errors: DataFrame, catalog: DataFrame, error: str = "error
 
 # ------------------------------------------------------------ J13 --------
 
-# Checksum algorithms Spark computes natively; the others go through an
-# Arrow-batched pandas UDF with hashlib.  Fixed values.
+# Checksum algorithms that Spark has functions for, and the others.  Fixed values.
 NATIVE_DIGESTS = {"md5": lambda c: F.md5(c), "sha1": lambda c: F.sha1(c), "sha224": lambda c: F.sha2(c, 224),
                   "sha256": lambda c: F.sha2(c, 256), "sha384": lambda c: F.sha2(c, 384),
                   "sha512": lambda c: F.sha2(c, 512)}
 OTHER_DIGESTS = ("sha3_224", "sha3_256", "sha3_384", "sha3_512", "blake2b", "blake2s", "shake_128", "shake_256")
 
 
-def verify_checksums(files: DataFrame, path: str = "path", content: str = "content",
+def verify_checksums(files: DataFrame, path: str = "path",
                      algorithms: Sequence[str] = tuple(NATIVE_DIGESTS) + OTHER_DIGESTS) -> DataFrame:
     """Pair every ``f.<algo>`` file with ``f``, compare the digest
     case-insensitively.  Checksum files without a partner are skipped.
-    Returns one row per pair with ``expected``, ``actual`` and ``ok``."""
-    ext = F.regexp_extract(F.col(path), r"\.([A-Za-z0-9_]+)$", 1)
-    sums = files.filter(ext.isin(list(algorithms))).select(
-        F.regexp_replace(F.col(path), r"\.[A-Za-z0-9_]+$", "").alias("_target"),
-        ext.alias("algo"),
-        F.lower(F.split(F.trim(F.col(content).cast("string")), r"\s+").getItem(0)).alias("expected"),
-    )
-    data = files.select(F.col(path).alias("_target"), F.col(content).alias("_bytes"))
-    pairs = sums.join(data, "_target")
-    actual = None
-    for algo, fn in NATIVE_DIGESTS.items():
-        actual = F.when(F.col("algo") == algo, fn(F.col("_bytes"))) if actual is None else actual.when(
-            F.col("algo") == algo, fn(F.col("_bytes")))
-    from jobscope.functions.udf import digest_udf
-
-    actual = actual.otherwise(digest_udf(F.col("algo"), F.col("_bytes")))
-    return pairs.select(F.col("_target").alias(path), "algo", "expected", F.lower(actual).alias("actual")).withColumn(
-        "ok", F.col("expected") == F.col("actual"))
+    Returns one row per pair with ``expected``, ``actual`` and ``ok`` (false
+    where either can't be read).
+
+    ``files`` is a listing (``list_tree``), and only paths are joined.  A
+    pair's two files are then read where its row is, the partner in chunks, so
+    no content crosses a shuffle and a file's size does not matter; pairs are
+    dealt out evenly first.
+    """
+    listing = files.select(F.col(path).alias("_path"))
+    ext = F.regexp_extract("_path", r"\.([A-Za-z0-9_]+)$", 1)
+    sums = listing.filter(ext.isin(list(algorithms))).select(
+        F.regexp_replace("_path", r"\.[A-Za-z0-9_]+$", "").alias("_target"), ext.alias("algo"), F.col("_path").alias("_sum"))
+    pairs = sums.join(listing.select(F.col("_path").alias("_target")).distinct(), "_target")
+    pairs = pairs.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism))
+    read = digests(read_texts(pairs, "_sum", "_text"), "_target", "algo", "actual")
+    expected = F.lower(F.split(F.trim("_text"), r"\s+").getItem(0))
+    return read.select(F.col("_target").alias(path), "algo", expected.alias("expected"), "actual").withColumn(
+        "ok", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)))
 
 
 # ------------------------------------------------------------ J14 --------

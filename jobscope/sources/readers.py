@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from jobscope.functions.columns import parse_iso_utc
 from jobscope.operators.metrics import kind_of_path, parse_metric_lines
 from jobscope.session import ensure_utc
+from jobscope.sources.listing import list_tree, read_texts
 from jobscope.sources import schemas as S
 
 RAW_STAMP = "@timestamp"
@@ -165,54 +166,45 @@ def read_metric_log(spark, path, kind: str | None = None, streaming: bool = Fals
 def discover_datasets(spark, root: str) -> DataFrame:
     """``X/X.dataset.json`` files below a root whose directory is named
     like the file; directories holding a ``.localized`` marker (localized
-    inputs) are dropped.  Returns dir, name and the dataset JSON text."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.dataset.json").load(root).select("path", "content"))
-    d = files.select(
-        F.regexp_replace("path", r"/[^/]+$", "").alias("dir"),
-        F.regexp_extract("path", r"([^/]+)\.dataset\.json$", 1).alias("name"),
-        F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("parent"),
-        F.col("content").cast("string").alias("dataset_json"),
-    ).filter(F.col("name") == F.col("parent"))
-    markers = spark.createDataFrame([(m,) for m in _marker_dirs(spark, root, ".localized")], "dir string")
-    return d.join(markers, "dir", "left_anti").select("dir", "name", "dataset_json")
-
-
-def _marker_dirs(spark, root: str, marker: str) -> list[str]:
-    """Directories below ``root`` holding a marker file.  File sources skip
-    dot-files, so markers are found with the Hadoop FileSystem listing (file
-    metadata only; one entry per marked directory)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(conf)
-    out = []
-    it = fs.listFiles(base, True)
-    while it.hasNext():
-        st = it.next()
-        if st.getPath().getName() == marker:
-            out.append(st.getPath().getParent().toString())
-    return out
+    inputs) are dropped.  Returns dir, name and the dataset JSON text.
+
+    The tree is listed in tasks, and only the files that stay are read.
+    """
+    files = list_tree(spark, root)
+    d = files.where(F.col("name").endswith(".dataset.json")).select(
+        "path", "dir", F.regexp_extract("name", r"^(.+)\.dataset\.json$", 1).alias("name"),
+    ).filter(F.col("name") == F.regexp_extract("dir", r"([^/]+)$", 1))
+    markers = files.where(F.col("name") == ".localized").select("dir").distinct()
+    kept = d.join(markers, "dir", "left_anti").select("path", "dir", "name")
+    return read_texts(kept, name="dataset_json").select("dir", "name", "dataset_json")
+
+
+def _json_files(spark, root: str, name: str, schema: T.StructType | None, fatal: bool) -> DataFrame:
+    """The JSON documents in all files called ``name`` below ``root``.
+
+    With a schema its columns, a row for each element where a file holds an
+    array; without one the file's document as a VARIANT ``stats``, so that no
+    file is read for its schema first.
+    """
+    files = read_texts(list_tree(spark, root).where(F.col("name") == name).select(F.col("path").alias("file_path")), "file_path")
+    whole = F.try_parse_json("content")
+    if fatal:
+        files = files.withColumn("content", F.when(whole.isNull(), F.raise_error(F.concat(F.lit("unreadable: "), "file_path")).cast("string")).otherwise(F.col("content")))
+    else:
+        files = files.where(whole.isNotNull())
+    if schema is None:
+        return files.select(whole.alias("stats"), "file_path")
+    return files.select(F.explode(F.from_json("content", T.ArrayType(schema))).alias("_r"), "file_path").select("_r.*", "file_path")
 
 
 def read_usage_stats(spark, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """``_docker_stats.json`` anywhere below a root; unreadable files are
-    skipped (PERMISSIVE, corrupt rows dropped)."""
-    r = spark.read.option("multiLine", "true").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "_docker_stats.json").option("mode", "DROPMALFORMED")
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(root).withColumn("file_path", F.col("_metadata.file_path"))
+    """``_docker_stats.json`` anywhere below a root; unreadable files are skipped."""
+    return _json_files(spark, root, "_docker_stats.json", schema, False)
 
 
 def read_step_metrics(spark, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """``pge_metrics.json`` anywhere below a root; an unreadable file is
-    fatal (FAILFAST)."""
-    r = spark.read.option("multiLine", "true").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "pge_metrics.json").option("mode", "FAILFAST")
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(root).withColumn("file_path", F.col("_metadata.file_path"))
+    """``pge_metrics.json`` anywhere below a root; an unreadable file is fatal."""
+    return _json_files(spark, root, "pge_metrics.json", schema, True)
 
 
 def read_dataset_config(spark, path: str) -> DataFrame:

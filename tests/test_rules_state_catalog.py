@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobscope.operators import catalog as K
 from jobscope.operators import dedup, rules as R, state
+from jobscope.sources.listing import list_tree
 
 DOCS = "id string, system_version string, n_chars bigint, label string"
 
@@ -100,18 +101,38 @@ def test_recognize_first_match_alt_and_children(spark):
     assert got["/d/lower"].position is None
 
 
-def test_verify_checksums(spark):
+def test_verify_checksums(spark, tmp_path):
     text = b"testing testing 123"
-    md5 = hashlib.md5(text).hexdigest()
-    sha3 = hashlib.sha3_256(text).hexdigest()
-    files = spark.createDataFrame([
-        ("/a/f1", bytearray(text)), ("/a/f1.md5", bytearray(md5.upper().encode())),
-        ("/a/f2", bytearray(text)), ("/a/f2.sha3_256", bytearray((sha3 + "  f2\n").encode())),
-        ("/a/f3", bytearray(b"other")), ("/a/f3.sha256", bytearray(hashlib.sha256(text).hexdigest().encode())),
-        ("/a/f4.md5", bytearray(md5.encode())),
-    ], "path string, content binary")
-    got = {r.path: r.ok for r in K.verify_checksums(files).collect()}
-    assert got == {"/a/f1": True, "/a/f2": True, "/a/f3": False}
+    large = bytes(range(256)) * 80_000  # more than two chunks
+    md5, sha3 = hashlib.md5(text).hexdigest(), hashlib.sha3_256(text).hexdigest()
+    there = {
+        "f1": text, "f1.md5": md5.upper().encode(), "f2": text, "f2.sha3_256": (sha3 + "  f2\n").encode(),
+        "sub/f3": b"other", "sub/f3.sha256": hashlib.sha256(text).hexdigest().encode(), "f4.md5": md5.encode(),
+        "big": large, "big.sha512": hashlib.sha512(large).hexdigest().encode(), "big.shake_128": hashlib.shake_128(large).hexdigest(32).encode(),
+        "empty": b"", "empty.sha1": hashlib.sha1(b"").hexdigest().encode(), "blank": text, "blank.md5": b"",
+    }
+    for name, data in there.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    files = list_tree(spark, str(tmp_path))
+    assert {r.name: r.length for r in files.collect()} == {n.split("/")[-1]: len(d) for n, d in there.items()}
+    got = {(r.path.split("/")[-1], r.algo): r.ok for r in K.verify_checksums(files).collect()}
+    assert got == {("f1", "md5"): True, ("f2", "sha3_256"): True, ("f3", "sha256"): False, ("big", "sha512"): True, ("big", "shake_128"): True,
+                   ("empty", "sha1"): True, ("blank", "md5"): False}
+    plan = K.verify_checksums(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("MapInArrow") < plan.index("Exchange")  # both reads stand above every shuffle
+
+
+def test_a_wide_and_deep_tree_is_listed(spark, tmp_path):
+    want = set()
+    for i in range(30):
+        d = tmp_path / f"d{i % 5}" / f"e{i}" / "x y"
+        d.mkdir(parents=True)
+        (d / f".f{i}").write_text("")
+        want.add(f".f{i}")
+    (tmp_path / "none").mkdir()
+    assert {r.name for r in list_tree(spark, f"file:{tmp_path}/").collect()} == want
+    assert list_tree(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_objects_under_prefix_equi_join(spark):
