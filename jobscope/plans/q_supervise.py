@@ -176,6 +176,20 @@ def j5_offline_jobs(spark, sf):
     return S.offline_jobs(A.worker_events(spark, sf), jobs_current(spark, sf))
 
 
+@register("j5_offline_jobs_live", with_adapters(f"""
+WITH off AS (SELECT celery_hostname, max(ts) AS offline_at FROM worker_events WHERE status = 'worker-offline' GROUP BY celery_hostname)
+SELECT j.payload_id, j.uuid, j.celery_hostname, 'job-offline' AS new_status,
+       'Received worker-offline event during job execution.' AS error, 'worker-offline' AS short_error, off.offline_at AS time_end
+FROM jobs_current j JOIN off USING (celery_hostname) JOIN live l ON l.uuid = j.uuid
+WHERE j.status = 'job-started' AND off.offline_at >= j.ts AND l.live_status = 'job-started' AND j.seq % 3 <> 0"""))
+def j5_offline_jobs_live(spark, sf):
+    """J5 with the live status and the task's own worker, which must still agree;
+    a third of the adapted tasks has moved to another worker."""
+    jobs = jobs_current(spark, sf)
+    at = jobs.select("uuid", F.when(F.col("seq") % 3 == 0, "elsewhere").otherwise(F.col("celery_hostname")).alias("worker"))
+    return S.offline_jobs(A.worker_events(spark, sf), jobs, live_status(spark, sf), at)
+
+
 # ---------------------------------------------------------------- J6 -----
 
 J6_SQL = f"""

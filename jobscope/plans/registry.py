@@ -82,4 +82,5 @@ def load_all() -> None:
         q_ops,
         q_streaming,
         q_sinks,
+        q_udf,
     )

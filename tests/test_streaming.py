@@ -81,3 +81,28 @@ def test_a_finished_job_is_not_failed_by_a_late_task_failure(spark, tmp_path):
     for files in (1, 2):
         got = run(T.stream_failed_tasks(stream(spark, tmp_path, tasks, TASK, files), stream(spark, tmp_path, jobs, JOB, files), 300))
         assert [(r[0], r[2]) for r in got] == [("b", "TimeLimitExceeded")]
+
+
+def test_metric_logs_are_parsed_as_they_arrive(spark, tmp_path):
+    from jobscope.sources import readers as RD
+
+    (tmp_path / "log").mkdir()
+    for k in range(2):
+        lines = [f"2024-01-02T03:04:0{i}.123456Z,host{k},worker,w1,cpu,'{i}'" for i in range(5)] + ["no time,h,worker,w1,cpu,3"]
+        (tmp_path / "log" / f"{k}.fullkv.sdswatch.log").write_text("\n".join(lines) + "\n")
+    (tmp_path / "log" / "other.log").write_text("2024-01-02T03:04:05.1Z,h,w,w,cpu,1\n")
+    columns = ["host", "metric_key", "metric_value_string", "metric_value_float", "sdswatch_timestamp"]
+    want = sorted(tuple(r) for r in RD.read_metric_log(spark, str(tmp_path)).select(*columns).collect())
+    got = run(T.stream_metric_log(spark, str(tmp_path)).select(*columns), drop=("batch",))
+    assert got == want and len(got) == 10
+
+
+def test_log_chunks_come_when_the_watermark_has_passed(spark, tmp_path):
+    schema = "id string, type string, seq long, ts timestamp, chunk string"
+    rows = [("j", "stdout", i, DAY + pd.Timedelta(milliseconds=300 * i), f"c{i}") for i in range(40)]
+    rows = [(*r[:3], r[3].to_pydatetime(), r[4]) for r in rows]
+    want = sorted((r.id, r.window_start, r.chunk) for r in T.log_chunks(spark.createDataFrame(rows, schema), "1 second").collect())
+    for files in (1, 3):
+        df = T.log_chunks(stream(spark, tmp_path, rows, schema, files), "1 second", watermark="2 seconds")
+        got = sorted((r.id, r.window_start, r.chunk) for r in T.run_available(df, f"t_{uuid.uuid4().hex}").collect())
+        assert got == want[: len(got)] and len(got) == 9
