@@ -9,14 +9,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from jobscope.llm.common import shared_dir, table
-from jobscope.llm.decontaminate import clean
 from jobscope.llm.language_id import accepted
-from jobscope.llm.near_dedup import near_duplicates
 from jobscope.llm.sampled_pieces import default_model, samples
-from jobscope.llm.substring_dedup import remove_repeats
+from jobscope.llm.stages import without_benchmark, without_near_duplicates, without_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,21 +22,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id.
-
-    Rows that repeat a doc_id are one document, of which the row with the
-    smallest text stays.  Rows without id, and without words, all stay.
-    """
-    found = near_duplicates(docs)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi")
-    row = F.struct("text", *(c for c in docs.columns if c != "text"))
-    once = once.groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*").select(*docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """One document of each group of near duplicates, that of the smallest id;
+    rows without an id of their own come after, and are compared like others."""
+    return without_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,15 +32,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document that loses all its words stays with an empty text.
     """
-    rest = [c for c in docs.columns if c != "text"]
-    out = remove_repeats(docs, keep=rest).select("row.*", "n_removed", "text")
-    chars = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in rest else {}
-    return out.withColumns(chars).select(*docs.columns)
+    return without_repeats(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return clean(docs, table(spark, sf_dir, "benchmark"))
+    return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
