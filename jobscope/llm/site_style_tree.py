@@ -6,9 +6,11 @@ distinct pages it occurs, the styles (sequences of child elements) it has
 there, and the content features (texts) of its blocks.  A branch whose style
 and content hardly vary over the host's pages has low importance and goes from
 each page.  What a page's own markup names as menu, advert, form and so on goes
-without statistics, which a host with a few pages cannot give; and the
-paragraphs of a page's article, where it marks one, are never judged by how
-often the host repeats them, as copies of an article are still articles.
+without statistics, which a host with a few pages cannot give: by whole class
+words, but neither on ``html`` and ``body`` nor on what surrounds the article, and
+on no paragraph or heading of it.  The paragraphs of a page's article, where it
+marks one, are never judged by how often the host repeats them: a line that
+many articles share is part of each, and copies of an article are articles.
 """
 
 from __future__ import annotations
@@ -53,9 +55,21 @@ NAMED = re.compile(
 MAIN_NAMED = re.compile(r"(?:^|[\s_-])(?:article-?body|post-?content|entry-?content|article-?content|main-?content|story-?body)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|--!>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|$)", re.S)
+#: Whether an element is out of the article: not, by the name of its class (unless the article is inside), or surely.
+NOT, BY_NAME, SURELY = range(3)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)(?!\s*=\s*[\"']?false)", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+#: Class words that say that something is there or not, and nothing of the element itself.
+ABOUT = re.compile(r"^(?:has|no|with|without|is|not|js|hide|show|hidden|toggle|open|t)[-_]", re.I)
+#: Elements of an article's own text.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table tbody thead tr td th ul ol li dl dt dd figure figcaption header".split())
+
+def named(label: str) -> bool:
+    return any(NAMED.search(word) and not ABOUT.match(word) for word in label.split())
+
+
 class Block:
     __slots__ = ("node", "text", "main", "out", "kept")
 
@@ -70,7 +84,7 @@ class Page:
         self.blocks: list[Block] = []
         self.styles: dict[str, list[str]] = {}
         # of the open structural elements: tag, path, in main, out of the article by markup, protected
-        self.open = [("", "", False, False, False)]
+        self.open = [("", "", False, NOT, False)]
         self.block: Block | None = None
         self.has_main = False
         self._read(source)
@@ -95,11 +109,15 @@ class Page:
         role = names.get("role", "").lower()
         is_main = tag in ("article", "main") or role in ("main", "article") or names.get("itemprop") == "articleBody" or bool(label and MAIN_NAMED.search(f" {label} "))
         comment = bool(label and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", label, re.I))
-        if is_main and not comment and not out:
-            main = self.has_main = True
-        else:
-            out = out or tag in BOILERPLATE and not (tag == "header" and main) or role in ROLES or names.get("aria-hidden") == "true" or bool(label and NAMED.search(label))
-        kept = main and (is_main or tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table", "tbody", "thead", "tr", "td", "th", "ul", "ol", "li", "dl", "dt", "dd", "figure", "figcaption", "header")) and (kept or is_main)
+        if is_main and not comment and out != SURELY:
+            main, out = True, NOT  # what surrounds the article may be called anything
+            self.has_main = True
+        elif out != SURELY:
+            if tag in BOILERPLATE and not (tag == "header" and main) or role in ROLES or names.get("aria-hidden") == "true" or HIDDEN.search(attributes):
+                out = SURELY
+            elif label and tag not in ("html", "body") and not (main and tag in TEXTUAL) and named(label):
+                out = SURELY if main or comment else BY_NAME
+        kept = main and (is_main or tag in TEXTUAL) and (kept or is_main)
         name = tag if not label else f"{tag}.{label}"
         style = self.styles.setdefault(path, [])
         if not style or style[-1] != name:

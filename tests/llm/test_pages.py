@@ -20,6 +20,13 @@ CASES = [
     ("<main><p>a &lt;b&gt; &#233; &eacute;</p><!-- hidden <p>x</p> --><p>c</p></main>", "a <b> é é c"),
     ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", "one two x y"),
     ("", ""),
+    ("<div class='wrap no-sidebar'><main><p>kept</p></main></div>", "kept"),
+    ("<div class='sidebar-layout menu'><nav>n</nav><article><p>inside a named wrapper</p></article><p>beside</p></div>", "inside a named wrapper"),
+    ("<article><p class='notice'>a paragraph's class is no proof</p><div class='ad'>ad</div><h2 class='banner'>head</h2></article>", "a paragraph's class is no proof head"),
+    ("<article><p>seen</p><div hidden><p>unseen</p></div><div hidden=''>unseen</div><div data-hidden='x'>seen too</div></article>", "seen seen too"),
+    ("<aside><article><p>teaser</p></article></aside><article><p>story</p></article>", "story"),
+    ("<div id='comments'><article class='comment'><p>reply</p></article></div><p>no main article</p>", "no main article"),
+    ("<p>free</p><div class='has-menu'>text</div><div class='cookie-notice'>ok?</div>", "free text"),
 ]
 
 
@@ -32,6 +39,53 @@ def test_cases(spark):
     assert got[100] == "" and got[101] == "" and got[None] == "free" and got[102] == "unclosed and & so <"
 
 
+def test_classes_of_the_whole_page_say_nothing(spark):
+    rows = [(1, "http://a.example/", "<body class='single-post has-sidebar menu'><article><p>one</p></article></body>"), (2, "http://a.example/", "<html class='nav'><body id='login'><p>two</p></body></html>")]
+    assert {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: "one", 2: "two"}
+
+
+def test_the_trees_importance_against_brute_force(spark):
+    """Content 1 - log_m(c) and the entropy of the parent's styles, by host, computed from the pages' blocks."""
+    import math
+    from collections import Counter, defaultdict
+
+    from jobscope.llm import site_style_tree as T
+
+    rng = random.Random(4)
+    pages = []
+    for host in ("a.example", "b.example", "c.example"):
+        for i in range({"a.example": 14, "b.example": 7, "c.example": 4}[host]):
+            parts = [f"<div class='x{k}'>{rng.choice(['same', 'same', 'other', f'own {i} {k}'])}</div>" for k in range(5) if rng.random() < 0.8]
+            pages.append((len(pages), f"http://{host}/{i}", page("".join(parts) + f"<div class='body'>page {host} {i}</div>")))
+    df = spark.createDataFrame([(i, hash(u.split("/")[2]) % 1000, h) for i, u, h in pages], "page long, host long, html string").select("host", "page", "html")
+    features = df.mapInArrow(T._features, "host long, page long, node long, feature long, block long").distinct()
+    got = {(r.page, b) for r in T.low_branches(features).collect() for b in r.without}
+    of, styles, blocks = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(Counter)), []
+    for i, u, h in pages:
+        host, p = u.split("/")[2], T.Page(h)
+        parents = set()
+        for b in p.judged():
+            if t := p.text(b):
+                node = p.blocks[b].node
+                of[host][node].add((i, t))
+                blocks.append((host, i, b, node, t))
+                parents.add(node.rpartition("/")[0])
+        for node in parents:
+            styles[host][node][tuple(p.styles[node])] += 1
+    want = set()
+    for host, i, b, node, t in blocks:
+        m = len({x for x, _ in of[host][node]})
+        if m < T.LEAST_PAGES:
+            continue
+        c = len({x for x, s in of[host][node] if s == t})
+        n = styles[host][node.rpartition("/")[0]]
+        total = sum(n.values())
+        look = -sum(v / total * math.log(v / total) for v in n.values()) / math.log(total) if total > 1 else 1.0
+        if (1 - T.GAMMA) * look + T.GAMMA * (1 - math.log(c) / math.log(m)) < T.LEAST_IMPORTANCE:
+            want.add((i, b))
+    assert got == want and 10 < len(want) < len(blocks)
+
+
 def test_the_sites_tree_finds_unmarked_boilerplate(spark):
     rng = random.Random(1)
     words = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
