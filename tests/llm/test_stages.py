@@ -36,7 +36,7 @@ def docs(spark, rows):
 
 def keys(docs):
     """{(id, text): key} as the stage gives them."""
-    out = {(r.row.doc_id, r.row.text): r.doc_id for r in stages.keyed(docs).collect()}
+    out = {(r.rest.own.doc_id, r.text): r.doc_id for r in stages.keyed(docs).collect()}
     ids = [r[0] for r in out]
     for (i, _), k in out.items():
         assert (k == i) == (i is not None and ids.count(i) == 1 and k < stages.BEYOND)
@@ -115,3 +115,9 @@ def test_benchmark_items_go_whatever_the_id(spark, docs):
 @pytest.mark.parametrize("stage", [stages.without_near_duplicates, stages.without_repeats])
 def test_empty_tables(spark, stage):
     assert stage(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_repeated_ids_are_joined(docs, monkeypatch):
+    few = {(r.doc_id, r.text) for r in stages.keyed(docs).collect()}
+    monkeypatch.setattr(stages, "FEW", 1)
+    assert {(r.doc_id, r.text) for r in stages.keyed(docs).collect()} == few
