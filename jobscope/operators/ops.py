@@ -52,6 +52,22 @@ def job_io(items: DataFrame, job: str = "job_id", nbytes: str = "bytes", secs: s
     ).withColumn("rate", F.try_divide(F.col("total_bytes"), F.nullif(F.col("total_seconds"), F.lit(0.0))))
 
 
+def append_step_metrics(jobs: DataFrame, metrics: DataFrame, job: str = "job_id", inputs: str = "inputs_localized",
+                        products: str = "products_staged", download: str = "download", upload: str = "upload") -> DataFrame:
+    """The transfers that a job's own steps report (``metrics``: arrays of
+    the same structs, any number of rows a job) behind those the worker made."""
+    def joined(c: str):
+        return F.sort_array(F.flatten(F.collect_list(c)))
+
+    m = metrics.groupBy(job).agg(joined(download).alias("_down"), joined(upload).alias("_up"))
+
+    def both(own: str, more: str) -> Column:
+        none = F.array().cast(jobs.schema[own].dataType)
+        return F.concat(F.coalesce(F.col(own), none), F.coalesce(F.col(more).cast(jobs.schema[own].dataType), none))
+
+    return jobs.join(m, job, "left").withColumns({inputs: both(inputs, "_down"), products: both(products, "_up")}).drop("_down", "_up")
+
+
 def orphan_object_counts(objects: DataFrame, bucket: str = "bucket") -> DataFrame:
     """Objects per bucket, largest first."""
     return objects.groupBy(bucket).agg(F.count(F.lit(1)).alias("n_objects")).orderBy(F.desc("n_objects"), F.asc(bucket))

@@ -62,6 +62,22 @@ def a7_job_io(spark, sf):
     return O.job_io(A.products(spark, sf).select("job_id", "bytes", "seconds"))
 
 
+@register("a7_step_metrics", with_adapters("""
+SELECT job_id, count(*) FILTER (WHERE flag = 'R' OR flag = 'A' AND n % 2 = 1) AS n_inputs, count(*) FILTER (WHERE flag = 'N' OR flag = 'A' AND n % 2 = 0) AS n_products,
+       CAST(coalesce(sum(partkey) FILTER (WHERE flag = 'R' OR flag = 'A' AND n % 2 = 1), 0) AS BIGINT) AS input_keys
+FROM products GROUP BY job_id HAVING count(*) FILTER (WHERE flag <> 'A') > 0"""))
+def a7_step_metrics(spark, sf):
+    """jobs' transfers with those their steps report (returned products of
+    the adapted data are inputs, accepted ones what the steps moved)."""
+    p = A.products(spark, sf)
+    one = F.struct("url", "partkey")
+    jobs = p.where("flag <> 'A'").groupBy("job_id").agg(F.collect_list(F.when(F.col("flag") == "R", one)).alias("inputs_localized"), F.collect_list(F.when(F.col("flag") == "N", one)).alias("products_staged"))
+    metrics = p.where("flag = 'A'").select("job_id", F.array_compact(F.array(F.when(F.col("n") % 2 == 1, one))).alias("download"), F.array_compact(F.array(F.when(F.col("n") % 2 == 0, one))).alias("upload"))
+    out = O.append_step_metrics(jobs, metrics)
+    return out.select("job_id", F.size("inputs_localized").cast("long").alias("n_inputs"), F.size("products_staged").cast("long").alias("n_products"),
+                      F.aggregate("inputs_localized", F.lit(0).cast("long"), lambda a, x: a + x["partkey"]).alias("input_keys"))
+
+
 @register(
     "a8_orphan_object_counts",
     with_adapters("SELECT bucket, count(*) AS n_objects FROM paths GROUP BY bucket"),
