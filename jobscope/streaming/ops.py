@@ -27,7 +27,7 @@ from jobscope.functions.columns import failure_class
 from jobscope.operators.drain import STATE, drained
 from jobscope.operators.metrics import kind_of_path, parse_metric_lines
 from jobscope.operators.ranges import neighbour
-from jobscope.session import checkpoint_dir
+from jobscope.session import DEFAULT_CONF, checkpoint_dir
 from jobscope.streaming import processors as P
 
 
@@ -63,12 +63,20 @@ def latest_output(out: DataFrame, key: str) -> DataFrame:
     return out.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(key, "_row.*")
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """List state and timers need the RocksDB provider, whatever session the caller has."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name, None) != DEFAULT_CONF[name]:
+        spark.conf.set(name, DEFAULT_CONF[name])
+
+
 def _seq(events: DataFrame) -> list[str]:
     return ["seq"] if "seq" in events.columns else []
 
 
 def _compacted(events: DataFrame, key: str, slot_secs: int, delay: str, keep: Callable, by: Sequence[str]) -> DataFrame:
     """Events with a time and a watermark, of each (key, slot of ``slot_secs``) and batch those that ``keep`` picks."""
+    use_rocksdb(events.sparkSession)
     ev = events.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
     columns, schema = ev.columns, ev.schema
     ev = ev.withColumn("_slot", F.floor(F.unix_micros("ts") / (slot_secs * 1_000_000)))
