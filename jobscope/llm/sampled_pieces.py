@@ -2,7 +2,7 @@
 
 A text's lattice falls into units (a run of the space sign and what follows up to
 the next), as no piece crosses their borders.  Each distinct unit's lattice is
-built once for a slice of texts: edges are the model's pieces, a character
+built once for a slice of texts, and kept for later ones: edges are the model's pieces, a character
 without one is spelled in bytes, and sums from the end backwards give the
 probability of every edge.
 
@@ -37,9 +37,13 @@ K = 2
 FAINT = 38.0
 #: A piece of rank r in a BPE model weighs 1 / (r + SHIFT), as words of a language do.
 SHIFT = 10.0
+#: Units whose masses are looked at first.
+NEAR = 64
 SPACE = "▁"
 #: Code points handled at once (a longer document is a slice of its own).
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 1 << 18
+#: States of the lattices that a task keeps from slice to slice.
+KNOWN_STATES = 5 << 18
 
 
 class Pieces:
@@ -67,16 +71,41 @@ class Pieces:
         keys = np.array([h_chars(h, char_sums(h, np.frombuffer(self.text[i].encode("utf-32-le"), "<u4")), np.array([0]), np.array([len(self.text[i])]))[0] for i in normal], np.uint64)
         length = np.array([len(self.text[i]) for i in normal])
         self.longest = int(length.max())
-        #: Which of 2**20 hash values any piece has: most other strings are told by that.
-        self.some = np.zeros(1 << 20, bool)
-        self.some[keys >> np.uint64(44)] = True
-        self.by_length = {}
-        for size in np.unique(length):
-            at = np.flatnonzero(length == size)
-            at = at[np.argsort(keys[at])]
-            self.by_length[int(size)] = (keys[at], normal[at], weight[at])
+        self.keys, self.ids, self.weight = keys, normal, weight
+        #: Of each of 2**20 hash values a piece that has it, and of each piece the next one: most strings are told by a look.
+        self.slot, self.next = np.full(1 << 20, -1, np.int32), np.full(len(keys), -1, np.int32)
+        for j, v in enumerate((keys >> np.uint64(44)).tolist()):
+            self.next[j], self.slot[v] = self.slot[v], j
+        #: Which of them any beginning of a longer piece has: a place is left once no piece can go on from it.
+        self.goes_on = np.zeros(1 << 20, bool)
+        at = np.concatenate([[0], np.cumsum(length)])
+        sums = char_sums(h, np.frombuffer("".join(self.text[i] for i in normal).encode("utf-32-le"), "<u4"))
+        for n in range(1, self.longest):
+            some = at[:-1][length > n]
+            self.goes_on[h_chars(h, sums, some, some + n) >> np.uint64(44)] = True
+        self.lengths = set(length.tolist())
+        self._spelling: dict[int, np.ndarray] = {}
         self.bytes_text = [bytes([int(t[1:-1], 16)]) if sp.is_byte(i) else t.encode() for i, t in enumerate(self.text)]
 
+    def find(self, marks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are a piece's, and its place; ``first`` holds ``slot`` of each."""
+        at = np.flatnonzero(first >= 0)
+        piece = first[at]
+        while True:
+            other = np.flatnonzero((self.keys[piece] != marks[at]) & (piece >= 0))
+            if not len(other):
+                hit = np.flatnonzero(piece >= 0)
+                return at[hit], piece[hit]
+            piece[other] = self.next[piece[other]]
+
+    def spelling(self, char: int) -> np.ndarray:
+        """The pieces of a code point that is no piece itself."""
+        if char not in self._spelling:
+            if len(self._spelling) >= 1 << 16:
+                self._spelling.clear()
+            self._spelling[char] = np.array([self.byte[b] for b in chr(char).encode("utf-8", "surrogatepass")] if self.byte else [self.unknown], np.int64)
+        return self._spelling[char]
+
     def decode(self, ids) -> str:
         """The text of piece ids: space signs are spaces, but for the one that encoding puts first."""
         out = b"".join([self.bytes_text[i] for i in ids]).decode(errors="replace").replace(SPACE, " ")
@@ -116,21 +145,22 @@ class Lattices:
         source, length, piece, weight = [], [], [], []
         single = np.zeros(total, bool)
         sums = char_sums(h, own)
-        for n, (keys, ids, w) in model.by_length.items():
-            at = np.flatnonzero(left >= n)
-            if not len(at):
-                continue
-            mark = h_chars(h, sums, at, at + n)
-            may = np.flatnonzero(model.some[mark >> np.uint64(44)])
-            at, mark = at[may], mark[may]
-            place = np.minimum(np.searchsorted(keys, mark), len(keys) - 1)
-            hit = np.flatnonzero(keys[place] == mark)
-            source.append(at[hit])
-            length.append(np.full(len(hit), n))
-            piece.append(ids[place[hit]])
-            weight.append(w[place[hit]])
-            if n == 1:
-                single[at[hit]] = True
+        places = np.arange(total)
+        for n in range(1, model.longest + 1):
+            places = places[left[places] >= n]
+            if not len(places):
+                break
+            mark = h_chars(h, sums, places, places + n)
+            short = mark >> np.uint64(44)
+            if n in model.lengths:
+                hit, found = model.find(mark, model.slot[short])
+                source.append(places[hit])
+                length.append(np.full(len(hit), n))
+                piece.append(model.ids[found])
+                weight.append(model.weight[found])
+                if n == 1:
+                    single[places[hit]] = True
+            places = places[model.goes_on[short]]
         bare = np.flatnonzero(~single)  # spelled in bytes: piece -1 less the code point
         source.append(bare)
         length.append(np.ones(len(bare), np.int64))
@@ -179,6 +209,50 @@ class Lattices:
         if len(p):
             self.other[first] = np.add.reduceat(rest, first)
 
+
+class Known:
+    """Lattices of a task's units: those met first are kept, as far as KNOWN_STATES
+    go, and behind them stand those that only the slice at hand has."""
+
+    #: Of each array what it counts along, what its numbers are places of, and its type.
+    ARRAYS = {"start": ("unit", "state", np.int64), "end": ("unit", "state", np.int64), "mark": ("unit", None, np.uint64),
+              "first": ("state", "edge", np.int64), "count": ("state", None, np.int32), "to": ("edge", "state", np.int32),
+              "piece": ("edge", None, np.int32), "logp": ("edge", None, np.float64), "upto": ("edge", None, np.float64), "other": ("edge", None, np.float64)}
+
+    def __init__(self):
+        self.kept = {"unit": 0, "state": 0, "edge": 0}
+        for name, (_, _, kind) in self.ARRAYS.items():
+            setattr(self, name, np.zeros(1, kind))
+        #: Of each of 2**20 hash values a unit that has it.
+        self.slot = np.full(1 << 20, -1, np.int32)
+
+    def units(self, model: Pieces, chars: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each unit, a range of ``chars``, after the lattices of new ones have been built."""
+        h = W.hasher(2)
+        mark = h_chars(h, char_sums(h, chars), begin, begin + size)
+        unit = self.slot[mark >> np.uint64(44)].astype(np.int64)
+        new = np.flatnonzero((unit < 0) | (self.mark[unit] != mark))
+        if len(new):
+            marks, one, number = np.unique(mark[new], return_index=True, return_inverse=True)
+            unit[new] = self.kept["unit"] + number
+            one = new[one]
+            self.add(Lattices(model, chars, begin[one], size[one]), marks)
+        return unit
+
+    def add(self, lat: Lattices, marks: np.ndarray) -> None:
+        lat.mark = marks
+        for name, (along, places, _) in self.ARRAYS.items():
+            own, a, n = getattr(lat, name), getattr(self, name), self.kept[along]
+            if len(a) < n + len(own):
+                grown = np.empty(max(n + len(own), n + n // 2), a.dtype)
+                grown[:n] = a[:n]
+                setattr(self, name, grown)
+                a = grown
+            a[n : n + len(own)] = own + self.kept[places] if places else own
+        if self.kept["state"] + len(lat.first) <= KNOWN_STATES:
+            self.slot[marks >> np.uint64(44)] = self.kept["unit"] + np.arange(len(marks))
+            self.kept = {"unit": self.kept["unit"] + len(marks), "state": self.kept["state"] + len(lat.first), "edge": self.kept["edge"] + len(lat.to)}
+
     def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each state, by its probability."""
         e = self.first[at]
@@ -196,7 +270,7 @@ def uniform(key: np.ndarray, *more) -> np.ndarray:
     return ((key >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def walk(lat: Lattices, unit: np.ndarray, seed: np.ndarray):
+def walk(lat: Known, unit: np.ndarray, seed: np.ndarray):
     """Sample a segmentation of each unit occurrence: (edges, first edge of each, log p, probability of all others)."""
     n = len(unit)
     at = lat.start[unit]
@@ -221,7 +295,7 @@ def walk(lat: Lattices, unit: np.ndarray, seed: np.ndarray):
     return out, first, logp, other
 
 
-def _edges(lat: Lattices, state: int, taken: list) -> tuple[int, list, dict]:
+def _edges(lat: Known, state: int, taken: list) -> tuple[int, list, dict]:
     """The first edge out of a state, the probability of each less that of ``taken``, and what follows the taken ones."""
     e = int(lat.first[state])
     p = np.exp(lat.logp[e : e + int(lat.count[state])]).tolist()
@@ -233,7 +307,7 @@ def _edges(lat: Lattices, state: int, taken: list) -> tuple[int, list, dict]:
     return e, p, by
 
 
-def _free(lat: Lattices, state: int, taken: list) -> float:
+def _free(lat: Known, state: int, taken: list) -> float:
     """Probability from ``state`` on of all segmentations but those in ``taken`` (edge tuples)."""
     if not taken:
         return 1.0
@@ -242,7 +316,7 @@ def _free(lat: Lattices, state: int, taken: list) -> float:
     return sum(_edges(lat, state, taken)[1])
 
 
-def _other_than(lat: Lattices, unit: int, taken: list, key: np.uint64) -> list:
+def _other_than(lat: Known, unit: int, taken: list, key: np.uint64) -> list:
     """Sample a segmentation of a unit that is not in ``taken``."""
     state, end, path, k = int(lat.start[unit]), int(lat.end[unit]), [], 0
     while state != end:
@@ -276,13 +350,19 @@ class Search:
     def __init__(self, key: int, units: np.ndarray, k: int = K):
         self.key, self.units, self.heap, self.n, self.cuts, self.k = np.uint64(key), units, [], 0, 0, k
 
-    def cut(self, lat: Lattices, x: Sample, g: float, begin: int, taken: list) -> None:
+    def cut(self, lat: Known, x: Sample, g: float, begin: int, taken: list) -> None:
         """Cut the region of ``x``, whose maximum is g: from unit ``begin`` on free, where ``taken`` is excluded."""
         w = len(self.units)
         if begin >= w:
             return
-        before = np.concatenate([[0.0], np.cumsum(x.logp)[:-1]])[begin:]
-        before = before[: int(np.searchsorted(-before, FAINT - before[0], "right"))]
+        near = begin + NEAR
+        while True:  # a few units on, what follows is faint
+            before = np.concatenate([[0.0], np.cumsum(x.logp[:near])])[begin:min(near, w)]
+            some = int(np.searchsorted(-before, FAINT - before[0], "right"))
+            if some < len(before) or near >= w:
+                break
+            near = begin + 4 * (near - begin)
+        before = before[:some]
         mass = x.other[begin : begin + len(before)].copy()
         own = tuple(x.edges[x.first[begin] : x.first[begin + 1]])
         if taken:
@@ -291,7 +371,7 @@ class Search:
         if not len(some):
             return
         phi = before[some] + np.log(mass[some])
-        u = uniform(np.full(len(some), self.key), 1_000_003 + self.cuts, begin + some)
+        u = uniform(np.array([self.key]), 1_000_003 + self.cuts, begin + some)
         top = -np.logaddexp(-g, np.log(-np.log(u)) - phi)
         # only the k + 1 best of a text's regions can ever be chosen, or bound the samples
         for i in np.argpartition(-top, min(self.k, len(top) - 1))[: self.k + 1]:
@@ -316,8 +396,9 @@ def _slices(batches):
         yield ids, own
 
 
-def sample_slice(model: Pieces, own: list[str], keys: np.ndarray, k: int):
+def sample_slice(model: Pieces, own: list[str], keys: np.ndarray, k: int, known: Known | None = None):
     """For each text its samples: (piece ids, log p, perturbed log p, inclusion probability), best first."""
+    lat = known or Known()
     joined = [SPACE + t.replace(" ", SPACE) if t else "" for t in own]
     chars = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), "<u4")
     off = np.concatenate([[0], np.cumsum([len(j) for j in joined])])
@@ -328,9 +409,7 @@ def sample_slice(model: Pieces, own: list[str], keys: np.ndarray, k: int):
     begin = np.flatnonzero(first)
     size = np.diff(np.append(begin, len(chars)))
     row_units = np.searchsorted(begin, off)
-    mark = h_chars(W.hasher(2), char_sums(W.hasher(2), chars), begin, begin + size)
-    _, one, unit = np.unique(mark, return_index=True, return_inverse=True)
-    lat = Lattices(model, chars, begin[one], size[one])
+    unit = lat.units(model, chars, begin, size)
 
     rows = len(own)
     searches = [Search(int(keys[r]), unit[row_units[r] : row_units[r + 1]], k) for r in range(rows)]
@@ -398,8 +477,7 @@ def _spelled(model: Pieces, ids: np.ndarray, bare: np.ndarray) -> np.ndarray:
     parts, last = [], 0
     for i in bare:
         parts.append(ids[last:i])
-        char = chr(-1 - int(ids[i]))
-        parts.append(np.array([model.byte[b] for b in char.encode("utf-8", "surrogatepass")] if model.byte else [model.unknown], np.int64))
+        parts.append(model.spelling(-1 - int(ids[i])))
         last = i + 1
     return np.concatenate([*parts, ids[last:]])
 
@@ -411,11 +489,11 @@ def _lists(found) -> pa.ListArray:
 
 def sampler(path: str, k: int, with_ids: bool):
     def sample(batches):
-        model = pieces(path)
+        model, known = pieces(path), Known()
         for ids, own in _slices(batches):
             keys = W.mix(np.array([-1 if i is None else i for i in ids], np.int64).view(np.uint64) + np.uint64(0x5EED))
             out = []
-            for i, t, got in zip(ids, own, sample_slice(model, own, keys, k), strict=True):
+            for i, t, got in zip(ids, own, sample_slice(model, own, keys, k, known), strict=True):
                 for n, (found, logp, g, q) in enumerate(got):
                     raw = found.tobytes()
                     out.append((i, n, len(found), logp, g, q, zlib.crc32(raw), model.decode(found.tolist()) == t, found if with_ids else None))
