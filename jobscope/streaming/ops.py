@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobscope import TERMINAL_JOB_STATUSES
@@ -74,20 +74,35 @@ def _seq(events: DataFrame) -> list[str]:
     return ["seq"] if "seq" in events.columns else []
 
 
+#: Buckets that keys, and slots of keys, are dealt to: a call of a processor and a list in the state store each.
+BUCKETS = 4096
+
+
+def _bucket(*columns: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS))
+
+
 def _compacted(events: DataFrame, key: str, slot_secs: int, delay: str, keep: Callable, by: Sequence[str]) -> DataFrame:
-    """Events with a time and a watermark, of each (key, slot of ``slot_secs``) and batch those that ``keep`` picks."""
+    """Events with a time and a watermark, of each (key, slot of ``slot_secs``) and batch those that ``keep`` picks.
+
+    A slot of a key lies in one bucket, which a call of the processor takes whole.
+    """
     use_rocksdb(events.sparkSession)
     ev = events.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
     columns, schema = ev.columns, ev.schema
-    ev = ev.withColumn("_slot", F.floor(F.unix_micros("ts") / (slot_secs * 1_000_000)))
+    ev = ev.withColumn("_bucket", _bucket(key, F.floor(F.unix_micros("ts") / (slot_secs * 1_000_000))))
     by = [c for c in by if c in columns]
-    return ev.groupBy(key, "_slot").transformWithStateInPandas(P.Compact(keep, by, columns), schema, "append", "eventTime", eventTimeColumnName="ts")
+    return ev.groupBy("_bucket").transformWithStateInPandas(P.Compact(keep, by, columns, key, slot_secs), schema, "append", "eventTime", eventTimeColumnName="ts")
 
 
 def _stateful(events: DataFrame, key: str, processor: P.Keyed, schema: str) -> DataFrame:
     return events.groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime")
 
 
+def _in_buckets(events: DataFrame, key: str, processor: P.Bucket, schema: str) -> DataFrame:
+    return _stateful(events.withColumn("_bucket", _bucket(key)), "_bucket", processor, schema)
+
+
 # ---------------------------------------------------------------- T1 -----
 
 
@@ -124,7 +139,7 @@ def stream_first_by_hash(specs: DataFrame, ttl_secs: int = 86400, hash_col: str
     hash's current first submission, removed when the watermark passes its TTL."""
     ev = specs.select(F.col(hash_col).alias("payload_hash"), F.col(id_col).alias("payload_id"), "ts", *_seq(specs))
     ev = _compacted(ev, "payload_hash", max(1, ttl_secs // 24), f"{ttl_secs} seconds", P.first_of_each_time, ["ts", "seq", "payload_id"])
-    return _stateful(ev, "payload_hash", P.FirstByHash(ttl_secs), FIRST_SCHEMA)
+    return _in_buckets(ev, "payload_hash", P.FirstByHash(ttl_secs, "payload_hash"), FIRST_SCHEMA)
 
 
 # ------------------------------------------------------------ T3, T4 -----
@@ -162,7 +177,7 @@ def stream_timeouts(events: DataFrame, timeout_secs: int, key: str = "payload_id
     comes within ``timeout`` of it does not start it again (A2)."""
     ev = events.select(F.col(key).alias("key"), "status", "ts", *_seq(events))
     ev = _compacted(ev, "key", timeout_secs, f"{timeout_secs} seconds", P.ends_of_work, ["ts", "seq"])
-    return _stateful(ev, "key", P.Timeouts(timeout_secs), TIMEOUT_SCHEMA)
+    return _in_buckets(ev, "key", P.Timeouts(timeout_secs, "key"), TIMEOUT_SCHEMA)
 
 
 # ---------------------------------------------------------------- T5 -----
@@ -183,7 +198,7 @@ def stream_failed_tasks(task_events: DataFrame, job_events: DataFrame, grace_sec
         "uuid", F.lit(True).alias("terminal"), "ts", F.lit(None).cast("string").alias("exception"),
         F.lit(None).cast("string").alias("cls"))
     ev = _compacted(t.unionByName(j), "uuid", grace_secs, f"{grace_secs} seconds", P.failures_and_ends, ["ts"])
-    return _stateful(ev, "uuid", P.FailedTasks(grace_secs, keep_secs), FAIL_SCHEMA)
+    return _in_buckets(ev, "uuid", P.FailedTasks(grace_secs, keep_secs, "uuid"), FAIL_SCHEMA)
 
 
 # ---------------------------------------------------------------- T6 -----

@@ -1,17 +1,20 @@
 """Stateful processors of the keyed streams T2-T5.
 
-A key's rows of a micro-batch come in two levels.  ``Compact`` is keyed by
-(key, time slot): it sorts the slot's rows and passes on those that a state
-machine could tell from the rest, whatever state it is in; it keeps no state.
-So a key that holds a large share of a micro-batch is dealt out by slot.  The
-processor of the key then gets a few rows for each slot (its docstring says
-which), and keeps value and list state in the state store with event-time
-timers.  What it does depends on the order of a batch's rows by time, not on
-how they arrive.
+A key's rows of a micro-batch come in two levels.  ``Compact`` sorts the rows
+of each (key, time slot) and passes on those that a state machine could tell
+from the rest, whatever state it is in; it keeps no state.  So a key that holds
+a large share of a micro-batch is dealt out by slot.  The processor of the key
+then gets a few rows for each slot (its docstring says which), and keeps state
+in the state store with event-time timers.  What it does depends on the order
+of a batch's rows by time, not on how they arrive.
+
+A call of a processor costs milliseconds, so with many keys (T2, T4, T5) and
+slots a call takes a bucket of them, and steps through its keys (``Bucket``).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,18 +40,43 @@ def ordered(pdfs: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pdf.sort_values([c for c in by if c in pdf.columns], kind="stable", ignore_index=True)
 
 
+def numbered(pdfs: Iterator[pd.DataFrame], key: str | None) -> Iterator[pd.DataFrame]:
+    """The rows with the number of their key as ``_k`` (null is a key of its own; without ``key`` all have one)."""
+    pdf = pd.concat(list(pdfs), ignore_index=True)
+    yield pdf.assign(_k=pd.factorize(pdf[key], use_na_sentinel=False)[0] if key else 0)
+
+
+def borders(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before in any of the columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def segments(n: int, new: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last row of each segment, and the segment of each row."""
+    if new is None:
+        new = np.arange(n) == 0
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:] - 1, n - 1), np.cumsum(new) - 1
+
+
 class Compact(StatefulProcessor):
-    """Of the rows of a (key, slot) in a batch, sorted by ``by``, those at the places that ``keep`` gives."""
+    """Of the rows of a (key, slot) in a batch, sorted by ``by``, those at the places that ``keep`` gives.
+
+    With ``key`` a call has the rows of many keys and slots (of ``slot`` seconds), and ``keep`` gets which rows are the first of one.
+    """
 
-    def __init__(self, keep: Callable[[pd.DataFrame], np.ndarray], by: list[str], columns: list[str]):
-        self.keep, self.by, self.columns = keep, by, columns
+    def __init__(self, keep: Callable[..., np.ndarray], by: list[str], columns: list[str], key: str | None = None, slot: int = 1):
+        self.keep, self.by, self.columns, self.key, self.slot = keep, by, columns, key, slot
 
     def init(self, handle) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = ordered(rows, self.by)
-        yield pdf[self.columns].iloc[np.unique(self.keep(pdf))]
+        pdf = ordered(numbered(rows, self.key), ["_k", *self.by])
+        new = borders(pdf["_k"].to_numpy(), micros(pdf["ts"]) // (self.slot * SECOND)) if self.key else None
+        yield pdf[self.columns].iloc[np.unique(self.keep(pdf, new))]
 
     def close(self) -> None:
         pass
@@ -79,44 +107,137 @@ class Keyed(StatefulProcessor):
         pass
 
 
-def first_of_each_time(pdf: pd.DataFrame) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], np.diff(micros(pdf["ts"])) > 0]))
+class Bucket(StatefulProcessor):
+    """Many keys with one event-time timer, for the earliest of what they wait for.
 
+    State: a list of rows, the first column the key.  ``step`` takes a key's
+    state rows and its new rows, ``lapse`` a key's state rows when the
+    watermark has passed what ``due`` gives; both return the state rows that
+    stay and the rows to emit, as ``columns`` behind the key.  Without ``key``
+    (the column) all rows are of the group's key.
+    """
 
-class FirstByHash(Keyed):
-    """T2.  Of a slot, the first row of each time.  State: the time of the current first submission."""
+    state: str
+    order: list[str]
+    columns: list[str]
 
-    def __init__(self, ttl_secs: int):
-        self.ttl = ttl_secs * SECOND
+    def __init__(self, key: str | None = None):
+        self.key = key
 
-    def open(self, handle) -> None:
-        self.first = handle.getValueState("first", "us long")
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "at long")
+        self.rows = handle.getListState("keys", f"key string, {self.state}")
+
+    def columns_of(self, pdf: pd.DataFrame) -> list[list]:
+        """What ``step`` needs of the rows, as lists."""
+        raise NotImplementedError
+
+    def step(self, known: list[tuple], lo: int, hi: int, *columns: list) -> tuple[list[tuple], list[tuple]]:
+        raise NotImplementedError
+
+    def due(self, known: list[tuple]) -> int:
+        """The time (ms) that the watermark has to pass for a key's state to lapse."""
+        raise NotImplementedError
+
+    def lapse(self, known: list[tuple], now: int) -> tuple[list[tuple], list[tuple]]:
+        raise NotImplementedError
+
+    def known(self) -> dict[str | None, list[tuple]]:
+        out: dict[str | None, list[tuple]] = {}
+        for k, *rest in self.rows.get() if self.rows.exists() else []:
+            out.setdefault(k, []).append(tuple(rest))
+        return out
+
+    def lapsed(self, known: dict, now: int, but: set) -> list[tuple]:
+        """Rows of the keys whose time is over; ``but`` have had rows just now."""
+        found = []
+        for k in [k for k, v in known.items() if v and k not in but and self.due(v) < now]:
+            known[k], rows = self.lapse(known[k], now)
+            found += [(k, *r) for r in rows]
+        return found
+
+    def keep(self, known: dict, now: int) -> None:
+        """Keep what is left, with a timer, which may not lie before the watermark, in place of any there is."""
+        left = [(k, *r) for k, v in known.items() for r in v]
+        self.rows.put(left) if left else self.rows.clear()
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+            self.timer.clear()
+        if left:
+            at = max(min(self.due(v) for v in known.values() if v), now + 1)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def frame(self, found: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(found, columns=self.columns, dtype=object)
+        return out.assign(**{c: stamps(out[c].astype("int64")) for c in self.columns if c in ("ts", "last_ts", "timed_out_at", "failed_at")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = ordered(rows, ["ts", "seq", "payload_id"])
-        us = micros(pdf["ts"])
-        first = self.first.get()[0] if self.first.exists() else None
-        at = 0 if first is None else int(np.searchsorted(us, first + self.ttl, "left"))
-        chosen = []
-        while at < len(us):  # one step per row that is kept
-            first = int(us[at])
-            chosen.append(at)
-            at = int(np.searchsorted(us, first + self.ttl, "left"))
-        self.first.update((first,))
-        self.arm((first + self.ttl) // 1000, timerValues)
-        if chosen:
-            yield pd.DataFrame({"payload_hash": key[0], "payload_id": pdf["payload_id"].iloc[chosen].to_numpy(), "ts": stamps(us[chosen])})
+        pdf = ordered(numbered(rows, self.key), ["_k", *self.order])
+        lists = self.columns_of(pdf)
+        first, last, _ = segments(len(pdf), borders(pdf["_k"].to_numpy()))
+        keys = [None if pd.isna(k) else k for k in pdf[self.key].iloc[first]] if self.key else [key[0]]
+        known, now, found = self.known(), timerValues.getCurrentWatermarkInMs(), []
+        for k, lo, hi in zip(keys, first.tolist(), last.tolist(), strict=True):
+            known[k], out = self.step(known.get(k, []), lo, hi + 1, *lists)
+            found += [(k, *r) for r in out]
+        found += self.lapsed(known, now, set(keys))
+        self.keep(known, now)
+        if found:
+            yield self.frame(found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.first.clear()
         self.timer.clear()
-        yield from ()
+        known, now = self.known(), timerValues.getCurrentWatermarkInMs()
+        found = self.lapsed(known, now, set())
+        self.keep(known, now)
+        if found:
+            yield self.frame(found)
 
+    def close(self) -> None:
+        pass
+
+
+def first_of_each_time(pdf: pd.DataFrame, new: np.ndarray | None = None) -> np.ndarray:
+    times = borders(micros(pdf["ts"]))
+    return np.flatnonzero(times if new is None else times | new)
+
+
+class FirstByHash(Bucket):
+    """T2.  Of a slot, the first row of each time.  State: the time of the current first submission."""
+
+    state, order, columns = "us long", ["ts", "seq", "payload_id"], ["payload_hash", "payload_id", "ts"]
+
+    def __init__(self, ttl_secs: int, key: str | None = None):
+        super().__init__(key)
+        self.ttl = ttl_secs * SECOND
+
+    def columns_of(self, pdf):
+        return [micros(pdf["ts"]).tolist(), pdf["payload_id"].tolist()]
+
+    def step(self, known, lo, hi, us, ids):
+        first = known[0][0] if known else None
+        at = lo if first is None else bisect_left(us, first + self.ttl, lo, hi)
+        chosen = []
+        while at < hi:  # one step per row that is kept
+            first = us[at]
+            chosen.append((ids[at], first))
+            at = bisect_left(us, first + self.ttl, lo, hi)
+        return [(first,)], chosen
+
+    def due(self, known):
+        return (known[0][0] + self.ttl) // 1000
+
+    def lapse(self, known, now):
+        return [], []
 
-def ends_of_stretches(pdf: pd.DataFrame) -> np.ndarray:
+
+def ends_of_stretches(pdf: pd.DataFrame, new: np.ndarray | None = None) -> np.ndarray:
     off = (pdf["status"] == "worker-offline").to_numpy()
-    turns = np.flatnonzero(off[1:] != off[:-1])
-    return np.concatenate([[0, len(off) - 1], turns, turns + 1])
+    first, last, at = segments(len(off), new)
+    turns = np.flatnonzero((off[1:] != off[:-1]) & (at[1:] == at[:-1]))
+    return np.concatenate([first, last, turns, turns + 1])
 
 
 class WorkerAlive(Keyed):
@@ -158,106 +279,87 @@ class WorkerAlive(Keyed):
         yield pd.DataFrame({"celery_hostname": [key[0]], "status": ["expired"], "ts": stamps([last + self.ttl])})
 
 
-def ends_of_work(pdf: pd.DataFrame) -> np.ndarray:
-    done = np.flatnonzero(np.isin(pdf["status"].to_numpy(), TERMINAL_JOB_STATUSES))
-    if not len(done):
-        return np.array([0, len(pdf) - 1])
-    return np.array([0, max(done[0] - 1, 0), done[0], done[-1]])
+def first_and_last(places: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ascending places the first and last in each segment, and which segments have any."""
+    which, i = np.unique(at[places], return_index=True)
+    return places[i], places[np.append(i[1:], len(places))[: len(i)] - 1], which
+
 
+def ends_of_work(pdf: pd.DataFrame, new: np.ndarray | None = None) -> np.ndarray:
+    first, last, at = segments(len(pdf), new)
+    begun, ended, which = first_and_last(np.flatnonzero(np.isin(pdf["status"].to_numpy(), TERMINAL_JOB_STATUSES)), at)
+    return np.concatenate([first, np.delete(last, which), np.maximum(begun - 1, first[which]), begun, ended])
 
-class Timeouts(Keyed):
+
+class Timeouts(Bucket):
     """T4.  Of a slot no longer than the timeout, the first row, the last one
     before a terminal status, and the first and last terminal one: what follows
     a terminal status in its slot is not watched, and no row before it is
     silent inside the slot.  State: the last row that is watched."""
 
-    def __init__(self, timeout_secs: int):
+    state, order, columns = "status string, us long, done boolean", ["ts", "seq"], ["key", "last_status", "last_ts", "timed_out_at"]
+
+    def __init__(self, timeout_secs: int, key: str | None = None):
+        super().__init__(key)
         self.limit = timeout_secs * SECOND
 
-    def open(self, handle) -> None:
-        self.last = handle.getValueState("last", "status string, us long, done boolean")
+    def columns_of(self, pdf):
+        return [micros(pdf["ts"]).tolist(), pdf["status"].tolist(), np.isin(pdf["status"].to_numpy(), TERMINAL_JOB_STATUSES).tolist()]
 
-    def rows(self, key, status, us) -> pd.DataFrame:
-        return pd.DataFrame({"key": key[0], "last_status": status, "last_ts": stamps(us), "timed_out_at": stamps(np.asarray(us) + self.limit)})
+    def step(self, known, lo, hi, us, status, done):
+        last = known[0] if known else None  # what was seen last stands before the new rows
+        ended = last[1] if last and last[2] else None
+        late = []
+        for i in range(lo, hi):
+            u = us[i]
+            if done[i] or ended is None or u - ended > self.limit:  # it is watched
+                if last and not last[2] and u - last[1] > self.limit:
+                    late.append((last[0], last[1], last[1] + self.limit))
+                last = (status[i], u, done[i])
+            if done[i]:
+                ended = u if ended is None else max(ended, u)
+        return [(str(last[0]), last[1], last[2])], late
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = ordered(rows, ["ts", "seq"])
-        us, status = micros(pdf["ts"]), pdf["status"].to_numpy()
-        if self.last.exists():  # what was seen last stands before the new rows
-            s0, u0, _ = self.last.get()
-            us, status = np.concatenate([[u0], us]), np.concatenate([[s0], status])
-        done = np.isin(status, TERMINAL_JOB_STATUSES)
-        never = np.iinfo("int64").min // 2
-        ended = np.concatenate([[never], np.maximum.accumulate(np.where(done, us, never))[:-1]])
-        watched = np.flatnonzero(done | (us - ended > self.limit))
-        us, status, done = us[watched], status[watched], done[watched]
-        late = np.flatnonzero(~done[:-1] & (np.diff(us) > self.limit))
-        self.last.update((str(status[-1]), int(us[-1]), bool(done[-1])))
-        self.arm((int(us[-1]) + self.limit) // 1000, timerValues)
-        if len(late):
-            yield self.rows(key, status[late], us[late])
+    def due(self, known):
+        return (known[0][1] + self.limit) // 1000
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, last, done = self.last.get()
-        self.last.clear()
-        self.timer.clear()
-        if not done:
-            yield self.rows(key, [status], [last])
+    def lapse(self, known, now):
+        status, us, done = known[0]
+        return [], [] if done else [(status, us, us + self.limit)]
 
 
-def failures_and_ends(pdf: pd.DataFrame) -> np.ndarray:
-    ends = np.flatnonzero(pdf["terminal"].to_numpy(bool))
-    return np.concatenate([np.flatnonzero(~pdf["terminal"].to_numpy(bool)), ends[:1], ends[-1:]])
+def failures_and_ends(pdf: pd.DataFrame, new: np.ndarray | None = None) -> np.ndarray:
+    terminal = pdf["terminal"].to_numpy(bool)
+    begun, ended, _ = first_and_last(np.flatnonzero(terminal), segments(len(pdf), new)[2])
+    return np.concatenate([np.flatnonzero(~terminal), begun, ended])
 
 
-class FailedTasks(Keyed):
+class FailedTasks(Bucket):
     """T5.  Of a slot no longer than the grace period, all failures, and the
-    first and last terminal status.  State: a list of the failures that wait,
-    and the time of the last terminal status until the watermark is
+    first and last terminal status.  State: the failures that wait, and the
+    time of the last terminal status (without a kind) until the watermark is
     ``keep_secs`` past it."""
 
-    def __init__(self, grace_secs: int, keep_secs: int):
-        self.grace, self.keep = grace_secs * SECOND, keep_secs * SECOND
+    state, order, columns = "us long, exception string, kind string", ["ts"], ["uuid", "error", "short_error", "failed_at"]
 
-    def open(self, handle) -> None:
-        self.waiting = handle.getListState("waiting", "us long, exception string, kind string")
-        self.mark = handle.getValueState("mark", "us long")
+    def __init__(self, grace_secs: int, keep_secs: int, key: str | None = None):
+        super().__init__(key)
+        self.grace, self.keep_us = grace_secs * SECOND, keep_secs * SECOND
 
-    def known(self) -> tuple[list[tuple], int | None]:
-        waiting = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
-        return waiting, self.mark.get()[0] if self.mark.exists() else None
+    def columns_of(self, pdf):
+        return [micros(pdf["ts"]).tolist(), pdf["terminal"].tolist(), pdf["exception"].tolist(), pdf["cls"].tolist()]
 
-    def keep_on(self, waiting: list[tuple], mark: int | None, timerValues) -> None:
-        """Keep what still waits, and a mark, with a timer for the next of them."""
-        self.waiting.put(waiting) if waiting else self.waiting.clear()
-        self.mark.update((mark,)) if mark is not None else self.mark.clear()
-        ends = [(w[0] + self.grace) // 1000 for w in waiting] + ([(mark + self.keep) // 1000] if mark is not None else [])
-        self.arm(min(ends) if ends else None, timerValues)
+    def step(self, known, lo, hi, us, terminal, exception, kind):
+        ends = sorted([u for u, _, c in known if c is None] + [us[i] for i in range(lo, hi) if terminal[i]])
+        waiting = [w for w in known if w[2] is not None] + sorted((us[i], exception[i], kind[i]) for i in range(lo, hi) if not terminal[i])
+        waiting = [w for w in waiting if bisect_left(ends, w[0] - self.keep_us) >= bisect_right(ends, w[0] + self.grace)]
+        newest = us[hi - 1]
+        failed = [(w[1], w[2], w[0]) for w in waiting if newest > w[0] + self.grace]
+        return [w for w in waiting if newest <= w[0] + self.grace] + [(u, None, None) for u in ends[-1:]], failed
 
-    def rows(self, key, failed: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({"uuid": key[0], "error": [f[1] for f in failed], "short_error": [f[2] for f in failed], "failed_at": stamps([f[0] for f in failed])})
+    def due(self, known):
+        return min((u + (self.keep_us if c is None else self.grace)) // 1000 for u, _, c in known)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        waiting, mark = self.known()
-        pdf = pd.concat(list(rows), ignore_index=True)
-        us, terminal = micros(pdf["ts"]), pdf["terminal"].to_numpy(bool)
-        ends = np.sort(np.concatenate([us[terminal], [] if mark is None else [mark]]).astype("int64"))
-        waiting += sorted(zip(us[~terminal].tolist(), pdf["exception"][~terminal], pdf["cls"][~terminal], strict=True))
-        at = np.array([w[0] for w in waiting], "int64")
-        cleared = np.searchsorted(ends, at - self.keep, "left") < np.searchsorted(ends, at + self.grace, "right")
-        waiting = [w for w, gone in zip(waiting, cleared, strict=True) if not gone]
-        newest = int(us.max())
-        failed = [w for w in waiting if newest > w[0] + self.grace]
-        self.keep_on([w for w in waiting if newest <= w[0] + self.grace], int(ends[-1]) if len(ends) else None, timerValues)
-        if failed:
-            yield self.rows(key, failed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        waiting, mark = self.known()
-        now = timerValues.getCurrentWatermarkInMs()
-        failed = [w for w in waiting if (w[0] + self.grace) // 1000 < now]
-        mark = None if mark is not None and (mark + self.keep) // 1000 < now else mark
-        self.keep_on([w for w in waiting if w not in failed], mark, timerValues)
-        if failed:
-            yield self.rows(key, failed)
+    def lapse(self, known, now):
+        over = [self.due([w]) < now for w in known]
+        return [w for w, o in zip(known, over, strict=True) if not o], [(w[1], w[2], w[0]) for w, o in zip(known, over, strict=True) if o and w[2] is not None]
