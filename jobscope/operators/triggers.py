@@ -1,4 +1,4 @@
-"""Trigger parameters of rule hits (P25): one projection per action.
+"""Trigger parameters of rule hits (P25): one projection for an action, or for several.
 
 A hit is a row of J1 or J2 with the rule's ``rule_name``, ``username`` and
 ``kwargs`` (JSON text) and the columns of the document that the action reads.
@@ -8,6 +8,7 @@ localize urls (JSON text).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -69,16 +70,11 @@ def _json(*cols: Column) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
-def trigger_params(hits: DataFrame, action: str) -> DataFrame:
-    """P25: the job of each hit for one of 14 actions.
+NAMES = ("type", "name", "tag", "username", "params", "localize_urls")
 
-    Adds type, name, tag, username, params, localize_urls to ``hits``.  An
-    empty url list gives a null url; ``custom_script`` merges the rule's
-    kwargs over its parameters; a retry of a retry keeps its name.
-    ``passthrough`` reads ``info`` (JSON text) and ``job_type``;
-    ``ingest_dataset`` reads ``dataset`` and ``dataset_urls`` (JSON text).
-    """
-    ensure_utc(hits.sparkSession)
+
+def _job(action: str) -> list[Column]:
+    """What an action makes of a hit, in the order of NAMES."""
     none, empty = F.lit(None).cast("string"), F.lit("[]")
     if action == PASS_THROUGH:
         localize = F.to_json(F.try_variant_get(F.try_parse_json("info"), "$.localize_urls", "variant"))
@@ -100,6 +96,27 @@ def trigger_params(hits: DataFrame, action: str) -> DataFrame:
         job = (F.lit(action), name, F.col("rule_name"), F.col("username"), params, empty)
     else:
         raise ValueError(f"no action {action}")
-    names = ("type", "name", "tag", "username", "params", "localize_urls")
-    rest = [c for c in hits.columns if c not in names]
-    return hits.select(*rest, *(c.cast("string").alias(n) for n, c in zip(names, job, strict=True)))
+    return [c.cast("string").alias(n) for n, c in zip(NAMES, job, strict=True)]
+
+
+def trigger_params(hits: DataFrame, action: str) -> DataFrame:
+    """P25: the job of each hit for one of 14 actions.
+
+    Adds type, name, tag, username, params, localize_urls to ``hits``.  An
+    empty url list gives a null url; ``custom_script`` merges the rule's
+    kwargs over its parameters; a retry of a retry keeps its name.
+    ``passthrough`` reads ``info`` (JSON text) and ``job_type``;
+    ``ingest_dataset`` reads ``dataset`` and ``dataset_urls`` (JSON text).
+    """
+    ensure_utc(hits.sparkSession)
+    return hits.select(*[c for c in hits.columns if c not in NAMES], *_job(action))
+
+
+def triggers(hits: DataFrame, actions: Sequence[str], *keep: str) -> DataFrame:
+    """The jobs of each hit for several actions: action, ``keep`` (columns of
+    the hit) and what ``trigger_params`` adds.  The hits are computed once and
+    each becomes a row for every action, so a task holds one plan of them, not
+    one for each action."""
+    ensure_utc(hits.sparkSession)
+    jobs = F.array(*(F.struct(F.lit(a).alias("action"), *_job(a)) for a in actions))
+    return hits.select(*keep, F.explode(jobs).alias("_j")).select("_j.action", *keep, *(F.col(f"_j.{n}") for n in NAMES))

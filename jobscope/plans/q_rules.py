@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobscope.operators import dedup, rules as R
-from jobscope.operators.triggers import trigger_params
+from jobscope.operators.triggers import triggers
 from jobscope.plans.oracle import with_adapters
 from jobscope.plans.registry import register
 from jobscope.sources import adapters as A
@@ -176,14 +176,6 @@ DATASET_ACTIONS = ("passthrough", "ingest_dataset", "notify_by_email", "notify_b
 JOB_ACTIONS = ("notify_job_by_email", "notify_job_by_tweet", "retry_job")
 
 
-def _triggers(hits, actions, key):
-    out = None
-    for action in actions:
-        one = trigger_params(hits, action).select(F.lit(action).alias("action"), key, "rule", "type", "name", "tag", "username", "params", "localize_urls")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def _by_action(bodies: dict[str, tuple[str, str, str, str, str, str]], key: str) -> str:
     return "\nUNION ALL\n".join(
         f"SELECT '{a}' AS action, {key}, rule, {t} AS type, {n} AS name, {tag} AS tag, {u} AS username, CAST({p} AS VARCHAR) AS params, {loc} AS localize_urls FROM h"
@@ -228,7 +220,7 @@ def p25_dataset_triggers(spark, sf):
         urls.alias("urls"), F.concat(F.lit("cat_"), "dataset").alias("index"), F.lit("_doc").alias("doctype"), F.lit("all").alias("query"),
         F.col("id").alias("dataset"), F.to_json(urls).alias("dataset_urls"),
         F.to_json(F.struct("id", F.array(web).alias("localize_urls"))).alias("info"))
-    return _triggers(hits, DATASET_ACTIONS, "objectid")
+    return triggers(hits, DATASET_ACTIONS, "objectid", "rule")
 
 
 @register("p25_job_triggers", with_adapters("""
@@ -249,4 +241,4 @@ def p25_job_triggers(spark, sf):
     hits = hits.select(
         F.col("payload_id").alias("job_id"), F.col("payload_id").alias("objectid"), F.col("rule_name").alias("rule"), "rule_name", F.lit("ops").alias("username"), F.lit(KWARGS).alias("kwargs"),
         F.concat(F.lit("http://j/"), "payload_id").alias("job_url"), F.to_json(F.struct(old.alias("job_id"))).alias("job"))
-    return _triggers(hits, JOB_ACTIONS, "job_id")
+    return triggers(hits, JOB_ACTIONS, "job_id", "rule")

@@ -8,7 +8,7 @@ from jobscope.functions.predicates import RuleError, compile_rule
 from jobscope.operators import rules as R
 from jobscope.operators.dedup import mark_deduped
 from jobscope.operators.state import job_timeline, timeline_and_state
-from jobscope.operators.triggers import trigger_params
+from jobscope.operators.triggers import trigger_params, triggers
 from jobscope.sources import readers as RD
 
 BAD = [
@@ -64,6 +64,25 @@ def test_trigger_parameters(spark):
         trigger_params(hits, "unknown")
 
 
+def test_triggers_of_several_actions_are_those_of_each(spark):
+    hits = spark.createDataFrame(
+        [("o1", "r", "u", '{"email_addresses":"e","query":"own"}', [], "i", "q", "r1"), ("o1", "s", None, None, ["http://a"], None, "q", "r2"), ("o2", "r", "u", "{", ["http://a", "s3://b"], "i", None, "r3")],
+        "objectid string, rule_name string, username string, kwargs string, urls array<string>, index string, query string, rule string")
+    actions = ["notify_by_email", "custom_script", "purge_datasets"]
+    got = triggers(hits, actions, "objectid", "rule")
+    names = ["objectid", "rule", "type", "name", "tag", "username", "params", "localize_urls"]
+    assert got.columns == ["action", *names]
+    want = [(a, *r) for a in actions for r in trigger_params(hits, a).select(names).collect()]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_dataset_triggers_join_their_hits_once(spark):
+    from jobscope.plans.q_rules import p25_dataset_triggers
+
+    plan = p25_dataset_triggers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2  # hits to documents, and versions to theirs; one of each for all actions
+
+
 def test_only_an_earlier_job_makes_a_duplicate(spark):
     jobs = spark.createDataFrame([("a", "h", "job-queued", 1), ("b", "h", "job-queued", 1), ("c", "g", "job-queued", 1), ("d", None, "job-queued", 1), ("e", None, "job-queued", 2)],
                                  "payload_id string, payload_hash string, status string, time_queued int")
