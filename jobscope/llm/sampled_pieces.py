@@ -41,9 +41,9 @@ SHIFT = 10.0
 NEAR = 64
 SPACE = "▁"
 #: Code points handled at once (a longer document is a slice of its own).
-SLICE_CHARS = 1 << 18
+SLICE_CHARS = 1 << 17
 #: States of the lattices that a task keeps from slice to slice.
-KNOWN_STATES = 5 << 18
+KNOWN_STATES = 5 << 17
 
 
 class Pieces:
@@ -85,7 +85,7 @@ class Pieces:
             self.goes_on[h_chars(h, sums, some, some + n) >> np.uint64(44)] = True
         self.lengths = set(length.tolist())
         self._spelling: dict[int, np.ndarray] = {}
-        self.bytes_text = [bytes([int(t[1:-1], 16)]) if sp.is_byte(i) else t.encode() for i, t in enumerate(self.text)]
+        self.bytes_text = np.array([bytes([int(t[1:-1], 16)]) if sp.is_byte(i) else t.encode() for i, t in enumerate(self.text)], object)
 
     def find(self, marks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are a piece's, and its place; ``first`` holds ``slot`` of each."""
@@ -108,7 +108,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of piece ids: space signs are spaces, but for the one that encoding puts first."""
-        out = b"".join([self.bytes_text[i] for i in ids]).decode(errors="replace").replace(SPACE, " ")
+        out = b"".join(self.bytes_text[np.asarray(ids, np.int64)].tolist()).decode(errors="replace").replace(SPACE, " ")
         return out[1:] if out.startswith(" ") else out
 
 
@@ -496,7 +496,7 @@ def sampler(path: str, k: int, with_ids: bool):
             for i, t, got in zip(ids, own, sample_slice(model, own, keys, k, known), strict=True):
                 for n, (found, logp, g, q) in enumerate(got):
                     raw = found.tobytes()
-                    out.append((i, n, len(found), logp, g, q, zlib.crc32(raw), model.decode(found.tolist()) == t, found if with_ids else None))
+                    out.append((i, n, len(found), logp, g, q, zlib.crc32(raw), model.decode(found) == t, found if with_ids else None))
             cols = list(zip(*out, strict=True)) or [()] * 9
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
             names = ["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "ids_crc32", "round_trip", "ids"]

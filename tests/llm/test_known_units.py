@@ -55,3 +55,13 @@ def _place():
 
 
 PLACE = _place()
+
+
+def test_a_tasks_lattices_stay_small():
+    """However many distinct units a task meets: two workers beside an executor's heap have little room."""
+    model, known = S.pieces(S.default_model()), S.Known()
+    rng = np.random.default_rng(3)
+    for _ in range(12):  # 1.5 million code points of units that no other slice has
+        chars = rng.choice(np.frombuffer("etaoinshrdlu".encode("utf-32-le"), "<u4"), 1 << 17)
+        known.units(model, chars, np.arange(0, 1 << 17, 16), np.full(1 << 13, 16))
+    assert sum(getattr(known, name).nbytes for name in known.ARRAYS) < 100e6
