@@ -19,7 +19,11 @@ LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
 #: Code points below this have a class here.
 HELD = 0x2100
 #: Pre-tokens kept by a worker.
-MOST = 4_000_000
+MOST = 2_000_000
+#: Pre-tokens that are found by a look.
+SLOTS = 1 << 20
+#: New pre-tokens that go to the library as one text.
+CHUNK = 512
 #: The pattern's contractions (fixed values), by what follows the apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F}
@@ -90,26 +94,67 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids have two bytes here")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Bytes of each id: a byte is a character of the vocabulary's strings.
+        self.bytes = np.zeros(1 << 16, np.int64)
+        for t, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(t)
         self._forget()
 
     def _forget(self) -> None:
         # two sorted tables, of old and of new pre-tokens: keys, and where their ids are
-        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
         self.tables, self.ids, self.used = [empty, empty], np.zeros(1 << 20, np.uint16), 0
-
-    def _learn(self, keys: np.ndarray, strings: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
+        # of each of 2**20 hash values the first pre-token that had it: its key, where its ids are, how many
+        self.near = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32), np.zeros(SLOTS, np.int32)
+
+    def _together(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pre-tokens without white space but a leading space, and how many each has.
+
+        They go to the library as one text, which cuts it at their spaces, or at
+        a line feed before one without.  None if it cuts elsewhere.
+        """
+        ids, size = [], []
+        chunks = [raw[a : a + CHUNK] for a in range(0, len(raw), CHUNK)]
+        joined = [[r if r[0] == 32 else b"\n" + r for r in c] for c in chunks]
+        whole = [b"".join(j) for j in joined]
+        if any(s in t for t in whole for s in self.special):
+            return None
+        for c, j, e in zip(chunks, joined, self.tokenizer.encode_batch_fast([t.decode() for t in whole], add_special_tokens=False), strict=True):
+            got = np.array(e.ids, np.int64)
+            at = np.concatenate([[0], np.cumsum(self.bytes[got])])
+            stop = np.cumsum([len(x) for x in j])
+            start = stop - [len(x) for x in c]
+            first, last = np.searchsorted(at, start), np.searchsorted(at, stop)
+            if at[-1] != stop[-1] or (at[first] != start).any() or (at[last] != stop).any():
+                return None
+            n = last - first
+            ids.append(got[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+            size.append(n)
+        return np.concatenate(ids), np.concatenate(size)
+
+    def _ids(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings, one behind another, and how many each has."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([r.decode() for r in raw], add_special_tokens=False)]
         size = np.array([len(g) for g in got], np.int64)
-        total = int(size.sum())
+        return np.fromiter((i for g in got for i in g), np.int64, int(size.sum())), size
+
+    def _learn(self, keys: np.ndarray, raw: list[bytes], plain: np.ndarray) -> None:
+        """``plain``: which strings are pre-tokens without white space but a leading space."""
+        order = np.argsort(~plain, kind="stable")
+        some, other = ([raw[i] for i in part.tolist()] for part in np.split(order, [int(plain.sum())]))
+        together = (self._together(some) or self._ids(some)) if some else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        ids, size = (np.concatenate(x) for x in zip(together, self._ids(other), strict=True))
+        keys = keys[order]
+        total = len(ids)
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), np.uint16)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for g in got for i in g), np.uint16, total)
-        new = keys, self.used + np.cumsum(size) - size, size
+        self.ids[self.used : self.used + total] = ids
+        new = keys, (self.used + np.cumsum(size) - size).astype(np.int32), size.astype(np.int32)
         self.used += total
         old, late = self.tables
         late = self._joined(late, new)
         # the new one joins the old one when it has grown, so that each key is moved a few times only
-        self.tables = [self._joined(old, late), (keys[:0], size[:0], size[:0])] if 4 * len(late[0]) > len(old[0]) else [old, late]
+        self.tables = [self._joined(old, late), tuple(x[:0] for x in new)] if 4 * len(late[0]) > len(old[0]) else [old, late]
 
     @staticmethod
     def _joined(a: tuple, b: tuple) -> tuple:
@@ -151,16 +196,30 @@ class Encoder:
         key = W.hasher(3).ranges(buf, begin, stop)
         if whole:
             key[np.isin(text, w)] ^= np.uint64(0xA5A5A5A5A5A5A5A5)  # not the same as such a pre-token
-        distinct, one, back = np.unique(key, return_index=True, return_inverse=True)
         if sum(len(t[0]) for t in self.tables) > MOST:
             self._forget()
-        first, size = self._find(distinct)
-        new = np.flatnonzero(first < 0)
-        if len(new):
-            data = buf.tobytes()
-            self._learn(distinct[new], [data[begin[i] : stop[i]].decode() for i in one[new]])
-            first, size = self._find(distinct)
-        first, size = first[back], size[back]
+        slot = (key >> np.uint64(44)).astype(np.int64)
+        first, size = self.near[1][slot], self.near[2][slot]
+        far = np.flatnonzero((self.near[0][slot] != key) | (first < 0))
+        if len(far):
+            distinct, one, back = np.unique(key[far], return_index=True, return_inverse=True)
+            one = far[one]
+            place, n = self._find(distinct)
+            new = np.flatnonzero(place < 0)
+            if len(new):
+                data = buf.tobytes()
+                some = one[new]
+                plain = kind[ends[some] - 1] != SPACE
+                if whole:
+                    plain &= ~np.isin(text[some], w)
+                self._learn(distinct[new], [data[a:b] for a, b in zip(begin[some].tolist(), stop[some].tolist(), strict=True)], plain)
+                place, n = self._find(distinct)
+            first[far], size[far] = place[back], n[back]
+            free = np.flatnonzero(self.near[1][slot[one]] < 0)
+            _, once = np.unique(slot[one[free]], return_index=True)
+            free = free[once]
+            for t, x in zip(self.near, (distinct, place, n), strict=True):
+                t[slot[one[free]]] = x[free]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(first - total[:-1], size) + np.arange(total[-1])]
         return ids, total[np.searchsorted(text, np.arange(len(raw) + 1))]

@@ -31,7 +31,7 @@ from .range_coder import BLOCK, decode, encode
 #: Id that ends a document.
 END = 0
 #: Ids of a part, unless its last document has more.
-PART = 4 << 20
+PART = 8 << 20
 #: Bytes of text encoded at once.
 TEXT = 1 << 20
 FILE = "range int, part int, before long, n_docs int, n_ids long, doc_ids binary, nulls binary, sizes binary, blocks array<binary>"
@@ -74,7 +74,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
             if waiting:
                 ids, first = tokens.encode(waiting)
                 n = np.diff(first)
-                out = np.full(len(ids) + len(n), END, np.uint32)
+                out = np.full(len(ids) + len(n), END, np.uint16)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
                 held.append(out)
                 sizes.extend((n + 1).tolist())
@@ -84,6 +84,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
         def row():
             nonlocal keys, sizes, held, n_ids, part, before
             ids = np.concatenate(held)
+            held = []
             blocks = encode([ids[a : a + BLOCK] for a in range(0, len(ids), BLOCK)])
             null = np.array([k is None for k in keys])
             out = pa.RecordBatch.from_arrays(
@@ -102,7 +103,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
             )
             before += len(ids)
             part += 1
-            keys, sizes, held, n_ids = [], [], [], 0
+            keys, sizes, n_ids = [], [], 0
             return out
 
         for batch in batches:
@@ -142,9 +143,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 keys, null, n = (np.frombuffer(zstandard.decompress(row[c]), k) for c, k in (("doc_ids", "<i8"), ("nulls", "u1"), ("sizes", "<i8")))
-                ids = np.concatenate([np.zeros(0, "<u4"), *decode(row["blocks"])]).astype("<u4")
+                ids = np.concatenate([np.zeros(0, "<u4"), *decode(row.pop("blocks"))])
                 cuts = np.concatenate([[0], np.cumsum(n)])
-                raw = memoryview(ids.tobytes())
+                raw = memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=null.astype(bool)), pa.array(starts[row["range"]] + row["before"] + cuts[:-1]), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
