@@ -40,6 +40,8 @@ SHIFT = 10.0
 #: Units whose masses are looked at first.
 NEAR = 64
 SPACE = "▁"
+#: The bits of a key.
+ALL = (1 << 64) - 1
 #: Code points handled at once (a longer document is a slice of its own).
 SLICE_CHARS = 1 << 17
 #: States of the lattices that a task keeps from slice to slice.
@@ -270,6 +272,20 @@ def uniform(key: np.ndarray, *more) -> np.ndarray:
     return ((key >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def spread(h: int) -> int:
+    """``words.mix`` of one number: a text's own draws need no arrays."""
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 & ALL
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 & ALL
+    return h ^ h >> 32
+
+
+def step_key(key: int, more: int) -> int:
+    """The key that ``uniform`` goes on with after one of its numbers."""
+    return spread(key * 0x9E3779B97F4A7C15 + more + 1 & ALL)
+
+
 def walk(lat: Known, unit: np.ndarray, seed: np.ndarray):
     """Sample a segmentation of each unit occurrence: (edges, first edge of each, log p, probability of all others)."""
     n = len(unit)
@@ -316,12 +332,12 @@ def _free(lat: Known, state: int, taken: list) -> float:
     return sum(_edges(lat, state, taken)[1])
 
 
-def _other_than(lat: Known, unit: int, taken: list, key: np.uint64) -> list:
+def _other_than(lat: Known, unit: int, taken: list, key: int) -> list:
     """Sample a segmentation of a unit that is not in ``taken``."""
     state, end, path, k = int(lat.start[unit]), int(lat.end[unit]), [], 0
     while state != end:
         e, p, by = _edges(lat, state, taken)
-        x = float(uniform(np.array([key]), k)[0]) * sum(p)
+        x = ((step_key(key, k) >> 11) + 0.5) * 2.0**-53 * sum(p)
         choice = max((i for i, v in enumerate(p) if v > 0), default=0)
         for i, v in enumerate(p):
             x -= v
@@ -348,10 +364,12 @@ class Search:
     """The regions of one text, of which ``k`` samples are wanted."""
 
     def __init__(self, key: int, units: np.ndarray, k: int = K):
-        self.key, self.units, self.heap, self.n, self.cuts, self.k = np.uint64(key), units, [], 0, 0, k
+        self.key, self.units, self.heap, self.n, self.cuts, self.k = key, units, [], 0, 0, k
 
-    def cut(self, lat: Known, x: Sample, g: float, begin: int, taken: list) -> None:
-        """Cut the region of ``x``, whose maximum is g: from unit ``begin`` on free, where ``taken`` is excluded."""
+    def cut(self, lat: Known, x: Sample, g: float, begin: int, taken: list, last: bool = False) -> None:
+        """Cut the region of ``x``, whose maximum is g: from unit ``begin`` on free, where ``taken`` is excluded.
+
+        After the ``last`` sample only the best region's maximum is asked for."""
         w = len(self.units)
         if begin >= w:
             return
@@ -371,8 +389,12 @@ class Search:
         if not len(some):
             return
         phi = before[some] + np.log(mass[some])
-        u = uniform(np.array([self.key]), 1_000_003 + self.cuts, begin + some)
+        u = uniform(np.array([step_key(self.key, 1_000_003 + self.cuts)], np.uint64), begin + some)
         top = -np.logaddexp(-g, np.log(-np.log(u)) - phi)
+        if last:
+            heapq.heappush(self.heap, (-float(top.max()), self.n))
+            self.n += 1
+            return
         # only the k + 1 best of a text's regions can ever be chosen, or bound the samples
         for i in np.argpartition(-top, min(self.k, len(top) - 1))[: self.k + 1]:
             j = int(begin + some[i])
@@ -415,7 +437,7 @@ def sample_slice(model: Pieces, own: list[str], keys: np.ndarray, k: int, known:
     searches = [Search(int(keys[r]), unit[row_units[r] : row_units[r + 1]], k) for r in range(rows)]
     results: list[list] = [[] for _ in range(rows)]
     # what each row samples next: from which unit on, and what stands before
-    todo = [(r, 0, None, None, float(-np.log(-np.log(uniform(keys[r : r + 1], 0, 0)[0])))) for r in range(rows)]
+    todo = [(r, 0, None, None, g) for r, g in enumerate((-np.log(-np.log(uniform(keys, 0, 0)))).tolist())]
     for n in range(k):
         if not todo:
             break
@@ -451,10 +473,10 @@ def sample_slice(model: Pieces, own: list[str], keys: np.ndarray, k: int, known:
                 cut_from = j
             results[r].append((x, g))
             s = searches[r]
-            s.cut(lat, x, g, cut_from, taken)
+            s.cut(lat, x, g, cut_from, taken, n + 1 == k)
             if s.heap and n + 1 < k:
                 top, _, j2, x2, taken2 = heapq.heappop(s.heap)
-                key = W.mix(np.array([s.key]) + np.uint64(77_777 * (n + 1)))[0]
+                key = spread(s.key + 77_777 * (n + 1) & ALL)
                 following.append((r, j2, (x2, taken2), _other_than(lat, int(s.units[j2]), taken2, key), -top))
         todo = following
 

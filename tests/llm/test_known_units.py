@@ -65,3 +65,20 @@ def test_a_tasks_lattices_stay_small():
         chars = rng.choice(np.frombuffer("etaoinshrdlu".encode("utf-32-le"), "<u4"), 1 << 17)
         known.units(model, chars, np.arange(0, 1 << 17, 16), np.full(1 << 13, 16))
     assert sum(getattr(known, name).nbytes for name in known.ARRAYS) < 100e6
+
+
+def test_a_number_is_mixed_as_an_array_is():
+    some = np.random.default_rng(8).integers(0, 1 << 64, 200, dtype=np.uint64)
+    assert [S.spread(int(x)) for x in some] == S.W.mix(some).tolist()
+    for k in (0, 1, 77, 1_000_003, S.ALL):
+        drawn = [((S.step_key(int(x), k) >> 11) + 0.5) * 2.0**-53 for x in some]
+        assert drawn == S.uniform(some, np.uint64(k)).tolist()
+        assert S.uniform(some, np.uint64(k), 5).tolist() == S.uniform(np.array([S.step_key(int(x), k) for x in some], np.uint64), 5).tolist()
+
+
+def test_a_texts_own_draws_need_few_arrays(monkeypatch):
+    calls, mix = [], S.W.mix
+    monkeypatch.setattr(S.W, "mix", lambda h: calls.append(len(h)) or mix(h))
+    own = [prose(random.Random(s), "en", 12) for s in range(300)]
+    S.sample_slice(S.pieces(S.default_model()), own, np.arange(300, dtype=np.uint64), 2)
+    assert len(calls) < 3 * len(own)
